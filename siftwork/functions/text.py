@@ -57,6 +57,10 @@ def token_normal_form(c: Column | str) -> Column:
     return F.regexp_replace(t, r"^ +| +$", "")
 
 
+def _gram_fn(toks: Column, n: int):
+    return lambda i: F.array_join(F.slice(toks, i, n), " ")
+
+
 def token_ngrams(norm: Column, max_n: int) -> Column:
     """All 1..max_n token n-grams (space-joined) of a normal-form string, as one array."""
     toks = F.split(norm, " ")
@@ -64,7 +68,7 @@ def token_ngrams(norm: Column, max_n: int) -> Column:
     for n in range(1, max_n + 1):
         grams = F.transform(
             F.sequence(F.lit(1), F.size(toks) - n + 1),
-            lambda i, n=n: F.array_join(F.slice(toks, i, n), " "),
+            _gram_fn(toks, n),
         )
         parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts))

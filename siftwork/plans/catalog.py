@@ -18,6 +18,10 @@ from ..functions import text as T
 from ..operators import match as M
 from ..sources import corpus as C
 from ..sources import derived as D
+from ..functions import dims
+from ..operators import extract as X
+from . import features as FE
+from . import sqlfeatures as SF
 from . import sqltext as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,5 +104,158 @@ def q_density_top5(spark, sf):
     return M.top_k_per_target(d, "density_percent", 5).select("target_id", "rank", "doc_id", "density_percent")
 
 
+
+def _cand(spark, sf):
+    return D.cand(spark, sf)
+
+
+def _targ(spark, sf):
+    return D.targ(spark, sf)
+
+
+CAND = f"cand as ({S.cand_sql()})"
+TARG = f"targ as ({S.targ_sql()})"
+CLEAN_DOCS = f"cdocs as (select doc_id, source, lang, {S.clean('text')} as text from documents)"
+LEX_MATCH = f"""lexm as (select distinct doc_id, category, canonical from cand,
+  {S.lexicon_values()} where contains(' ' || {S.norm('cand.text')} || ' ', ' ' || lex.norm || ' '))"""
+
+
+# ---------------------------------------------------------------- 2.2 text -> tables
+@register("explode_lines", f"""
+with {CLEAN_DOCS}, l as (select doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as pos,
+                            unnest(string_split(text, chr(10))) as raw from cdocs)
+select doc_id, pos, {S.strip('raw')} as line from l
+""")
+def q_explode_lines(spark, sf):
+    return X.explode_lines(_clean_docs(spark, sf))
+
+
+@register("extract_bullets", f"""
+with {CAND}, b as (select doc_id, {SF.bullets('text')} as bl from cand)
+select doc_id, unnest(generate_series(1, len(bl))) as bullet_no, unnest(bl) as bullet from b
+""")
+def q_extract_bullets(spark, sf):
+    return X.extract_bullets(_cand(spark, sf))
+
+
+@register("bullet_line_count", f"""
+with {CAND} select doc_id, {SF.bullet_count('text', X.SCREEN_BULLET)} as screen_bullets,
+  {SF.bullet_count('text', X.FEEDBACK_BULLET)} as feedback_bullets from cand
+""")
+def q_bullet_line_count(spark, sf):
+    t = F.col("text")
+    return _cand(spark, sf).select("doc_id", X.bullet_line_count(t, X.SCREEN_BULLET).alias("screen_bullets"),
+                                   X.bullet_line_count(t, X.FEEDBACK_BULLET).alias("feedback_bullets"))
+
+
+@register("extract_sentences", f"""
+with {CLEAN_DOCS}, s as (select doc_id, {SF.sentences('text')} as sl from cdocs)
+select doc_id, unnest(generate_series(1, len(sl))) as sent_no, unnest(sl) as sentence from s
+""")
+def q_extract_sentences(spark, sf):
+    return X.extract_sentences(_clean_docs(spark, sf))
+
+
+@register("lexicon_match", f"with {CAND}, {LEX_MATCH} select * from lexm")
+def q_lexicon_match(spark, sf):
+    return X.lexicon_match(_cand(spark, sf), spark)
+
+
+@register("term_frequency_by_category", f"""
+with {CAND}, {LEX_MATCH} select category, canonical, count(distinct doc_id) as n_docs from lexm group by all
+""")
+def q_term_freq(spark, sf):
+    return X.term_frequency_by_category(X.lexicon_match(_cand(spark, sf), spark))
+
+
+def _case_norm_sql(x):
+    t = f"regexp_replace({x}, '([^A-Za-z0-9 \\t\\n\\r\\f\\x0B])', ' \\1 ', 'g')"
+    t = f"regexp_replace({t}, '\\n', ' ' || chr(10) || ' ', 'g')"
+    t = f"regexp_replace({t}, '[ \\t\\r\\f\\x0B]+', ' ', 'g')"
+    return f"regexp_replace({t}, '^ +| +$', '', 'g')"
+
+
+@register("gazetteer_entities", f"""
+with {CAND}, g as (select name, ord, {_case_norm_sql('name')} as gnorm
+                   from {S.values([(n, i) for i, n in enumerate(L.GAZETTEER)], "gz(name, ord)")} where length(name) > 2),
+h as (select doc_id, name, ord, strpos(' ' || {_case_norm_sql('text')} || ' ', ' ' || gnorm || ' ') as p from cand, g)
+select doc_id, string_agg(name, '|' order by p, ord) as entities from h where p > 0 group by doc_id
+""")
+def q_gazetteer(spark, sf):
+    return X.gazetteer_entities(_cand(spark, sf), spark)
+
+
+@register("section_presence", f"with {CAND} select doc_id, {SF.section_cols('text')} from cand")
+def q_section_presence(spark, sf):
+    return X.section_presence(_cand(spark, sf))
+
+
+@register("section_coverage", f"""
+with {CAND}, p as (select doc_id, {SF.section_cols('text')} from cand),
+u as (unpivot p on {", ".join("has_" + k for k, _ in L.SECTION_PATTERNS)} into name section value present)
+select replace(section, 'has_', '') as section, count(*) as n_docs, sum(present::int) as n_present,
+       round(avg(present::int), 6) as share from u group by all
+""")
+def q_section_coverage(spark, sf):
+    return X.section_coverage(X.section_presence(_cand(spark, sf)))
+
+
+@register("verb_usage", f"""
+with {CAND}, v as ({SF.verb_usage('cand')})
+select doc_id, array_to_string(strong_verbs, '|') as strong_verbs, array_to_string(weak_verbs, '|') as weak_verbs,
+       n_strong, n_weak from v
+""")
+def q_verb_usage(spark, sf):
+    v = X.verb_usage(_cand(spark, sf), spark)
+    return v.select("doc_id", F.array_join("strong_verbs", "|").alias("strong_verbs"),
+                    F.array_join("weak_verbs", "|").alias("weak_verbs"), "n_strong", "n_weak")
+
+
+@register("readability", f"with {CLEAN_DOCS} select doc_id, {SF.readability_cols('text')} from cdocs")
+def q_readability(spark, sf):
+    return X.readability(_clean_docs(spark, sf))
+
+
+@register("readability_by_group", f"""
+with {CLEAN_DOCS}, r as (select doc_id, lang, source, {SF.readability_cols('text')} from cdocs)
+select lang, source, count(*) as n_docs, round(avg(flesch_kincaid_score), 6) as avg_fk,
+  quantile_cont(flesch_kincaid_score, 0.5) as median_fk, round(avg(avg_words_per_sentence), 6) as avg_wps,
+  min(flesch_kincaid_score) as min_fk, max(flesch_kincaid_score) as max_fk
+from r group by rollup(lang, source)
+""")
+def q_readability_by_group(spark, sf):
+    d = _clean_docs(spark, sf)
+    r = d.select("doc_id", "lang", "source", *X.readability_columns(F.col("text")))
+    return X.readability_by_group(r, "lang", "source")
+
+
+@register("quantification_count", f"with {CLEAN_DOCS} select doc_id, {S.rcount('text', r'\b\d+\b')} as quant_count from cdocs")
+def q_quant(spark, sf):
+    return X.quantification_count(_clean_docs(spark, sf))
+
+
+@register("contact_signals", f"with {CLEAN_DOCS} select doc_id, {SF.contact_cols('text')} from cdocs")
+def q_contact(spark, sf):
+    return X.contact_signals(_clean_docs(spark, sf))
+
+
+DOMAIN_SQL = f"""
+dom as (
+  with kw as (select * from {S.values([(d, i, k) for i, (d, ks) in enumerate(L.DOMAINS) for k in ks], "kw(domain, ord, keyword)")}),
+  tech as (select doc_id, lower(canonical) as skill from lexm where category = 'technical'),
+  w as (select doc_id, skill, domain, ord, max(case when skill = keyword then 1.0 else 0.5 end) as w
+        from tech join kw on skill = keyword or (length(keyword) > 3 and contains(skill, keyword)) group by all),
+  pd as (select doc_id, domain, ord, sum(w) as score from w group by all),
+  best as (select doc_id, arg_min(domain, (-score, ord)) as domain, max(score) as domain_score from pd group by doc_id)
+  select cand.doc_id, coalesce(domain, {S.q(L.DEFAULT_DOMAIN)}) as domain, coalesce(domain_score, 0.0) as domain_score
+  from cand left join best using (doc_id))"""
+
+
+@register("domain_inference", f"with {CAND}, {LEX_MATCH}, {DOMAIN_SQL} select * from dom")
+def q_domain(spark, sf):
+    c = _cand(spark, sf)
+    return X.domain_inference(X.lexicon_match(c, spark), spark, c)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)
