@@ -80,3 +80,199 @@ def top_k_per_target(pairs: DataFrame, score_col: str, k: int, id_col: str = "do
     (map-side) group limit before the shuffle, so a hot target never funnels all its rows."""
     w = Window.partitionBy("target_id").orderBy(F.col(score_col).desc(), F.col(id_col).asc())
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ------------------------------------------------------------------ keyword coverage
+def keyword_coverage(doc_terms: DataFrame, target_terms: DataFrame, docs: DataFrame, spark: SparkSession,
+                     text_col: str = "text", pairs: DataFrame | None = None) -> DataFrame:
+    """Coverage of the target's canonical terms K by the document, with the substring bonus.
+
+    Pairs default to those sharing at least one canonical term (equi-join on the term).  For
+    each pair: coverage = |K & D| / |K|; each missing term whose lower form occurs in the lower
+    raw text adds 0.5/|K| and moves to matched; final = min(1, coverage + bonus).
+    """
+    tt = target_terms.select("target_id", "canonical").distinct()
+    dt = doc_terms.select("doc_id", "canonical").distinct()
+    if pairs is None:
+        pairs = tt.join(dt, "canonical").select("doc_id", "target_id").distinct()
+    k = tt.groupBy("target_id").agg(F.count(F.lit(1)).alias("total_keywords"))
+    # substring flags: the lexicon's canonical names (bounded, broadcast) tested once per document
+    canon = dims.lexicon(spark).select(F.col("canonical"), F.lower("canonical").alias("low")).distinct()
+    sub = docs.select("doc_id", F.lower(F.col(text_col)).alias("_lt")) \
+        .join(F.broadcast(canon), F.col("_lt").contains(F.col("low"))).select("doc_id", "canonical") \
+        .withColumn("is_sub", F.lit(True))
+    per = (pairs.join(tt, "target_id")
+           .join(dt.withColumn("is_match", F.lit(True)), ["doc_id", "canonical"], "left")
+           .join(sub, ["doc_id", "canonical"], "left"))
+    matched = F.coalesce(F.col("is_match"), F.lit(False))
+    bonus = ~matched & F.coalesce(F.col("is_sub"), F.lit(False))
+    agg = per.groupBy("doc_id", "target_id").agg(
+        F.sum(matched.cast("int")).alias("n_exact"),
+        F.sum(bonus.cast("int")).alias("n_bonus"),
+        F.array_sort(F.collect_list(F.when(matched | bonus, F.col("canonical")))).alias("_m"),
+        F.array_sort(F.collect_list(F.when(~matched & ~bonus, F.col("canonical")))).alias("_x"),
+    ).join(k, "target_id")
+    n = F.greatest(F.col("total_keywords"), F.lit(1))
+    coverage = F.col("n_exact") / n
+    final = F.least(F.lit(1.0), coverage + F.col("n_bonus") * (F.lit(0.5) / n))
+    return agg.select(
+        "doc_id", "target_id", "total_keywords",
+        (F.col("n_exact") + F.col("n_bonus")).alias("matched_count"),
+        (F.col("total_keywords") - F.col("n_exact") - F.col("n_bonus")).alias("missing_count"),
+        F.round(coverage, 3).alias("coverage_ratio"),
+        final.alias("keyword_coverage"),
+        F.slice("_m", 1, 20).alias("matched"),
+        F.slice("_x", 1, 20).alias("missing"),
+    )
+
+
+# ------------------------------------------------------------------ TF-IDF pair similarity
+TFIDF_TOKEN = r"\b\w\w+\b"
+TFIDF_CAP = 500
+IDF_ONE_SIDE = 1.4054651081081644  # ln(3/2) + 1: smooth idf with n = 2 documents, df = 1
+
+
+def tfidf_terms(df: DataFrame, id_col: str, spark: SparkSession, text_col: str = "text") -> DataFrame:
+    """(id, term, c): 1-3 gram counts after lower-casing and stopword removal (row-local grams,
+    partial aggregation before the shuffle)."""
+    from ..functions import lexicons as L2
+    stop = F.create_map(*[x for w in L2.english_stopwords() for x in (F.lit(w), F.lit(True))])
+    toks = df.select(F.col(id_col).alias("id"), F.filter(
+        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TFIDF_TOKEN), 0),
+        lambda t: F.element_at(stop, t).isNull()).alias("_t"))
+    t = F.col("_t")
+    grams = F.flatten(F.array(*[
+        F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
+                                           T._gram_fn(t, n))).otherwise(F.array().cast("array<string>"))
+        for n in (1, 2, 3)]))
+    return toks.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _top_terms(terms: DataFrame, cap: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy(F.col("c").desc(), F.col("term").asc())
+    return terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+
+
+def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, cap: int = TFIDF_CAP) -> DataFrame:
+    """Cosine of TF-IDF vectors fitted on each (document, target) pair alone.
+
+    The pair vocabulary is the ``cap`` terms of highest pair frequency (ties: term asc).  That set
+    always lies within doc-top-cap U target-top-cap U shared terms, so only those candidates are
+    joined per pair: exact, with work bounded by 2*cap + |shared| rows per pair.  Pairs without a
+    shared term have cosine 0 and are not materialised.
+    """
+    d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
+    t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
+    shared = d.join(t, "term")
+    pairs = shared.select("doc_id", "target_id").distinct()
+    dtop = _top_terms(doc_terms, cap).select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
+    ttop = _top_terms(target_terms, cap).select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
+    cand = (shared.select("doc_id", "target_id", "term", "cd", "ct")
+            .unionByName(pairs.join(dtop, "doc_id").withColumn("ct", F.lit(0).cast("long")))
+            .unionByName(pairs.join(ttop, "target_id").withColumn("cd", F.lit(0).cast("long"))))
+    terms = cand.groupBy("doc_id", "target_id", "term").agg(F.max("cd").alias("cd"), F.max("ct").alias("ct"))
+    w = Window.partitionBy("doc_id", "target_id").orderBy((F.col("cd") + F.col("ct")).desc(), F.col("term").asc())
+    kept = terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
+    idf = F.when((F.col("cd") > 0) & (F.col("ct") > 0), F.lit(1.0)).otherwise(F.lit(IDF_ONE_SIDE))
+    agg = kept.groupBy("doc_id", "target_id").agg(
+        F.sum(F.col("cd") * F.col("ct")).alias("dot"),
+        F.sum(F.pow(F.col("cd") * idf, 2)).alias("nd"),
+        F.sum(F.pow(F.col("ct") * idf, 2)).alias("nt"),
+    )
+    return agg.select("doc_id", "target_id",
+                      F.round(F.col("dot") / F.sqrt(F.col("nd") * F.col("nt")), 6).alias("tfidf_similarity"))
+
+
+# ------------------------------------------------------------------ embeddings
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two equal-length arrays (0.0 when either is missing or zero)."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    na = F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
+    nb = F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v * v)
+    return F.when(a.isNull() | b.isNull() | (na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / F.sqrt(na * nb))
+
+
+def embedding_similarity(pairs: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
+                         vec_col: str = "embedding") -> DataFrame:
+    """Cosine of the document vector and the target vector for each pair (0.0 if either is absent)."""
+    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
+    out = (pairs.join(v.withColumnRenamed("_id", "doc_id").withColumnRenamed("_v", "_dv"), "doc_id", "left")
+           .join(v.withColumnRenamed("_id", "target_id").withColumnRenamed("_v", "_tv"), "target_id", "left"))
+    return out.withColumn("semantic_similarity", cosine(F.col("_dv"), F.col("_tv"))).drop("_dv", "_tv")
+
+
+def blended_similarity(sem: Column, tfidf: Column, has_target: Column) -> Column:
+    """0.7 * semantic + 0.3 * tfidf (not clipped); 0.6 when there is no target.
+
+    Inputs are taken at 6 decimals, so the blend is exact at 7 decimals on every engine."""
+    s6 = F.round(F.coalesce(sem, F.lit(0.0)), 6)
+    t6 = F.round(F.coalesce(tfidf, F.lit(0.0)), 6)
+    return F.when(~has_target, F.lit(0.6)).otherwise(F.round(F.lit(0.7) * s6 + F.lit(0.3) * t6, 7))
+
+
+# ------------------------------------------------------------------ skill gap
+def gap_skills(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, skills): distinct lower skill names of the ten families, sorted (row-local)."""
+    low = F.lower(F.col(text_col))
+    found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), 1) for p in L.SKILL_FAMILY_PATTERNS]))
+    return df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(found, F.lower))).alias("skills"))
+
+
+def skill_gap(doc_skills: DataFrame, target_skills: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Per pair: required, present, missing, extra (first 10), match percent.
+
+    Pairs default to those sharing at least one skill (equi-join on the exploded skill)."""
+    ds = doc_skills.select(F.col("id").alias("doc_id"), F.col("skills").alias("doc_skills"))
+    ts = target_skills.select(F.col("id").alias("target_id"), F.col("skills").alias("required"))
+    if pairs is None:
+        pairs = (ds.select("doc_id", F.explode("doc_skills").alias("s"))
+                 .join(ts.select("target_id", F.explode("required").alias("s")), "s")
+                 .select("doc_id", "target_id").distinct())
+    p = pairs.join(ds, "doc_id").join(ts, "target_id")
+    present = F.array_intersect("required", "doc_skills")
+    missing = F.array_except("required", "doc_skills")
+    extra = F.slice(F.array_except("doc_skills", "required"), 1, 10)
+    pct = F.round(F.size(present) / F.greatest(F.size("required"), F.lit(1)) * 100, 1)
+    return p.select("doc_id", "target_id", "required", present.alias("present"), missing.alias("missing"),
+                    extra.alias("extra"), pct.alias("match_percent"))
+
+
+def gap_roadmap(missing: DataFrame, spark: SparkSession, skill_col: str = "skill") -> DataFrame:
+    """First roadmap (in order) whose key contains the skill or is contained in it; else default."""
+    rm = dims.roadmaps(spark)
+    s = F.col(skill_col)
+    hit = missing.join(F.broadcast(rm), F.col("key").contains(s) | s.contains(F.col("key")), "left")
+    keys = [c for c in missing.columns]
+    best = hit.groupBy(*keys).agg(F.min_by(F.struct("key", "timeline", "resources", "projects"), F.col("ord")).alias("r"))
+    d = L.DEFAULT_ROADMAP
+    return best.select(
+        *keys,
+        F.coalesce(F.col("r.key"), F.lit(d[0])).alias("roadmap"),
+        F.coalesce(F.col("r.timeline"), F.lit(d[2])).alias("timeline"),
+        F.coalesce(F.col("r.resources"), F.array(*[F.lit(x) for x in d[1]])).alias("resources"),
+        F.coalesce(F.col("r.projects"), F.array(*[F.lit(x) for x in d[3]])).alias("projects"),
+    )
+
+
+def skill_mentions(targets: DataFrame, target_skills: DataFrame, text_col: str = "text") -> DataFrame:
+    """(target_id, skill, mentions): whole-word hits of each required skill in the target text."""
+    ts = target_skills.select(F.col("id").alias("target_id"), F.explode("skills").alias("skill"))
+    t = targets.select("target_id", F.lower(F.col(text_col)).alias("_lt"))
+    pat = F.concat(F.lit(r"\b\Q"), F.col("skill"), F.lit(r"\E\b"))
+    return ts.join(t, "target_id").select("target_id", "skill", F.regexp_count(F.col("_lt"), pat).alias("mentions"))
+
+
+def priority_skills(gaps: DataFrame, mentions: DataFrame, k: int = 5) -> DataFrame:
+    """Best k missing skills per pair by mentions in the target (ties: skill asc)."""
+    m = gaps.select("doc_id", "target_id", F.explode("missing").alias("skill")).join(mentions, ["target_id", "skill"])
+    per = m.groupBy("doc_id", "target_id").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("mentions")).alias("neg"), F.col("skill")))).alias("_p"))
+    return per.select("doc_id", "target_id", F.transform(F.slice("_p", 1, k), lambda x: x["skill"]).alias("priority_skills"))
+
+
+def skill_demand(doc_skills: DataFrame, target_skills: DataFrame) -> DataFrame:
+    """Per skill: targets asking for it, documents having it, and the gap ratio (full outer join)."""
+    t = target_skills.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n_targets"))
+    d = doc_skills.select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n_docs"))
+    j = t.join(d, "skill", "full_outer").na.fill(0, ["n_targets", "n_docs"])
+    return j.withColumn("gap_ratio", F.round(F.col("n_targets") / F.greatest(F.col("n_docs"), F.lit(1)), 6))

@@ -257,5 +257,214 @@ def q_domain(spark, sf):
     return X.domain_inference(X.lexicon_match(c, spark), spark, c)
 
 
+
+# ---------------------------------------------------------------- 2.3 document x target
+TLEX_MATCH = f"""tlexm as (select distinct target_id, category, canonical from targ,
+  {S.lexicon_values()} where contains(' ' || {S.norm('targ.text')} || ' ', ' ' || lex.norm || ' '))"""
+
+COVERAGE_SQL = f"""
+cov as (
+  with tt as (select distinct target_id, canonical from tlexm),
+  dt as (select distinct doc_id, canonical from lexm),
+  pairs as (select distinct doc_id, target_id from tt join dt using (canonical)),
+  k as (select target_id, count(*) as total_keywords from tt group by all),
+  canon as (select distinct canonical, lower(canonical) as low from {S.lexicon_values()}),
+  sub as (select doc_id, canonical from cand join canon on contains(lower(cand.text), canon.low)),
+  per as (select p.doc_id, p.target_id, tt.canonical, dt.doc_id is not null as is_match, sub.doc_id is not null as is_sub
+          from pairs p join tt using (target_id)
+          left join dt on dt.doc_id = p.doc_id and dt.canonical = tt.canonical
+          left join sub on sub.doc_id = p.doc_id and sub.canonical = tt.canonical),
+  agg as (select doc_id, target_id, sum(is_match::int) as n_exact, sum((not is_match and is_sub)::int) as n_bonus,
+            coalesce(list_sort(list(canonical) filter (where is_match or is_sub)), []) as m,
+            coalesce(list_sort(list(canonical) filter (where not is_match and not is_sub)), []) as x
+          from per group by all)
+  select doc_id, target_id, total_keywords, n_exact + n_bonus as matched_count,
+    total_keywords - n_exact - n_bonus as missing_count,
+    round(n_exact / greatest(total_keywords, 1), 3) as coverage_ratio,
+    least(1.0, n_exact / greatest(total_keywords, 1) + n_bonus * (0.5 / greatest(total_keywords, 1))) as keyword_coverage,
+    m[1:20] as matched, x[1:20] as missing
+  from agg join k using (target_id))"""
+
+
+def _coverage(spark, sf):
+    c, t = _cand(spark, sf), _targ(spark, sf)
+    dt = X.lexicon_match(c, spark)
+    tt = X.lexicon_match(t.withColumnRenamed("target_id", "doc_id"), spark).withColumnRenamed("doc_id", "target_id")
+    return M.keyword_coverage(dt, tt, c, spark)
+
+
+@register("keyword_coverage", f"""
+with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}
+select doc_id, target_id, total_keywords, matched_count, missing_count, coverage_ratio,
+  round(keyword_coverage, 6) as keyword_coverage, array_to_string(matched, '|') as matched,
+  array_to_string(missing, '|') as missing from cov
+""")
+def q_coverage(spark, sf):
+    k = _coverage(spark, sf)
+    return k.select("doc_id", "target_id", "total_keywords", "matched_count", "missing_count", "coverage_ratio",
+                    F.round("keyword_coverage", 6).alias("keyword_coverage"),
+                    F.array_join("matched", "|").alias("matched"), F.array_join("missing", "|").alias("missing"))
+
+
+STOP_SQL = S.lst(L.english_stopwords())
+
+
+def _tfidf_terms_sql(name, src, idc, textexpr):
+    toks = f"list_filter(regexp_extract_all(lower({textexpr}), {S.q(M.TFIDF_TOKEN)}), lambda x: not list_contains({STOP_SQL}, x))"
+    return f"""{name} as (
+  with tk as (select {idc} as id, {toks} as t from {src}),
+  g as (select id, unnest(flatten([t,
+          list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]),
+          list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])])) as term from tk)
+  select id, term, count(*) as c from g group by all)"""
+
+
+def _tfidf_sql(dterms, tterms, cap=M.TFIDF_CAP):
+    return f"""tfidf as (
+  with pairs as (select distinct d.id as doc_id, t.id as target_id from {dterms} d join {tterms} t using (term)),
+  u as (select p.doc_id, p.target_id, d.term, d.c as cd, 0 as ct from pairs p join {dterms} d on d.id = p.doc_id
+        union all
+        select p.doc_id, p.target_id, t.term, 0 as cd, t.c as ct from pairs p join {tterms} t on t.id = p.target_id),
+  tm as (select doc_id, target_id, term, max(cd) as cd, max(ct) as ct from u group by all),
+  kept as (select * from (select *, row_number() over (partition by doc_id, target_id order by cd + ct desc, term) as r
+           from tm) where r <= {cap}),
+  w as (select *, case when cd > 0 and ct > 0 then 1.0 else {M.IDF_ONE_SIDE!r} end as idf from kept)
+  select doc_id, target_id, round(sum(cd * ct) / sqrt(sum(pow(cd * idf, 2)) * sum(pow(ct * idf, 2))), 6) as tfidf_similarity
+  from w group by all)"""
+
+
+@register("tfidf_pair_similarity", f"""
+with {_tfidf_terms_sql('dterms', 'documents', 'doc_id', S.clean('text'))},
+{_tfidf_terms_sql('tterms', 'benchmark', 'item_id', S.clean('text'))},
+{_tfidf_sql('dterms', 'tterms')}
+select * from tfidf
+""")
+def q_tfidf(spark, sf):
+    d = M.tfidf_terms(_clean_docs(spark, sf), "doc_id", spark)
+    t = M.tfidf_terms(_clean_bench(spark, sf), "target_id", spark)
+    return M.tfidf_pair_similarity(d, t)
+
+
+def _density_pairs(spark, sf):
+    return M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark).select("doc_id", "target_id")
+
+
+EMB_SQL = f"""
+emb as (
+  with pairs as (select doc_id, target_id from ({_DENSITY_SQL}))
+  select p.doc_id, p.target_id,
+    coalesce(case when a.embedding is null or b.embedding is null then 0.0
+             else list_cosine_similarity(a.embedding::double[], b.embedding::double[]) end, 0.0) as semantic_similarity
+  from pairs p left join embeddings a on a.vec_id = p.doc_id left join embeddings b on b.vec_id = p.target_id)"""
+
+
+@register("embedding_similarity", f"with {EMB_SQL} select doc_id, target_id, round(semantic_similarity, 6) as semantic_similarity from emb")
+def q_embedding(spark, sf):
+    e = M.embedding_similarity(_density_pairs(spark, sf), C.load(spark, sf, "embeddings"))
+    return e.select("doc_id", "target_id", F.round("semantic_similarity", 6).alias("semantic_similarity"))
+
+
+@register("embedding_topk", f"""
+with {EMB_SQL} select target_id, rank, doc_id, round(semantic_similarity, 6) as semantic_similarity from (
+  select *, row_number() over (partition by target_id order by round(semantic_similarity, 6) desc, doc_id) as rank from emb)
+where rank <= 5
+""")
+def q_embedding_topk(spark, sf):
+    e = M.embedding_similarity(_density_pairs(spark, sf), C.load(spark, sf, "embeddings"))
+    e = e.select("doc_id", "target_id", F.round("semantic_similarity", 6).alias("semantic_similarity"))
+    return M.top_k_per_target(e, "semantic_similarity", 5).select("target_id", "rank", "doc_id", "semantic_similarity")
+
+
+@register("blended_similarity", f"""
+with {EMB_SQL}, {_tfidf_terms_sql('dterms', 'documents', 'doc_id', S.clean('text'))},
+{_tfidf_terms_sql('tterms', 'benchmark', 'item_id', S.clean('text'))}, {_tfidf_sql('dterms', 'tterms')}
+select e.doc_id, e.target_id,
+  round(0.7 * round(e.semantic_similarity, 6) + 0.3 * coalesce(t.tfidf_similarity, 0.0), 7) as blended_similarity
+from emb e left join tfidf t using (doc_id, target_id)
+""")
+def q_blended(spark, sf):
+    e = M.embedding_similarity(_density_pairs(spark, sf), C.load(spark, sf, "embeddings"))
+    d = M.tfidf_terms(_clean_docs(spark, sf), "doc_id", spark)
+    t = M.tfidf_terms(_clean_bench(spark, sf), "target_id", spark)
+    j = e.join(M.tfidf_pair_similarity(d, t), ["doc_id", "target_id"], "left")
+    return j.select("doc_id", "target_id", M.blended_similarity(
+        F.col("semantic_similarity"), F.col("tfidf_similarity"), F.lit(True)).alias("blended_similarity"))
+
+
+def _gap_sql_skills(src, idc):
+    fams = ", ".join(f"regexp_extract_all(lower(text), {S.q(p)}, 1)" for p in L.SKILL_FAMILY_PATTERNS)
+    return f"select {idc} as id, list_sort(list_distinct(list_transform(flatten([{fams}]), lambda x: lower(x)))) as skills from {src}"
+
+
+GAP_SQL = f"""
+gap as (
+  with ds as ({_gap_sql_skills('cand', 'doc_id')}), ts as ({_gap_sql_skills('targ', 'target_id')}),
+  pairs as (select distinct d.id as doc_id, t.id as target_id from (select id, unnest(skills) as s from ds) d
+            join (select id, unnest(skills) as s from ts) t using (s))
+  select p.doc_id, p.target_id, ts.skills as required,
+    list_filter(ts.skills, lambda x: list_contains(ds.skills, x)) as present,
+    list_filter(ts.skills, lambda x: not list_contains(ds.skills, x)) as missing,
+    list_filter(ds.skills, lambda x: not list_contains(ts.skills, x))[1:10] as extra
+  from pairs p join ds on ds.id = p.doc_id join ts on ts.id = p.target_id)"""
+
+
+def _gaps(spark, sf):
+    c, t = _cand(spark, sf), _targ(spark, sf)
+    return M.skill_gap(M.gap_skills(c, "doc_id"), M.gap_skills(t, "target_id"))
+
+
+@register("skill_gap", f"""
+with {CAND}, {TARG}, {GAP_SQL}
+select doc_id, target_id, array_to_string(required, ',') as required, array_to_string(present, ',') as present,
+  array_to_string(missing, ',') as missing, array_to_string(extra, ',') as extra,
+  round(len(present) / greatest(len(required), 1) * 100, 1) as match_percent from gap
+""")
+def q_skill_gap(spark, sf):
+    g = _gaps(spark, sf)
+    return g.select("doc_id", "target_id", *[F.array_join(c, ",").alias(c) for c in ("required", "present", "missing", "extra")],
+                    "match_percent")
+
+
+@register("gap_roadmap", f"""
+with {CAND}, {TARG}, {GAP_SQL},
+rm as (select * from {S.values([(k, i, tl) for i, (k, _, tl, _) in enumerate(L.LEARNING_ROADMAP)], "rm(key, ord, timeline)")}),
+m as (select distinct unnest(missing) as skill from gap),
+h as (select skill, arg_min(key, ord) as key, arg_min(timeline, ord) as timeline from m left join rm
+      on contains(key, skill) or contains(skill, key) group by skill)
+select skill, coalesce(key, {S.q(L.DEFAULT_ROADMAP[0])}) as roadmap, coalesce(timeline, {S.q(L.DEFAULT_ROADMAP[2])}) as timeline from h
+""")
+def q_gap_roadmap(spark, sf):
+    m = _gaps(spark, sf).select(F.explode("missing").alias("skill")).distinct()
+    return M.gap_roadmap(m, spark).select("skill", "roadmap", "timeline")
+
+
+@register("priority_skills", f"""
+with {CAND}, {TARG}, {GAP_SQL},
+mn as (select target_id, skill, len(regexp_extract_all(lower(text), {S.q(chr(92) + 'b' + chr(92) + 'Q')} || skill || {S.q(chr(92) + 'E' + chr(92) + 'b')})) as mentions
+       from (select target_id, text, unnest(required) as skill from (select distinct target_id, required from gap) join targ using (target_id))),
+x as (select doc_id, target_id, unnest(missing) as skill from gap)
+select doc_id, target_id, array_to_string(list(skill order by mentions desc, skill)[1:5], ',') as priority_skills
+from x join mn using (target_id, skill) group by all
+""")
+def q_priority(spark, sf):
+    c, t = _cand(spark, sf), _targ(spark, sf)
+    tsk = M.gap_skills(t, "target_id")
+    g = M.skill_gap(M.gap_skills(c, "doc_id"), tsk)
+    p = M.priority_skills(g, M.skill_mentions(t, tsk))
+    return p.select("doc_id", "target_id", F.array_join("priority_skills", ",").alias("priority_skills"))
+
+
+@register("skill_demand", f"""
+with {CAND}, {TARG}, ds as ({_gap_sql_skills('cand', 'doc_id')}), ts as ({_gap_sql_skills('targ', 'target_id')}),
+t as (select skill, count(*) as n_targets from (select unnest(skills) as skill from ts) group by all),
+d as (select skill, count(*) as n_docs from (select unnest(skills) as skill from ds) group by all)
+select coalesce(t.skill, d.skill) as skill, coalesce(n_targets, 0) as n_targets, coalesce(n_docs, 0) as n_docs,
+  round(coalesce(n_targets, 0) / greatest(coalesce(n_docs, 0), 1), 6) as gap_ratio
+from t full outer join d using (skill)
+""")
+def q_skill_demand(spark, sf):
+    return M.skill_demand(M.gap_skills(_cand(spark, sf), "doc_id"), M.gap_skills(_targ(spark, sf), "target_id"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)
