@@ -20,8 +20,10 @@ from ..sources import corpus as C
 from ..sources import derived as D
 from ..functions import dims
 from ..operators import extract as X
+from ..operators import score as SC
 from . import features as FE
 from . import sqlfeatures as SF
+from . import report as RP
 from . import sqltext as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,5 +468,97 @@ def q_skill_demand(spark, sf):
     return M.skill_demand(M.gap_skills(_cand(spark, sf), "doc_id"), M.gap_skills(_targ(spark, sf), "target_id"))
 
 
+
+# ---------------------------------------------------------------- 2.4 scoring
+DDIM = f"ddim as ({SF.doc_dims('cand')})"
+
+
+@register("section_score", f"""
+with {CAND}, {DDIM} select doc_id, round(section_completeness, 9) as section_score,
+  round(section_completeness * 100, 1) as section_completeness from ddim
+""")
+def q_section_score(spark, sf):
+    d = RP.doc_dimensions(_cand(spark, sf), spark)
+    return d.select("doc_id", F.round("section_completeness", 9).alias("section_score"),
+                    F.round(F.col("section_completeness") * 100, 1).alias("section_completeness"))
+
+
+@register("content_strength", f"""
+with {CAND}, {DDIM} select doc_id, n_strong, n_weak, quant_count, word_count,
+  round(content_strength, 9) as content_strength, round(content_strength * 100, 1) as content_strength_pct from ddim
+""")
+def q_content_strength(spark, sf):
+    d = RP.doc_dimensions(_cand(spark, sf), spark)
+    return d.select("doc_id", "n_strong", "n_weak", "quant_count", "word_count",
+                    F.round("content_strength", 9).alias("content_strength"),
+                    F.round(F.col("content_strength") * 100, 1).alias("content_strength_pct"))
+
+
+@register("readability_score", f"""
+with {CAND}, {DDIM} select doc_id, flesch_kincaid_score, avg_words_per_sentence,
+  round(readability_score, 9) as readability_score from ddim
+""")
+def q_readability_score(spark, sf):
+    d = RP.doc_dimensions(_cand(spark, sf), spark)
+    return d.select("doc_id", "flesch_kincaid_score", "avg_words_per_sentence",
+                    F.round("readability_score", 9).alias("readability_score"))
+
+
+SCORED_SQL = f"""
+{CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM},
+{_tfidf_terms_sql('dterms', 'cand', 'doc_id', 'text')}, {_tfidf_terms_sql('tterms', 'targ', 'target_id', 'text')},
+{_tfidf_sql('dterms', 'tterms')},
+scored as (
+  with p as (select c.*, coalesce(t.tfidf_similarity, 0.0) as tfidf_similarity,
+      coalesce(case when a.embedding is null or b.embedding is null then 0.0
+               else list_cosine_similarity(a.embedding::double[], b.embedding::double[]) end, 0.0) as semantic_similarity
+    from cov c left join tfidf t using (doc_id, target_id)
+    left join embeddings a on a.vec_id = c.doc_id left join embeddings b on b.vec_id = c.target_id),
+  j as (select p.*, round(0.7::double * round(semantic_similarity, 6) + 0.3::double * round(tfidf_similarity, 6), 7)
+           as blended_similarity, d.* exclude (doc_id) from p join ddim d using (doc_id))
+  select *, {SF.composite('blended_similarity', 'keyword_coverage', 'section_completeness', 'content_strength', 'readability_score')}
+    as final_score from j)"""
+
+
+def _scored(spark, sf):
+    return RP.score_pairs(_cand(spark, sf), _targ(spark, sf), spark, C.load(spark, sf, "embeddings"))
+
+
+@register("composite_score", f"""
+with {SCORED_SQL}
+select doc_id, target_id, final_score, {SF.grade('final_score')} as grade,
+  round(blended_similarity * 100, 1) as semantic_similarity, round(keyword_coverage * 100, 1) as keyword_coverage,
+  round(section_completeness * 100, 1) as section_completeness, round(content_strength * 100, 1) as content_strength,
+  round(readability_score * 100, 1) as readability from scored
+""")
+def q_composite(spark, sf):
+    s = _scored(spark, sf)
+    m = F.col("dimension_scores")
+    return s.select("doc_id", "target_id", "final_score", "grade",
+                    *[F.element_at(m, k).alias(k) for k, _, _ in L.DIMENSIONS])
+
+
+@register("rank_documents", f"""
+with {SCORED_SQL}
+select * from (select target_id, doc_id, final_score,
+  row_number() over (partition by target_id order by final_score desc, doc_id) as rank,
+  round(percent_rank() over (partition by target_id order by final_score desc, doc_id), 6) as pct_rank from scored)
+where rank <= 10
+""")
+def q_rank(spark, sf):
+    r = SC.rank_documents(_scored(spark, sf).select("target_id", "doc_id", "final_score"), 10)
+    return r.select("target_id", "doc_id", "final_score", "rank", "pct_rank")
+
+
+@register("grade_histogram", f"""
+with {SCORED_SQL}, g as (select target_id, {SF.grade('final_score')} as grade from scored)
+select target_id, count(*) filter (where grade = 'Excellent') as "Excellent", count(*) filter (where grade = 'Good') as "Good",
+  count(*) filter (where grade = 'Average') as "Average", count(*) filter (where grade = 'Below Average') as "Below Average",
+  count(*) filter (where grade = 'Poor') as "Poor" from g group by target_id
+""")
+def q_grade_hist(spark, sf):
+    return SC.grade_histogram(_scored(spark, sf).select("target_id", "grade"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)

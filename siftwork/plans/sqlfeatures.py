@@ -81,3 +81,53 @@ per as (select doc_id,
    coalesce(list(verb order by first) filter (where kind = 'weak'), []) as weak_verbs
  from hits group by doc_id)
 select doc_id, strong_verbs, weak_verbs, len(strong_verbs) as n_strong, len(weak_verbs) as n_weak from per"""
+
+
+def sec_score(p: str = "") -> str:
+    req = " + ".join(f"{p}has_{s}::int" for s in L.REQUIRED_SECTIONS)
+    bon = " + ".join(f"{p}has_{s}::int" for s in L.BONUS_SECTIONS)
+    return f"(0.8::double * (({req}) / 3) + 0.2::double * (({bon}) / 4))"
+
+
+def length_score(w: str) -> str:
+    return (f"(case when {w} < 150 then 0.3::double when {w} < 300 then 0.6::double when {w} <= 900 then 1.0::double "
+            f"when {w} <= 1200 then 0.8::double else 0.6::double end)")
+
+
+def content_strength(n_strong: str, n_weak: str, quant: str, words: str) -> str:
+    v = (f"0.35::double * least(1.0::double, {n_strong} / 10.0::double) + 0.25::double * least(1.0::double, {quant} / 10.0::double)"
+         f" + 0.25::double * {length_score(words)} - least(0.3::double, {n_weak} * 0.05::double)")
+    return f"greatest(0.0::double, least(1.0::double, {v}))"
+
+
+def readability_score(fk: str, avg: str) -> str:
+    a = (f"(case when {fk} >= 50 and {fk} <= 70 then 1.0::double when ({fk} >= 30 and {fk} < 50) or ({fk} > 70 and {fk} <= 80) "
+         f"then 0.75::double else 0.5::double end)")
+    b = (f"(case when {avg} >= 10 and {avg} <= 20 then 1.0::double when ({avg} >= 8 and {avg} < 10) or ({avg} > 20 and {avg} <= 25) "
+         f"then 0.75::double else 0.5::double end)")
+    return f"(0.6::double * {a} + 0.4::double * {b})"
+
+
+def doc_dims(src: str) -> str:
+    """CTE body: features + verbs + section/content/readability scores for relation ``src``."""
+    return f"""
+  with f as ({features(src)}), v as ({verb_usage(src)}),
+  fv as (select f.*, coalesce(v.strong_verbs, []) as strong_verbs, coalesce(v.weak_verbs, []) as weak_verbs,
+           coalesce(v.n_strong, 0) as n_strong, coalesce(v.n_weak, 0) as n_weak from f left join v using (doc_id))
+  select *, {sec_score()} as section_completeness,
+    {content_strength('n_strong', 'n_weak', 'quant_count', 'word_count')} as content_strength,
+    {readability_score('flesch_kincaid_score', 'avg_words_per_sentence')} as readability_score
+  from fv"""
+
+
+def composite(sem: str, kw: str, sec: str, cs: str, rd: str) -> str:
+    w = {k: v for k, v, _ in L.DIMENSIONS}
+    tot = (f"({sem} * {w['semantic_similarity']}::double + {kw} * {w['keyword_coverage']}::double + "
+           f"{sec} * {w['section_completeness']}::double + {cs} * {w['content_strength']}::double + "
+           f"{rd} * {w['readability']}::double) * 100")
+    return f"round(greatest(0.0::double, least(100.0::double, {tot})), 1)"
+
+
+def grade(x: str) -> str:
+    return (f"(case when {x} >= 85 then 'Excellent' when {x} >= 70 then 'Good' when {x} >= 55 then 'Average' "
+            f"when {x} >= 40 then 'Below Average' else 'Poor' end)")
