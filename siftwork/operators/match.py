@@ -72,6 +72,7 @@ def keyword_density(docs: DataFrame, targets: DataFrame, spark: SparkSession, te
         "doc_id", "target_id", "matched_count", "total_words",
         F.round(F.col("matched_count") / F.greatest(F.col("total_words"), F.lit(1)) * 100, 1).alias("density_percent"),
         F.array_join(missing, ",").alias("top_missing"),
+        missing.alias("top_missing_list"),
     )
 
 

@@ -21,6 +21,7 @@ from ..sources import derived as D
 from ..functions import dims
 from ..operators import extract as X
 from ..operators import score as SC
+from ..operators import screen as SCR
 from . import features as FE
 from . import sqlfeatures as SF
 from . import report as RP
@@ -30,9 +31,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _normalize(df: DataFrame) -> DataFrame:
+    """Widen integer columns to bigint and float to double, so both engines report one schema."""
+    from pyspark.sql import types as TY
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (TY.IntegerType, TY.ShortType, TY.ByteType)):
+            c = c.cast("bigint")
+        elif isinstance(f.dataType, TY.FloatType):
+            c = c.cast("double")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _normalize(fn(spark, sf_dir))
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -93,7 +112,7 @@ from pairs p join tot t using (target_id)
 
 @register("keyword_density", _DENSITY_SQL)
 def q_density(spark, sf):
-    return M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark)
+    return M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark).drop("top_missing_list")
 
 
 @register("density_top5", f"""
@@ -195,7 +214,7 @@ def q_section_presence(spark, sf):
 @register("section_coverage", f"""
 with {CAND}, p as (select doc_id, {SF.section_cols('text')} from cand),
 u as (unpivot p on {", ".join("has_" + k for k, _ in L.SECTION_PATTERNS)} into name section value present)
-select replace(section, 'has_', '') as section, count(*) as n_docs, sum(present::int) as n_present,
+select replace(section, 'has_', '') as section, count(*) as n_docs, sum(present::int)::bigint as n_present,
        round(avg(present::int), 6) as share from u group by all
 """)
 def q_section_coverage(spark, sf):
@@ -276,7 +295,7 @@ cov as (
           from pairs p join tt using (target_id)
           left join dt on dt.doc_id = p.doc_id and dt.canonical = tt.canonical
           left join sub on sub.doc_id = p.doc_id and sub.canonical = tt.canonical),
-  agg as (select doc_id, target_id, sum(is_match::int) as n_exact, sum((not is_match and is_sub)::int) as n_bonus,
+  agg as (select doc_id, target_id, sum(is_match::int)::bigint as n_exact, sum((not is_match and is_sub)::int)::bigint as n_bonus,
             coalesce(list_sort(list(canonical) filter (where is_match or is_sub)), []) as m,
             coalesce(list_sort(list(canonical) filter (where not is_match and not is_sub)), []) as x
           from per group by all)
@@ -560,5 +579,92 @@ def q_grade_hist(spark, sf):
     return SC.grade_histogram(_scored(spark, sf).select("target_id", "grade"))
 
 
+
+# ---------------------------------------------------------------- 2.5 screening
+SCREEN_DOCS = f"""sf as ({SF.screen_features('documents')}), sl as ({SF.screen_lists('sf')})"""
+
+
+def _screened_docs(spark, sf, density=None):
+    return SCR.screen(_docs(spark, sf), "text", density)
+
+
+@register("top_third_scan", f"""
+with {SCREEN_DOCS} select doc_id, len(scan_issues) = 0 as scan_passed, array_to_string(scan_issues, '|') as issues,
+  array_to_string(scan_strengths, '|') as strengths from sl
+""")
+def q_scan(spark, sf):
+    s = _screened_docs(spark, sf)
+    return s.select("doc_id", "scan_passed", F.array_join("scan_issues", "|").alias("issues"),
+                    F.array_join("scan_strengths", "|").alias("strengths"))
+
+
+@register("parse_issues", f"""
+with {SCREEN_DOCS}, pf as ({SF.screen_features("(select page_id as doc_id, html as text from pages)")}),
+pl as ({SF.screen_lists('pf')})
+select 'document' as kind, doc_id as id, len(parse_issues) as n_issues, array_to_string(parse_issues, '|') as issues from sl
+union all
+select 'page' as kind, doc_id as id, len(parse_issues) as n_issues, array_to_string(parse_issues, '|') as issues from pl
+""")
+def q_parse_issues(spark, sf):
+    d = _screened_docs(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "parse_issues")
+    pages = C.load(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    p = SCR.screen(pages, "text").select(F.lit("page").alias("kind"), F.col("doc_id").alias("id"), "parse_issues")
+    u = d.unionByName(p)
+    return u.select("kind", "id", F.size("parse_issues").alias("n_issues"),
+                    F.array_join("parse_issues", "|").alias("issues"))
+
+
+@register("weak_sections", f"""
+with {SCREEN_DOCS} select doc_id, len(weak) as n_weak,
+  array_to_string(list_transform(weak, lambda w: w.severity || ':' || w.section), '|') as weak_sections from sl
+""")
+def q_weak_sections(spark, sf):
+    s = _screened_docs(spark, sf)
+    return s.select("doc_id", F.size("weak_sections").alias("n_weak"), F.array_join(
+        F.transform("weak_sections", lambda w: F.concat(w["severity"], F.lit(":"), w["section"])), "|").alias("weak_sections"))
+
+
+SCREEN_PAIRS = f"""dens as ({_DENSITY_SQL}),
+dm as (select *, string_split(top_missing, ',') as top_missing_list from dens),
+sp as (select d.target_id, d.density_percent, case when d.top_missing = '' then [] else d.top_missing_list end as top_missing_list,
+       sl.* from dm d join sl using (doc_id)),
+vv as (select *, {SF.verdict_cols()} from sp)"""
+
+
+def _screen_pairs(spark, sf):
+    dens = M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark) \
+        .select("doc_id", "target_id", "density_percent", "top_missing_list")
+    return _screened_docs(spark, sf, dens)
+
+
+@register("screening_verdict", f"""
+with {SCREEN_DOCS}, {SCREEN_PAIRS}
+select doc_id, target_id, ats_score, verdict, array_to_string(reasoning, '|') as reasoning from vv
+""")
+def q_verdict(spark, sf):
+    s = _screen_pairs(spark, sf)
+    return s.select("doc_id", "target_id", "ats_score", "verdict", F.array_join("reasoning", "|").alias("reasoning"))
+
+
+@register("screening_recommendations", f"""
+with {SCREEN_DOCS}, {SCREEN_PAIRS}, rr as (select doc_id, target_id, {SF.recommendation_col()} from vv)
+select doc_id, target_id, len(recommendations) as n_recs,
+  array_to_string(list_transform(recommendations, lambda r: r.priority || ':' || r.action), '|') as recommendations from rr
+""")
+def q_recs(spark, sf):
+    s = _screen_pairs(spark, sf)
+    return s.select("doc_id", "target_id", F.size("recommendations").alias("n_recs"), F.array_join(
+        F.transform("recommendations", lambda r: F.concat(r["priority"], F.lit(":"), r["action"])), "|").alias("recommendations"))
+
+
+@register("verdict_rollup", f"""
+with {SCREEN_DOCS}, {SCREEN_PAIRS}
+select target_id, verdict, count(*) as n_docs, sum(len(parse_issues))::bigint as n_parse_issues,
+  sum(len(scan_issues))::bigint as n_scan_issues, sum(len(weak))::bigint as n_weak_sections from vv group by cube(target_id, verdict)
+""")
+def q_rollup(spark, sf):
+    return SCR.verdict_rollup(_screen_pairs(spark, sf), "target_id", "verdict")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)

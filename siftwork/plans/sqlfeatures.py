@@ -131,3 +131,78 @@ def composite(sem: str, kw: str, sec: str, cs: str, rd: str) -> str:
 def grade(x: str) -> str:
     return (f"(case when {x} >= 85 then 'Excellent' when {x} >= 70 then 'Good' when {x} >= 55 then 'Average' "
             f"when {x} >= 40 then 'Below Average' else 'Poor' end)")
+
+
+# ---------------------------------------------------------------- screening
+from ..operators import screen as _SC  # noqa: E402
+
+
+def screen_features(src: str, t: str = "text") -> str:
+    third = f"substring({t}, 1, length({t}) // 3)"
+    first_line = f"regexp_extract({third}, '^[ \\t\\n\\r\\f\\x0B]*([^\\n]*)', 1)"
+    parse = ", ".join(f"regexp_matches({t}, {q(p)}) as parse_{k}" for k, p, _ in L.PARSE_RULES if p is not None)
+    secs = ", ".join(f"regexp_matches(lower({t}), {q(p)}) as sec_{k}" for k, p in L.SCREEN_SECTION_PATTERNS)
+    return f"""select doc_id, {word_count(t)} as ws_words,
+  regexp_matches({third}, {q(_SC.SCAN_CONTACT)}) as scan_contact,
+  (length({strip(first_line)}) > 0 and {word_count(first_line)} <= 5) as scan_title,
+  regexp_matches({third}, {q(_SC.SCAN_SUMMARY)}) as scan_summary,
+  {bullet_count(t, X.SCREEN_BULLET)} as screen_bullets, {rcount(t, r'\b\d+\b')} as quant_count,
+  regexp_matches({t}, {q(X.YEAR)}) as has_year, {parse}, {secs}
+from {src}"""
+
+
+def _arr(items) -> str:
+    return "list_filter([" + ", ".join(f"case when {c} then {v} end" for c, v in items) + "], lambda x: x is not null)"
+
+
+def screen_lists(src: str) -> str:
+    """Adds scan_issues, scan_strengths, parse_issues, weak (list of struct) to ``src`` rows."""
+    m = L.SCAN_MESSAGES
+    issues = _arr([("not scan_contact", q(m["contact_bad"])), ("not scan_title", q(m["title_bad"])),
+                   ("not scan_summary", q(m["summary_bad"])), ("ws_words < 200", q(m["sparse"])),
+                   ("ws_words > 1200", q(m["long"]))])
+    strengths = _arr([("scan_contact", q(m["contact_ok"])), ("scan_title", q(m["title_ok"])),
+                      ("scan_summary", q(m["summary_ok"])),
+                      ("ws_words >= 200 and ws_words <= 1200",
+                       "'Resume length (' || ws_words || ' words) is within acceptable range.'")])
+    msgs = {k: msg for k, _, msg in L.PARSE_RULES}
+    parse = _arr([(f"parse_{k}", q(msgs[k])) for k, p, _ in L.PARSE_RULES if p is not None]
+                 + [("not has_year", q(msgs["no_dates"])), ("screen_bullets < 3", q(msgs["few_bullets"]))])
+    conds = {"no_contact": "not sec_contact", "no_experience": "not sec_experience",
+             "few_exp_bullets": "sec_experience and screen_bullets < 4", "no_skills": "not sec_skills",
+             "no_education": "not sec_education", "no_summary": "not sec_summary", "few_numbers": "quant_count < 3"}
+    weak = _arr([(conds[k], f"{{'section': {q(sec)}, 'reason': {q(reason)}, 'severity': {q(sev)}}}")
+                 for k, sec, reason, sev in L.WEAK_SECTION_RULES])
+    return f"select *, {issues} as scan_issues, {strengths} as scan_strengths, {parse} as parse_issues, {weak} as weak from {src}"
+
+
+def verdict_cols(density: str = "density_percent") -> str:
+    """ats_score, verdict, reasoning over a relation with screen lists and a density column."""
+    m = L.VERDICT_MESSAGES
+    crit = ["experience", "skills", "education", "contact"]
+    missing = _arr([(f"not sec_{s}", q(s)) for s in crit])
+    d = f"coalesce({density}::double, 50.0::double)"
+    ncw = "len(list_filter(weak, lambda w: w.severity = 'critical'))"
+    raw = (f"(100 - len({missing}) * 20 - len(parse_issues) * 8 - len(scan_issues) * 5 - "
+           f"(case when {d} < 30 then 15 when {d} < 50 then 5 else 0 end) - {ncw} * 10)")
+    score = f"greatest(0, least(100, {raw}))"
+    reasons = _arr([(f"len({missing}) > 0", f"'Missing critical sections: ' || array_to_string({missing}, ', ') || '.'"),
+                    ("len(parse_issues) > 0", "len(parse_issues) || ' ATS parsing issue(s) detected.'"),
+                    ("len(scan_issues) > 0", q(m["scan"])),
+                    (f"{d} < 30", f"'Low keyword match (' || printf('%.1f', {d}) || '%) with job description.'")])
+    tail = (f"(case when {score} >= 70 then (case when len({reasons}) = 0 then [{q(m['pass_default'])}] else [] end) "
+            f"when {score} >= 45 then [{q(m['conditional'])}] else [{q(m['fail'])}] end)")
+    verdict = f"(case when {score} >= 70 then 'PASS' when {score} >= 45 then 'CONDITIONAL' else 'FAIL' end)"
+    return f"{score} as ats_score, {verdict} as verdict, list_concat({reasons}, {tail}) as reasoning"
+
+
+def recommendation_col(missing: str = "top_missing_list") -> str:
+    parse = "list_transform(parse_issues[1:3], lambda x: {'priority': 'high', 'action': x})"
+    crit = ("list_transform(list_filter(weak, lambda w: w.severity = 'critical'), "
+            "lambda w: {'priority': 'critical', 'action': w.reason})")
+    miss = f"coalesce({missing}, [])"
+    kw = (f"(case when len({miss}) > 0 then [{{'priority': 'medium', 'action': "
+          f"'Add these missing keywords from the job description: ' || array_to_string({miss}[1:5], ', ') || '.'}}] else [] end)")
+    high = ("list_transform(list_filter(weak, lambda w: w.severity = 'high'), "
+            "lambda w: {'priority': 'high', 'action': w.reason})")
+    return f"list_concat({parse}, {crit}, {kw}, {high})[1:8] as recommendations"
