@@ -22,6 +22,7 @@ from ..functions import dims
 from ..operators import extract as X
 from ..operators import score as SC
 from ..operators import screen as SCR
+from ..operators import rewrite as RW
 from . import features as FE
 from . import sqlfeatures as SF
 from . import report as RP
@@ -666,5 +667,81 @@ def q_rollup(spark, sf):
     return SCR.verdict_rollup(_screen_pairs(spark, sf), "target_id", "verdict")
 
 
+
+# ---------------------------------------------------------------- 2.6 rewriting
+BULLETS = f"""bt as (select doc_id, bullet_no, bullet from (
+  select doc_id, unnest(generate_series(1, len(bl))) as bullet_no, unnest(bl) as bullet
+  from (select doc_id, {SF.bullets('text')} as bl from cand)))"""
+
+
+def _bullets(spark, sf):
+    return RW.bullet_table(_cand(spark, sf))
+
+
+@register("bullet_rewrite", f"with {CAND}, {BULLETS} select doc_id, bullet_no, bullet, {SF.rewrite(S.strip('bullet'))} as improved from bt")
+def q_bullet_rewrite(spark, sf):
+    return _bullets(spark, sf).select("doc_id", "bullet_no", "bullet", "improved")
+
+
+@register("bullet_flags", f"""with {CAND}, {BULLETS} select doc_id, bullet_no, regexp_matches(bullet, '\\d') as has_quantification,
+  {SF.strong_verb('bullet')} as has_strong_verb from bt""")
+def q_bullet_flags(spark, sf):
+    return _bullets(spark, sf).select("doc_id", "bullet_no", "has_quantification", "has_strong_verb")
+
+
+@register("bullet_issues", f"""with {CAND}, {BULLETS}, i as (select doc_id, bullet_no, {SF.issues('bullet')} as issues from bt)
+select doc_id, bullet_no, len(issues) as n_issues, array_to_string(issues, '|') as issues from i""")
+def q_bullet_issues(spark, sf):
+    b = _bullets(spark, sf)
+    return b.select("doc_id", "bullet_no", F.size("issues").alias("n_issues"), F.array_join("issues", "|").alias("issues"))
+
+
+@register("bullet_suggestions", f"""with {CAND}, {BULLETS}
+select doc_id, bullet_no, array_to_string({SF.suggestions('bullet')}, '|') as suggestions from bt""")
+def q_bullet_suggestions(spark, sf):
+    b = _bullets(spark, sf)
+    return b.select("doc_id", "bullet_no", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+@register("issue_histogram", f"""with {CAND}, {BULLETS}
+select issue, count(*) as n from (select unnest({SF.issues('bullet')}) as issue from bt) group by all""")
+def q_issue_hist(spark, sf):
+    return RW.issue_histogram(_bullets(spark, sf))
+
+
+@register("project_strength", f"""with {CAND}, p as (select doc_id, {SF.project_strength(SF.bullets('text'))} from cand)
+select doc_id, project_score, total_bullets, quantified_bullets, strong_verb_bullets, project_message,
+  array_to_string(project_tips, '|') as project_tips from p""")
+def q_project_strength(spark, sf):
+    c = _cand(spark, sf).select("doc_id", X.bullets_array(F.col("text"), 10).alias("bl"))
+    p = c.select("doc_id", *RW.project_strength(F.col("bl")))
+    return p.withColumn("project_tips", F.array_join("project_tips", "|"))
+
+
+@register("rewrite_document", f"""with {CAND}, r as (select doc_id, {SF.rewrite_document('text')} as rewritten from cand)
+select doc_id, length(rewritten) as n_chars, md5(rewritten) as rewritten_md5 from r""")
+def q_rewrite_document(spark, sf):
+    r = _cand(spark, sf).select("doc_id", RW.rewrite_document(F.col("text")).alias("rewritten"))
+    return r.select("doc_id", F.length("rewritten").alias("n_chars"), F.md5("rewritten").alias("rewritten_md5"))
+
+
+@register("apply_replacements")
+def q_apply_replacements(spark, sf):
+    """Fold each document's analysed (original, improved) bullet pairs over its text."""
+    b = _bullets(spark, sf)
+    pairs = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "bullet_no", F.col("bullet").alias("original"), "improved"))).alias("pairs"))
+    c = _cand(spark, sf).join(pairs, "doc_id", "left")
+    out = RW.apply_replacements(F.col("text"), F.coalesce("pairs", F.array().cast(
+        "array<struct<bullet_no:int,original:string,improved:string>>")))
+    return c.select("doc_id", F.md5(out).alias("improved_md5"), F.length(out).alias("n_chars"))
+
+
+@register("render_html_lines")
+def q_render_html(spark, sf):
+    r = _cand(spark, sf).select("doc_id", RW.render_html_lines(F.col("text"), "2024-01-01").alias("html"))
+    return r.select("doc_id", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)

@@ -206,3 +206,68 @@ def recommendation_col(missing: str = "top_missing_list") -> str:
     high = ("list_transform(list_filter(weak, lambda w: w.severity = 'high'), "
             "lambda w: {'priority': 'high', 'action': w.reason})")
     return f"list_concat({parse}, {crit}, {kw}, {high})[1:8] as recommendations"
+
+
+# ---------------------------------------------------------------- rewriting
+from ..operators import rewrite as _RW  # noqa: E402
+
+STARTERS_SQL = "[" + ", ".join(q(s) for s in _RW.STARTERS_LOWER) + "]"
+
+
+def first_word(b: str) -> str:
+    return f"regexp_replace(lower(regexp_extract({b}, '^[ \\t\\n\\r\\f\\x0B]*([^ \\t\\n\\r\\f\\x0B]+)', 1)), '[.,;]+$', '')"
+
+
+def strong_verb(b: str) -> str:
+    return f"list_contains({STARTERS_SQL}, {first_word(b)})"
+
+
+def rewrite(b: str) -> str:
+    m = f"regexp_extract({b}, {q(_RW.WEAK_PREFIX)}, 1)"
+    seen, whens = set(), []
+    for w, st in L.VERB_UPGRADES:
+        if w not in seen:
+            seen.add(w)
+            whens.append(f"when {q(w)} then {q(st[:1].upper() + st[1:].lower())}")
+    cap = f"(case lower({m}) {' '.join(whens)} end)"
+    swapped = f"(case when {m} <> '' then {cap} || substring({b}, length({m}) + 1) else {b} end)"
+    upper_first = f"(upper(substring({swapped}, 1, 1)) || substring({swapped}, 2))"
+    trimmed = f"regexp_replace({upper_first}, '\\.+\\z', '')"
+    return f"(case when regexp_matches({trimmed}, '\\d') then {trimmed} else {trimmed} || {q(L.QUANT_HINT_SUFFIX)} end)"
+
+
+def issues(b: str) -> str:
+    m = L.BULLET_ISSUE_MESSAGES
+    weak = f"regexp_extract(lower({b}), {q(_RW.WEAK_PREFIX)}, 1)"
+    n = word_count(b)
+    return _arr([(f"{weak} <> ''", f"'Starts with weak verb ''' || {weak} || ''' — replace with a strong action verb.'"),
+                 (f"not regexp_matches({b}, '\\d')", q(m["no_metric"])),
+                 (f"{n} < 6", q(m["too_short"])), (f"{n} > 30", q(m["too_long"])),
+                 (f"regexp_matches(lower({b}), '\\b(was|were|been|being)\\b')", q(m["passive"]))])
+
+
+def suggestions(b: str) -> str:
+    m = L.BULLET_SUGGESTION_MESSAGES
+    verb_msg = m["verb"].format(starters=", ".join(L.STRONG_STARTERS[:6]))
+    return _arr([(f"not regexp_matches({b}, '\\d')", q(m["metric"])), (f"not {strong_verb(b)}", q(verb_msg)),
+                 (f"{word_count(b)} < 8", q(m["expand"])), ("true", q(m["tech"]))]) + "[1:3]"
+
+
+def project_strength(bl: str) -> str:
+    m = L.PROJECT_MESSAGES
+    n = f"len({bl})"
+    qn = f"len(list_filter({bl}, lambda x: regexp_matches(x, '\\d')))"
+    sn = f"len(list_filter({bl}, lambda x: {strong_verb('x')}))"
+    score = f"(case when {n} = 0 then 0 else least(100, floor(({qn} / {n}) * 60 + ({sn} / {n}) * 40)::bigint) end)"
+    tips = (f"(case when {n} = 0 then [{q(m['none_tip'])}] else list_filter([case when {score} < 50 then {q(m['low'])} "
+            f"when {score} < 80 then {q(m['mid'])} else {q(m['high'])} end, case when {qn} < {n} * 0.5 then {q(m['metric'])} end], "
+            f"lambda x: x is not null) end)")
+    msg = (f"(case when {n} = 0 then {q(m['none'])} else 'Project Strength Score: ' || {score} || '/100 based on ' || {n} "
+           f"|| ' bullet points.' end)")
+    return (f"{score} as project_score, {n} as total_bullets, {qn} as quantified_bullets, {sn} as strong_verb_bullets, "
+            f"{msg} as project_message, {tips} as project_tips")
+
+
+def rewrite_document(t: str) -> str:
+    body = f"case when {word_count('line')} > 3 and regexp_matches({strip('line')}, '^{MARK}') then {rewrite(strip('line'))} else line end"
+    return f"array_to_string(list_transform(string_split({t}, chr(10)), lambda line: {body}), chr(10))"
