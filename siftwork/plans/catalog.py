@@ -23,6 +23,7 @@ from ..operators import extract as X
 from ..operators import score as SC
 from ..operators import screen as SCR
 from ..operators import rewrite as RW
+from ..operators import advise as AD
 from . import features as FE
 from . import sqlfeatures as SF
 from . import report as RP
@@ -743,5 +744,167 @@ def q_render_html(spark, sf):
     return r.select("doc_id", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
+
+# ---------------------------------------------------------------- 2.7 feedback
+ADV_SQL = f"""adv as (
+  with t as (select doc_id, count(*) as n_tech, list_sort(list(canonical)) as tech from lexm where category = 'technical' group by all),
+  base as (select d.*, coalesce(t.n_tech, 0) as n_tech, coalesce(t.tech, []) as tech_skills from ddim d left join t using (doc_id))
+  select *, {SF.missing_sections()} as missing_sections, {SF.content_items()} as content_feedback,
+    {SF.structure_items()} as structure_feedback, {SF.readability_tips()} as readability_tips,
+    {SF.readability_fixes()} as readability_fixes, {SF.project_strength('bullets')} from base)"""
+
+
+def _adv(spark, sf):
+    c = _cand(spark, sf)
+    d = FE.with_skills(RP.doc_dimensions(c, spark), X.lexicon_match(c, spark))
+    d = FE.with_project_strength(d)
+    return d.select(
+        "*",
+        AD.missing_section_advice().alias("missing_sections"),
+        AD.content_advice(F.col("quant_count"), F.col("word_count"), F.size("tech_skills"), F.col("has_email"),
+                          F.col("has_phone")).alias("content_feedback"),
+        AD.structure_advice(F.col("n_dates"), F.col("has_linkedin"), F.col("has_github"), F.col("software_role"),
+                            F.col("feedback_bullets")).alias("structure_feedback"),
+        AD.readability_tips(F.col("avg_words_per_sentence"), F.col("flesch_kincaid_score")).alias("readability_tips"),
+        AD.readability_fixes(F.col("avg_words_per_sentence"), F.col("flesch_kincaid_score")).alias("readability_fixes"),
+    )
+
+
+@register("missing_section_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+select doc_id, len(missing_sections) as n_missing,
+  array_to_string(list_transform(missing_sections, lambda x: x.priority || ':' || x.section), '|') as advice from adv""")
+def q_missing_sections(spark, sf):
+    a = _adv(spark, sf)
+    return a.select("doc_id", F.size("missing_sections").alias("n_missing"), F.array_join(F.transform(
+        "missing_sections", lambda x: F.concat(x["priority"], F.lit(":"), x["section"])), "|").alias("advice"))
+
+
+@register("verb_upgrade_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+select doc_id, n_strong as action_verb_count, array_to_string(strong_verbs[1:10], '|') as action_verbs_found,
+  {SF.verb_strength('n_strong')} as verb_strength,
+  array_to_string(list_transform({SF.verb_upgrades('weak_verbs')}, lambda u: u.weak || '=' || u.suggestions), '|') as upgrades,
+  case when n_strong >= 8 then {S.q(L.VERB_TIPS['strong'])} else {S.q(L.VERB_TIPS['other'])} end as tip from adv""")
+def q_verb_advice(spark, sf):
+    a = _adv(spark, sf)
+    up = AD.verb_upgrade_advice(F.col("weak_verbs"), F.array().cast("array<string>"))
+    return a.select("doc_id", F.col("n_strong").alias("action_verb_count"),
+                    F.array_join(F.slice("strong_verbs", 1, 10), "|").alias("action_verbs_found"),
+                    AD.verb_strength(F.col("n_strong")).alias("verb_strength"),
+                    F.array_join(F.transform(up, lambda u: F.concat(u["weak"], F.lit("="), u["suggestions"])), "|")
+                    .alias("upgrades"), AD.verb_tip(F.col("n_strong")).alias("tip"))
+
+
+@register("content_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+select doc_id, array_to_string(list_transform(content_feedback, lambda x: x.type || ':' || x.priority || ':' || x.message), '|')
+  as content_feedback from adv""")
+def q_content_advice(spark, sf):
+    a = _adv(spark, sf)
+    return a.select("doc_id", F.array_join(F.transform("content_feedback", lambda x: F.concat_ws(
+        ":", x["type"], x["priority"], x["message"])), "|").alias("content_feedback"))
+
+
+@register("readability_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+select doc_id, array_to_string(readability_tips, '|') as tips, array_to_string(readability_fixes, '|') as fixes from adv""")
+def q_readability_advice(spark, sf):
+    a = _adv(spark, sf)
+    return a.select("doc_id", F.array_join("readability_tips", "|").alias("tips"),
+                    F.array_join("readability_fixes", "|").alias("fixes"))
+
+
+@register("structure_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+select doc_id, array_to_string(list_transform(structure_feedback, lambda x: x.type || ':' || x.message), '|') as structure
+from adv""")
+def q_structure_advice(spark, sf):
+    a = _adv(spark, sf)
+    return a.select("doc_id", F.array_join(F.transform("structure_feedback", lambda x: F.concat_ws(
+        ":", x["type"], x["message"])), "|").alias("structure"))
+
+
+@register("profile_summaries", f"""with {CAND}, {LEX_MATCH}, {DOMAIN_SQL}, {DDIM}, {ADV_SQL},
+t as (select a.doc_id, dom.domain, a.tech_skills from adv a join dom using (doc_id))
+select doc_id, unnest(generate_series(1, {len(L.PROFILE_TEMPLATES)})) as template_no,
+  unnest([{", ".join("replace(replace(" + S.q(t) + ", '{domain}', domain), '{skills}', " + SF.skills_phrase('tech_skills') + ")" for t in L.PROFILE_TEMPLATES)}])
+  as summary from t""")
+def q_profile_summaries(spark, sf):
+    c = _cand(spark, sf)
+    terms = X.lexicon_match(c, spark)
+    dom = X.domain_inference(terms, spark, c)
+    d = FE.with_skills(c.select("doc_id"), terms).join(dom, "doc_id")
+    return d.select("doc_id", F.posexplode(AD.profile_summaries(F.col("domain"), F.col("tech_skills")))
+                    .alias("template_no", "summary")).withColumn("template_no", F.col("template_no") + 1)
+
+
+PAIR_ADV_SQL = f"""padv as (
+  with k as (select doc_id, target_id, missing, round(keyword_coverage * 100, 1) as kw_score from cov)
+  select k.doc_id, k.target_id, k.kw_score, k.missing, {SF.keyword_suggestions('k.missing')} as kw_suggestions,
+    {SF.keyword_examples('k.missing')} as kw_examples, a.* exclude (doc_id) from k join adv a using (doc_id)),
+tops as (select *, {SF.top_suggestions('kw_suggestions')} as top_suggestions from padv)"""
+
+
+def _pair_adv(spark, sf):
+    a = _adv(spark, sf)
+    cov = _coverage(spark, sf).select("doc_id", "target_id", "missing",
+                                      F.round(F.col("keyword_coverage") * 100, 1).alias("kw_score"))
+    p = cov.join(a, "doc_id")
+    p = p.withColumn("kw_suggestions", AD.keyword_suggestions(F.col("missing")))
+    p = p.withColumn("kw_examples", AD.keyword_examples(F.col("missing")))
+    return p.withColumn("top_suggestions", AD.top_suggestions(
+        F.col("missing_sections"), F.col("content_feedback"), F.col("kw_suggestions"), F.col("n_strong"),
+        F.col("structure_feedback")))
+
+
+@register("keyword_advice", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
+select doc_id, target_id, kw_score, array_to_string(missing[1:15], '|') as missing_keywords,
+  array_to_string(kw_suggestions, '|') as suggestions,
+  array_to_string(list_transform(kw_examples, lambda e: e.keyword || '=' || e.example), '|') as examples,
+  case when kw_score >= 70 then {S.q(L.KEYWORD_MESSAGES['good'])} else {S.q(L.KEYWORD_MESSAGES['more'])} end as tip from padv""")
+def q_keyword_advice(spark, sf):
+    p = _pair_adv(spark, sf)
+    return p.select("doc_id", "target_id", "kw_score", F.array_join(F.slice("missing", 1, 15), "|").alias("missing_keywords"),
+                    F.array_join("kw_suggestions", "|").alias("suggestions"),
+                    F.array_join(F.transform("kw_examples", lambda e: F.concat(e["keyword"], F.lit("="), e["example"])), "|")
+                    .alias("examples"), AD.keyword_tip(F.col("kw_score")).alias("tip"))
+
+
+@register("top_suggestions", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
+select doc_id, target_id, len(top_suggestions) as n_suggestions, array_to_string(top_suggestions, '|') as top_suggestions from tops""")
+def q_top_suggestions(spark, sf):
+    p = _pair_adv(spark, sf)
+    return p.select("doc_id", "target_id", F.size("top_suggestions").alias("n_suggestions"),
+                    F.array_join("top_suggestions", "|").alias("top_suggestions"))
+
+
+@register("quick_tips", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL},
+qt as (select doc_id, target_id, {SF.distinct_in_order(
+    "list_concat(list_concat(case when len(readability_fixes) > 0 then ['Fix <strong>' || readability_fixes[1] || '</strong> for better ATS parsing.'] else [] end, "
+    "case when project_score < 70 then [" + S.q(L.QUICK_TIP_MESSAGES['project']) + "] else [] end), top_suggestions[1:3])")}[1:4] as tips from tops)
+select doc_id, target_id, array_to_string(tips, '|') as quick_tips from qt""")
+def q_quick_tips(spark, sf):
+    p = _pair_adv(spark, sf)
+    return p.select("doc_id", "target_id", F.array_join(AD.quick_tips(
+        F.col("readability_fixes"), F.col("project_score"), F.col("top_suggestions")), "|").alias("quick_tips"))
+
+
+@register("suggestion_frequency", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
+select suggestion, count(*) as n_docs from (select unnest(top_suggestions) as suggestion from tops) group by all""")
+def q_suggestion_frequency(spark, sf):
+    return AD.suggestion_frequency(_pair_adv(spark, sf))
+
+
+@register("overall_summary", f"""with {SCORED_SQL},
+d as (select doc_id, target_id, final_score, {SF.grade('final_score')} as grade,
+  [round(blended_similarity * 100, 1) + 0.0, round(keyword_coverage * 100, 1), round(section_completeness * 100, 1),
+   round(content_strength * 100, 1), round(readability_score * 100, 1)] as v from scored),
+e as (select *, list_position(v, list_max(v)) as bi, list_position(v, list_min(v)) as wi from d)
+select doc_id, target_id, 'Your resume scored ' || final_score::varchar || '/100 (' || grade || '). Your strongest area is '
+  || {S.lst([lab for _, _, lab in L.DIMENSIONS])}[bi] || ' (' || v[bi]::varchar || '/100), while '
+  || {S.lst([lab for _, _, lab in L.DIMENSIONS])}[wi] || ' (' || v[wi]::varchar || '/100) needs the most improvement.' as summary
+from e""")
+def q_overall_summary(spark, sf):
+    s = _scored(spark, sf)
+    dims = [F.element_at("dimension_scores", k) for k, _, _ in L.DIMENSIONS]
+    return s.select("doc_id", "target_id", AD.overall_summary(F.col("final_score"), F.col("grade"), dims).alias("summary"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)

@@ -271,3 +271,96 @@ def project_strength(bl: str) -> str:
 def rewrite_document(t: str) -> str:
     body = f"case when {word_count('line')} > 3 and regexp_matches({strip('line')}, '^{MARK}') then {rewrite(strip('line'))} else line end"
     return f"array_to_string(list_transform(string_split({t}, chr(10)), lambda line: {body}), chr(10))"
+
+
+# ---------------------------------------------------------------- feedback
+def distinct_in_order(lst: str) -> str:
+    return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
+
+
+def missing_sections() -> str:
+    advice = dict(L.SECTION_ADVICE)
+    items = []
+    for s, _ in L.SECTION_PATTERNS:
+        pr = "high" if s in L.HIGH_PRIORITY_SECTIONS else "medium"
+        items.append((f"not has_{s}", f"{{'section': {q(s)}, 'priority': {q(pr)}, 'suggestion': {q(advice[s])}}}"))
+    return _arr(items)
+
+
+def verb_strength(n: str) -> str:
+    return f"(case when {n} >= 8 then 'strong' when {n} >= 4 then 'moderate' else 'weak' end)"
+
+
+def verb_upgrades(weak_verbs: str) -> str:
+    cases = " ".join(f"when {q(w)} then {q(sg)}" for w, sg in L.WEAK_TO_STRONG)
+    m = f"(case v {cases} end)"
+    return f"list_transform(list_filter({weak_verbs}, lambda v: {m} is not null), lambda v: {{'weak': v, 'suggestions': {m}}})"
+
+
+def content_items() -> str:
+    m = L.CONTENT_MESSAGES
+
+    def item(t, p, msg):
+        return f"{{'type': {q(t)}, 'priority': {q(p)}, 'message': {msg}}}"
+    return _arr([
+        ("quant_count < 3", item("quantification", "high", q(m["quant_high"]))),
+        ("quant_count >= 3 and quant_count < 6", item("quantification", "medium",
+         "'You have ' || quant_count || ' quantified points. Aim for at least 6-8 metrics to strengthen impact.'")),
+        ("word_count < 200", item("length", "high",
+         "'Resume is too short (' || word_count || ' words). Expand your experience and skills sections to 400-700 words.'")),
+        ("word_count > 1000", item("length", "medium",
+         "'Resume is quite long (' || word_count || ' words). Consider trimming to 600-800 words for better ATS parsing.'")),
+        ("n_tech < 10", item("skills", "medium", q(m["skills"]))),
+        ("not has_email", item("contact", "high", q(m["email"]))),
+        ("not has_phone", item("contact", "medium", q(m["phone"]))),
+    ])
+
+
+def readability_tips() -> str:
+    m = L.READABILITY_MESSAGES
+    tips = _arr([("avg_words_per_sentence > 25", q(m["long"])), ("avg_words_per_sentence < 6", q(m["short"])),
+                 ("flesch_kincaid_score < 30", q(m["complex"])), ("flesch_kincaid_score > 80", q(m["simple"]))])
+    return f"(case when len({tips}) = 0 then [{q(m['good'])}] else {tips} end)"
+
+
+def readability_fixes() -> str:
+    m = L.READABILITY_MESSAGES
+    return _arr([("avg_words_per_sentence > 25", q(m["long_fix_issue"])),
+                 ("flesch_kincaid_score < 30", q(m["complex_fix_issue"]))])
+
+
+def structure_items() -> str:
+    m = L.STRUCTURE_MESSAGES
+
+    def item(t, k):
+        return f"{{'type': {q(t)}, 'message': {q(m[k])}}}"
+    return _arr([("n_dates < 2", item("dates", "dates")), ("not has_linkedin", item("links", "linkedin")),
+                 ("not has_github and software_role", item("links", "github")),
+                 ("feedback_bullets < 5", item("formatting", "bullets"))])
+
+
+def keyword_suggestions(missing: str) -> str:
+    return (f"list_transform({missing}[1:10], lambda kw_: 'Consider adding ''' || kw_ || "
+            f"''' — it appears in the job description but not your resume.')")
+
+
+def keyword_examples(missing: str) -> str:
+    tpls = "[" + ", ".join(q(t) for t in L.KEYWORD_TEMPLATES) + "]"
+    return (f"list_transform({missing}[1:10], lambda kw_, i: {{'keyword': kw_, 'example': "
+            f"replace({tpls}[((i - 1) % {len(L.KEYWORD_TEMPLATES)}) + 1], '{{kw}}', kw_)}})")
+
+
+def top_suggestions(kw_suggestions: str) -> str:
+    parts = (f"list_concat(list_concat(list_concat(list_concat("
+             f"list_transform(list_filter(missing_sections, lambda x: x.priority = 'high'), lambda x: x.suggestion), "
+             f"list_transform(list_filter(content_feedback, lambda x: x.priority = 'high'), lambda x: x.message)), "
+             f"coalesce({kw_suggestions}, [])[1:1]), "
+             f"case when n_strong = 0 then [{q(L.VERB_TIPS['other'])}] else [] end), "
+             f"list_transform(structure_feedback, lambda x: x.message))")
+    return distinct_in_order(parts) + "[1:5]"
+
+
+def skills_phrase(skills: str) -> str:
+    top = f"(case when len({skills}) > 0 then {skills} else {'[' + ', '.join(q(x) for x in L.PROFILE_DEFAULT_SKILLS) + ']'} end)[1:3]"
+    return (f"(case when len({top}) > 1 then array_to_string({top}[1:len({top}) - 1], ', ') || ' and ' || {top}[len({top})] "
+            f"else {top}[1] end)")
