@@ -24,6 +24,8 @@ from ..operators import score as SC
 from ..operators import screen as SCR
 from ..operators import rewrite as RW
 from ..operators import advise as AD
+from ..operators import repos as RE
+from ..operators import versions as VE
 from . import features as FE
 from . import sqlfeatures as SF
 from . import report as RP
@@ -906,5 +908,182 @@ def q_overall_summary(spark, sf):
     return s.select("doc_id", "target_id", AD.overall_summary(F.col("final_score"), F.col("grade"), dims).alias("summary"))
 
 
+
+# ---------------------------------------------------------------- 2.8 versions
+def _versions(spark, sf):
+    conv = C.load(spark, sf, "conversations")
+    clean = T.clean_text("text")
+    r = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), F.col("role").alias("label"),
+                    "text", *[c for c in X.readability_columns(clean) if True], T.quant_count(clean).alias("q"))
+    dims_ = F.map_from_entries(F.filter(F.array(
+        F.struct(F.lit("readability").alias("k"), F.col("flesch_kincaid_score").alias("v")),
+        F.when(F.col("q") > 0, F.struct(F.lit("quantification").alias("k"), F.col("q").cast("double").alias("v")))),
+        lambda x: x.isNotNull()))
+    r = r.withColumn("dims", dims_)
+    return VE.version_append(r, "ts", "session_id", "label", "text", "flesch_kincaid_score", "readability_grade", "dims")
+
+
+VERSIONS_SQL = f"""
+v0 as (select conv_id::varchar as session_id, turn as ts, {S.strip("coalesce(role, '')")} as label,
+        {S.strip("coalesce(text, '')")} as vtext, {SF.readability_cols(S.clean('text'))},
+        {S.rcount(S.clean('text'), r'\b\d+\b')} as q from conversations),
+ver as (select session_id, row_number() over (partition by session_id order by ts) as version_id, label, vtext,
+        flesch_kincaid_score as score, readability_grade as grade, q from v0 where label <> '' and vtext <> ''),
+vdims as (select session_id, version_id, 'readability' as dimension, score as value from ver
+          union all select session_id, version_id, 'quantification', q::double from ver where q > 0)"""
+
+
+@register("version_append", f"""with {VERSIONS_SQL}
+select session_id, version_id, label, md5(vtext) as text_md5, score, grade,
+  (select count(*) from vdims d where d.session_id = ver.session_id and d.version_id = ver.version_id) as n_dims from ver""")
+def q_version_append(spark, sf):
+    v = _versions(spark, sf)
+    return v.select("session_id", "version_id", "label", F.md5("text").alias("text_md5"), "score", "grade",
+                    F.size("dims").alias("n_dims"))
+
+
+@register("version_list", f"with {VERSIONS_SQL} select session_id, version_id, label, score, grade from ver")
+def q_version_list(spark, sf):
+    return VE.version_list(_versions(spark, sf)).select("session_id", "version_id", "label", "score", "grade")
+
+
+@register("version_compare", f"""with {VERSIONS_SQL},
+req as (select distinct session_id, 1 as id_a, 2 as id_b from ver union all select distinct session_id, 2, 3 from ver),
+r as (select req.*, a.score as score_a, b.score as score_b from req
+      left join ver a on a.session_id = req.session_id and a.version_id = req.id_a
+      left join ver b on b.session_id = req.session_id and b.version_id = req.id_b),
+ok as (select * from r where score_a is not null and score_b is not null),
+da as (select ok.session_id, id_a, id_b, dimension, value as version_a from ok join vdims d
+       on d.session_id = ok.session_id and d.version_id = ok.id_a),
+db as (select ok.session_id, id_a, id_b, dimension, value as version_b from ok join vdims d
+       on d.session_id = ok.session_id and d.version_id = ok.id_b),
+both_ as (select coalesce(da.session_id, db.session_id) as session_id, coalesce(da.id_a, db.id_a) as id_a,
+          coalesce(da.id_b, db.id_b) as id_b, coalesce(da.dimension, db.dimension) as dimension,
+          coalesce(version_a, 0.0) as version_a, coalesce(version_b, 0.0) as version_b
+          from da full outer join db using (session_id, id_a, id_b, dimension))
+select b.session_id, b.id_a::bigint as id_a, b.id_b::bigint as id_b, dimension, version_a, version_b,
+  round(version_b - version_a, 1) as delta, round(score_b - score_a, 1) as score_delta, null::varchar as error
+from both_ b join ok using (session_id, id_a, id_b)
+union all
+select session_id, id_a::bigint, id_b::bigint, null, null, null, null, null, {S.q(VE.NOT_FOUND)} from r
+where score_a is null or score_b is null""")
+def q_version_compare(spark, sf):
+    v = _versions(spark, sf)
+    sessions = v.select("session_id").distinct()
+    req = sessions.select("session_id", F.lit(1).alias("id_a"), F.lit(2).alias("id_b")).unionByName(
+        sessions.select("session_id", F.lit(2).alias("id_a"), F.lit(3).alias("id_b")))
+    return VE.version_compare(v, req)
+
+
+@register("version_trend", f"""with {VERSIONS_SQL}
+select session_id, version_id, score, round(score - lag(score) over w, 1) as change,
+  max(score) over (w rows between unbounded preceding and current row) as best_so_far
+from ver window w as (partition by session_id order by version_id)""")
+def q_version_trend(spark, sf):
+    return VE.version_trend(_versions(spark, sf))
+
+
+# ---------------------------------------------------------------- 2.9 repositories
+REPOS = f"repos as ({S.repos_sql()})"
+
+
+def _repos(spark, sf):
+    return D.repos(spark, sf)
+
+
+@register("repo_url_rollup", f"""with {REPOS},
+urls as (select case pos % 3 when 0 then 'https://github.com/u' || owner || '/' || name || '/'
+                             when 1 then '  github.com/u' || owner || '//' else 'https://gitlab.com/u' || owner || '/' || name end as url
+         from repos union all select url from pages),
+u as (select regexp_replace({S.strip('url')}, '/+$', '') as u from urls),
+p as (select case when regexp_matches(u, {S.q(RE.REPO_URL)}) then 'repo' when regexp_matches(u, {S.q(RE.OWNER_URL)}) then 'profile'
+                  else 'invalid' end as kind,
+             case when regexp_matches(u, {S.q(RE.REPO_URL)}) then regexp_extract(u, {S.q(RE.REPO_URL)}, 1)
+                  when regexp_matches(u, {S.q(RE.OWNER_URL)}) then regexp_extract(u, {S.q(RE.OWNER_URL)}, 1) end as owner,
+             case when regexp_matches(u, {S.q(RE.REPO_URL)}) then regexp_extract(u, {S.q(RE.REPO_URL)}, 2) end as repo from u)
+select kind, owner, count(*) as n_urls, count(distinct repo) as n_repos from p group by all""")
+def q_repo_urls(spark, sf):
+    r = _repos(spark, sf)
+    url = (F.when(F.col("pos") % 3 == 0, F.concat(F.lit("https://github.com/u"), F.col("owner").cast("string"), F.lit("/"),
+                                                  F.col("name"), F.lit("/")))
+           .when(F.col("pos") % 3 == 1, F.concat(F.lit("  github.com/u"), F.col("owner").cast("string"), F.lit("//")))
+           .otherwise(F.concat(F.lit("https://gitlab.com/u"), F.col("owner").cast("string"), F.lit("/"), F.col("name"))))
+    urls = r.select(url.alias("url")).unionByName(C.load(spark, sf, "pages").select("url"))
+    return RE.repo_url_rollup(urls)
+
+
+@register("owner_languages_topk", f"""with {REPOS},
+per as (select owner, language, count(*) as n_repos, min(pos) as first_pos from repos
+        where language is not null and language <> '' group by all)
+select * from (select *, row_number() over (partition by owner order by n_repos desc, first_pos) as rank from per) where rank <= 6""")
+def q_owner_langs(spark, sf):
+    return RE.owner_languages_topk(_repos(spark, sf))
+
+
+@register("owner_star_rollup", f"""with {REPOS},
+s as (select owner, sum(stars)::bigint as total_stars, count(*) as n_repos from repos group by all),
+t as (select owner, count(distinct topic) as n_topics from (select owner, unnest(topics) as topic from repos) group by all)
+select s.*, coalesce(n_topics, 0) as n_topics from s left join t using (owner)""")
+def q_owner_stars(spark, sf):
+    return RE.owner_star_rollup(_repos(spark, sf))
+
+
+@register("owner_top_repos", f"""with {REPOS}
+select owner, name, stars, pos, rank from (select *, row_number() over (partition by owner order by stars desc, pos) as rank
+from repos) where rank <= 5""")
+def q_owner_top(spark, sf):
+    return RE.owner_top_repos(_repos(spark, sf)).select("owner", "name", "stars", "pos", "rank")
+
+
+TOPIC_VALUES = S.values([(k, v) for k, v in L.TOPIC_SKILLS], "ts(topic, skill)")
+STACK_SQL = f"""stack as (
+  with u as (select owner, name, language as tech from repos where language is not null
+             union select r.owner, r.name, ts.skill from (select owner, name, unnest(topics) as t from repos) r
+                  join {TOPIC_VALUES} on lower(r.t) = ts.topic
+             union select r.owner, r.name, ts.skill from repos r join {TOPIC_VALUES} on contains(lower(coalesce(r.description, '')), ts.topic))
+  select owner, name, list_sort(list(tech)) as tech_stack from u group by all)"""
+
+
+@register("tech_stack", f"with {REPOS}, {STACK_SQL} select owner, name, array_to_string(tech_stack, '|') as tech_stack from stack")
+def q_tech_stack(spark, sf):
+    s = RE.tech_stack(_repos(spark, sf), spark)
+    return s.select("owner", "name", F.array_join("tech_stack", "|").alias("tech_stack"))
+
+
+@register("expand_skills", f"""with {REPOS}, {STACK_SQL},
+t as (select owner, name, unnest(tech_stack) as tech from stack),
+u as (select owner, name, tech as skill from t union
+      select t.owner, t.name, ls.related from t join {S.values([(lang, rel) for lang, rels in L.LANGUAGE_SKILLS for rel in rels], "ls(language, related)")}
+      on contains(lower(t.tech), lower(ls.language)))
+select owner, name, array_to_string(list_sort(list(skill)), '|') as skills from u group by all""")
+def q_expand_skills(spark, sf):
+    e = RE.expand_skills(RE.tech_stack(_repos(spark, sf), spark), spark)
+    return e.select("owner", "name", F.array_join("skills", "|").alias("skills"))
+
+
+def _title_sql(x):
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
+
+
+@register("repo_lines", f"""with {REPOS}, {STACK_SQL},
+j as (select r.*, coalesce(s.tech_stack, []) as st, {_title_sql("translate(r.name, '-_', '  ')")} as tname
+      from repos r left join stack s using (owner, name)),
+l as (select owner, name, list_filter([
+   case when coalesce(description, '') <> '' then 'Developed ' || tname || ' — ' || regexp_replace(description, '[.]+$', '')
+        || ' using ' || case when len(st) > 0 then array_to_string(st[1:4], ', ') else 'multiple technologies' end || '.'
+        else 'Built ' || tname || ' using ' || case when len(st) > 0 then array_to_string(st[1:4], ', ') else 'multiple technologies' end
+        || ', demonstrating proficiency in full-stack development.' end,
+   case when stars > 0 or forks > 0 then 'Open-sourced ' || tname || ', achieving ' || array_to_string(list_filter([
+        case when stars > 0 then stars || ' GitHub stars' end, case when forks > 0 then forks || ' forks' end], lambda x: x is not null), ' and ')
+        || ' from the developer community.' end,
+   case when len(st) >= 3 then 'Implemented ' || tname || ' leveraging ' || array_to_string(st[1:3], ', ')
+        || ' with focus on performance and maintainability.' end], lambda x: x is not null)[1:3] as lines from j)
+select owner, name, len(lines) as n_lines, array_to_string(lines, '|') as lines from l""")
+def q_repo_lines(spark, sf):
+    r = _repos(spark, sf)
+    lines = RE.repo_lines(r, RE.tech_stack(r, spark))
+    return lines.select("owner", "name", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("lines"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)
