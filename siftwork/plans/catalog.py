@@ -24,6 +24,7 @@ from ..operators import score as SC
 from ..operators import screen as SCR
 from ..operators import rewrite as RW
 from ..operators import advise as AD
+from ..operators import keywords as KW
 from ..operators import repos as RE
 from ..operators import versions as VE
 from . import features as FE
@@ -1085,5 +1086,82 @@ def q_repo_lines(spark, sf):
     return lines.select("owner", "name", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("lines"))
 
 
+
+# ---------------------------------------------------------------- 2.2 keyword phrases
+import string as _string  # noqa: E402
+
+IGNORE_SQL = S.lst(sorted(set(KW.rake_ignore())))
+
+
+def _rake_occ_sql(src):
+    toks = f"regexp_extract_all(lower(text), {S.q(KW.WORDPUNCT)})"
+    marked = f"list_transform({toks}, lambda x: case when list_contains({IGNORE_SQL}, x) then chr(1) else x end)"
+    phrases = f"list_filter(regexp_split_to_array(array_to_string({marked}, ' '), '( ?' || chr(1) || ' ?)+'), lambda p: p <> '')"
+    return f"""occ as (select doc_id, unnest(generate_series(0, len(ph) - 1)) as ph_idx, unnest(ph) as phrase
+                from (select doc_id, {phrases} as ph from {src}))"""
+
+
+RAKE_SQL = f"""{_rake_occ_sql('cdocs')},
+wocc as (select doc_id, ph_idx, phrase, unnest(generate_series(0, len(string_split(phrase, ' ')) - 1)) as w_idx,
+         unnest(string_split(phrase, ' ')) as word, len(string_split(phrase, ' ')) as plen from occ),
+st as (select doc_id, word, count(*) as freq, sum(plen) as degree from wocc group by all),
+sc as (select doc_id, ph_idx, phrase, list_reduce(list(degree / freq order by w_idx), lambda a, b: a + b) as score
+       from wocc join st using (doc_id, word) group by all)"""
+
+
+@register("rake_keywords", f"""with {CLEAN_DOCS}, {RAKE_SQL}
+select doc_id, rank, phrase, round(score::varchar::decimal(38, 18), 2)::double as score from (
+  select *, row_number() over (partition by doc_id order by score desc, phrase desc) as rank from sc) where rank <= 20""")
+def q_rake(spark, sf):
+    return KW.rake_keywords(_clean_docs(spark, sf))
+
+
+def _alt(words):
+    import re as _re
+    return r"\b(" + "|".join(_re.escape(w) for w in words) + r")\b"
+
+
+def _noise_sql(p):
+    verbs = S.lst([v.lower() for v in L.WEAK_VERBS + L.ACTION_VERBS])
+    stop = S.lst(L.english_stopwords())
+    return f"""(length({p}) < 2 or regexp_matches({p}, {S.q(KW._alternation(L.BLACKLIST))})
+  or regexp_matches({p}, {S.q(KW._alternation(L.MONTH_ABBREVIATIONS))}) or regexp_matches({p}, '\\b(19|20)\\d{{2}}\\b')
+  or regexp_matches({p}, '^[0-9]+$') or len(regexp_extract_all({p}, '[0-9]')) > length({p}) * 0.4
+  or list_contains({verbs}, {p}) or len(list_filter(string_split({p}, ' '), lambda t: not list_contains({stop}, t))) = 0)"""
+
+
+@register("noise_filter", f"""with {CLEAN_DOCS}, {_rake_occ_sql('cdocs')}
+select doc_id, phrase, {_noise_sql('phrase')} as is_noise from (select distinct doc_id, phrase from occ)""")
+def q_noise(spark, sf):
+    occ = KW.phrase_occurrences(_clean_docs(spark, sf)).select("doc_id", "phrase").distinct()
+    return occ.select("doc_id", "phrase", KW.is_noise(F.col("phrase")).alias("is_noise"))
+
+
+CANDS_SQL = f"""cands as (select doc_id, candidate, count(*) as n from (select doc_id, {S.strip('phrase')} as candidate from occ)
+  where length(candidate) > 2 and length(candidate) < 30 and not {_noise_sql('candidate')} group by all)"""
+
+
+def _title_sql2(x):
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
+
+
+@register("repeated_phrases", f"""with {CAND}, {LEX_MATCH}, {_rake_occ_sql('cand')}, {CANDS_SQL},
+nm as (select doc_id, candidate, coalesce(m.v, {_title_sql2('candidate')}) as canonical from cands
+       left join {S.values(list(L.NORMALIZATION.items()), "m(k, v)")} on m.k = candidate where n > 1)
+select doc_id, candidate, canonical from nm
+where not exists (select 1 from lexm where lexm.doc_id = nm.doc_id and lower(lexm.canonical) = lower(nm.canonical))
+  and candidate not in (select unnest({S.lst(L.WEAK_SKILLS)}))""")
+def q_repeated(spark, sf):
+    c = _cand(spark, sf)
+    return KW.repeated_phrases(c, X.lexicon_match(c, spark), spark)
+
+
+@register("weak_terms", f"""with {CLEAN_DOCS}, {_rake_occ_sql('cdocs')}, {CANDS_SQL}
+select distinct doc_id, {_title_sql2('candidate')} as weak from cands, (select unnest({S.lst(L.WEAK_SKILLS)}) as term)
+where contains(candidate, term)""")
+def q_weak_terms(spark, sf):
+    return KW.weak_terms(_clean_docs(spark, sf), spark)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)
