@@ -24,6 +24,7 @@ from ..operators import score as SC
 from ..operators import screen as SCR
 from ..operators import rewrite as RW
 from ..operators import advise as AD
+from ..streaming import stream as ST
 from ..operators import keywords as KW
 from ..operators import repos as RE
 from ..operators import versions as VE
@@ -1163,5 +1164,67 @@ def q_weak_terms(spark, sf):
     return KW.weak_terms(_clean_docs(spark, sf), spark)
 
 
+
+# ---------------------------------------------------------------- 2.1 sources (targets, payloads)
+ROLE_ROWS = [(1000 + i, r) for i, r in enumerate(L.ROLE_NAMES)]
+
+
+@register("resolve_targets", f"""with {TARG},
+t as (select target_id, text, null::varchar as role from targ
+      union all select * from (select id, '   ', role from {S.values(ROLE_ROWS, "r(id, role)")})
+      union all select 999, null, null),
+e as (select target_id, nullif({S.strip('text')}, '') as tx, nullif({S.strip('role')}, '') as rl from t)
+select target_id, case when tx is not null then 'text' when rl is not null then 'role' else 'none' end as target_kind,
+  md5(coalesce(tx, rl)) as effective_md5, length(coalesce(tx, rl)) as effective_chars from e""")
+def q_resolve_targets(spark, sf):
+    t = _targ(spark, sf).select("target_id", "text", F.lit(None).cast("string").alias("role"))
+    roles = spark.createDataFrame(ROLE_ROWS, "target_id long, role string").select(
+        "target_id", F.lit("   ").alias("text"), "role")
+    none = spark.createDataFrame([(999, None, None)], "target_id long, text string, role string")
+    r = C.resolve_targets(t.unionByName(roles).unionByName(none))
+    return r.select("target_id", "target_kind", F.md5("effective_text").alias("effective_md5"),
+                    F.length("effective_text").alias("effective_chars"))
+
+
+@register("repo_payload_scan", """
+select event_id, coalesce(try_cast(json_extract(props, '$.k') as bigint), 0) as k,
+  coalesce(json_extract_string(props, '$.name'), '') as name from events""")
+def q_payload_scan(spark, sf):
+    e = C.load(spark, sf, "events").select("event_id", "props")
+    return C.repo_payload_scan(e, "props", "k bigint, name string")
+
+
+# ---------------------------------------------------------------- 2.10 streaming
+LINT_PHRASES = ["error", "purchase", "click", "signup", "view"]
+LINT_GAP_MIN = 30
+
+
+@register("debounced_lint", f"""
+with e as (select user_id, ts, event_id, event_type as text,
+             coalesce(ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval {LINT_GAP_MIN} minute, true) as new_s
+           from events),
+s as (select *, sum(new_s::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from e),
+g as (select user_id, sid, min(ts) as session_start, max(ts) + interval {LINT_GAP_MIN} minute as session_end, count(*) as n_events,
+        arg_max(text, (ts, event_id)) as last_text from s group by all)
+select user_id, session_start, session_end, n_events, last_text,
+  {" ".join("case when contains(lower(last_text), " + S.q(p) + ") then " + S.q(p) + " else" for p in LINT_PHRASES)} null {"end " * len(LINT_PHRASES)} as phrase,
+  replace({S.q(L.LIVE_HINT_MESSAGE)}, '{{phrase}}', {" ".join("case when contains(lower(last_text), " + S.q(p) + ") then " + S.q(p) + " else" for p in LINT_PHRASES)} null {"end " * len(LINT_PHRASES)}) as hint
+from g""")
+def q_debounced_lint(spark, sf):
+    e = C.load(spark, sf, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("text"))
+    return ST.debounced_lint(e, f"{LINT_GAP_MIN} minutes", LINT_PHRASES, id_col="event_id")
+
+
+@register("stream_score")
+def q_stream_score(spark, sf):
+    """Stream the documents table through the scorer (availableNow) and return the version table."""
+    import uuid
+    from ..session import checkpoint_dir
+    out = f"{checkpoint_dir(spark).rstrip('/')}/stream_score_{uuid.uuid4().hex}"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    v = ST.stream_score(spark, sf, schema, out, glob="documents.parquet")
+    return v.select("session_id", "version_id", "doc_id", "ats_score", "verdict", "n_parse_issues")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_density_top5(spark, sf_dir)
