@@ -1226,5 +1226,16 @@ def q_stream_score(spark, sf):
     return v.select("session_id", "version_id", "doc_id", "ats_score", "verdict", "n_parse_issues")
 
 
+
+# ---------------------------------------------------------------- 2.1 flagship
+@register("analysis_report")
+def q_analysis_report(spark, sf):
+    """One nested analysis row per scored (candidate, target) pair, serialised as JSON."""
+    r = RP.analysis_report(_cand(spark, sf), _targ(spark, sf), spark, C.load(spark, sf, "embeddings"))
+    return r.select("doc_id", "target_id", "final_score", "grade",
+                    F.to_json(F.struct(*[c for c in r.columns if c not in ("doc_id", "target_id")])).alias("report"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_density_top5(spark, sf_dir)
+    """The nested analysis report (composite score, coverage, readability, verbs, feedback)."""
+    return RP.analysis_report(_cand(spark, sf_dir), _targ(spark, sf_dir), spark, C.load(spark, sf_dir, "embeddings"))
