@@ -180,8 +180,10 @@ def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, cap: in
         F.sum(F.pow(F.col("cd") * idf, 2)).alias("nd"),
         F.sum(F.pow(F.col("ct") * idf, 2)).alias("nt"),
     )
-    return agg.select("doc_id", "target_id",
-                      F.round(F.col("dot") / F.sqrt(F.col("nd") * F.col("nt")), 6).alias("tfidf_similarity"))
+    denom = F.sqrt(F.col("nd") * F.col("nt"))
+    # a side whose capped vocabulary holds none of its own terms is a zero vector: cosine 0
+    return agg.select("doc_id", "target_id", F.when(denom > 0, F.round(F.col("dot") / denom, 6))
+                      .otherwise(F.lit(0.0)).alias("tfidf_similarity"))
 
 
 # ------------------------------------------------------------------ embeddings

@@ -356,7 +356,8 @@ def _tfidf_sql(dterms, tterms, cap=M.TFIDF_CAP):
   kept as (select * from (select *, row_number() over (partition by doc_id, target_id order by cd + ct desc, term) as r
            from tm) where r <= {cap}),
   w as (select *, case when cd > 0 and ct > 0 then 1.0 else {M.IDF_ONE_SIDE!r} end as idf from kept)
-  select doc_id, target_id, round(sum(cd * ct) / sqrt(sum(pow(cd * idf, 2)) * sum(pow(ct * idf, 2))), 6) as tfidf_similarity
+  select doc_id, target_id, case when sum(pow(cd * idf, 2)) * sum(pow(ct * idf, 2)) > 0
+    then round(sum(cd * ct) / sqrt(sum(pow(cd * idf, 2)) * sum(pow(ct * idf, 2))), 6) else 0.0 end as tfidf_similarity
   from w group by all)"""
 
 
