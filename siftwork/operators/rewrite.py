@@ -135,9 +135,10 @@ def _escape(c: Column) -> Column:
     return F.replace(c, F.lit('"'), F.lit("&quot;"))
 
 
-def render_html_lines(text: Column, date_str: str) -> Column:
+def render_html_lines(text: Column, date_str: str, heading: str = "Optimized document",
+                      footer: str = "Optimized on {date}") -> Column:
     """Paragraphs on blank lines; runs of bullet lines become one <ul>, others <p>; escaped;
-    the footer date is a parameter (a rerun gives the same output)."""
+    heading, footer and footer date are parameters (a rerun gives the same output)."""
     is_b = "^[-*•‣◦]"
 
     def para(p):
@@ -155,8 +156,8 @@ def render_html_lines(text: Column, date_str: str) -> Column:
         return F.array_join(F.transform(lines, render), "")
 
     body = F.array_join(F.transform(F.split(text, "\n\n"), para), "")
-    footer = f'<div class="watermark">Optimized with AI Resume Analyzer on {_html.escape(date_str)}</div>\n'
-    return F.concat(F.lit("<h1>Optimized Resume</h1>\n"), body, F.lit(footer))
+    foot = f'<div class="watermark">{_html.escape(footer.format(date=date_str))}</div>\n'
+    return F.concat(F.lit(f"<h1>{_html.escape(heading)}</h1>\n"), body, F.lit(foot))
 
 
 def bullet_table(docs: DataFrame, text_col: str = "text", limit: int = 10) -> DataFrame:
