@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language, mix, secrets, simhash, spotsigs
+from . import bpe, exact_dedup, language, mix, secrets, simhash, spotsigs, substrings
 from .common import documents
 
 EXACT_SQL = r"""
@@ -17,6 +17,7 @@ from d join g using (t)
 QUERIES = {
     "op1_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(documents(spark, d)),
     "op2_simhash_dedup": lambda spark, d: simhash.simhash_dedup(documents(spark, d), shingle_words=4, max_distance=4),
+    "op3_substring_dedup": lambda spark, d: substrings.substring_dedup(documents(spark, d), window=20),
     "op4_bpe": lambda spark, d: bpe.encode_decode(documents(spark, d)),
     "op6_secrets": lambda spark, d: secrets.find_secrets(documents(spark, d)).drop("found"),
     "op7_mix": lambda spark, d: mix.mix(documents(spark, d)),
