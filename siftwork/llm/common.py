@@ -23,6 +23,12 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is made once: as the output of a generator it is not put into the expressions that use
+    it, as Catalyst does with plain projections below a filter. Lambdas look into such arrays without making them anew."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage: a reliable checkpoint in the shared folder of the session."""
     checkpoint_dir(df.sparkSession)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language, mix, secrets, simhash, spotsigs, substrings
+from . import bpe, exact_dedup, language, licenses, lines, mix, secrets, simhash, spotsigs, substrings
 from .common import documents
 
 EXACT_SQL = r"""
@@ -19,9 +19,11 @@ QUERIES = {
     "op2_simhash_dedup": lambda spark, d: simhash.simhash_dedup(documents(spark, d), shingle_words=4, max_distance=4),
     "op3_substring_dedup": lambda spark, d: substrings.substring_dedup(documents(spark, d), window=20),
     "op4_bpe": lambda spark, d: bpe.encode_decode(documents(spark, d)),
+    "op5_line_dedup": lambda spark, d: lines.line_dedup_by_document(documents(spark, d)),
     "op6_secrets": lambda spark, d: secrets.find_secrets(documents(spark, d)).drop("found"),
     "op7_mix": lambda spark, d: mix.mix(documents(spark, d)),
     "op8_spotsigs": lambda spark, d: spotsigs.edited_fingerprints(documents(spark, d)),
+    "op9_licenses": lambda spark, d: licenses.license_scan(documents(spark, d)),
     "op10_language": lambda spark, d: language.identify(documents(spark, d)),
     "pipeline": corpus_pipeline.run,
 }

@@ -88,6 +88,7 @@ def near_links(fps: DataFrame, max_distance: int) -> DataFrame:
     """
     slots = ring(64, max_distance)
     masks = F.array(*[F.lit(_signed(k)).cast("long") for k, _ in slots])
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes many
     keys = fps.select("fp", F.posexplode(masks).alias("slot", "mask"))
     keys = keys.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
     shared = keys.groupBy("slot", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

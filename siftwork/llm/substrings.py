@@ -3,40 +3,75 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of, worker_cache
 
 #: Words of an anchor; a window's anchor is the one of its anchors-long word runs that hashes lowest.
-ANCHOR = 8
-#: Word hashes that a worker remembers before it starts anew.
-REMEMBER = 400_000
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = worker_cache("word_hashes")
-    if len(known) > REMEMBER:
-        known.clear()
-    digest, out = xxhash.xxh64_intdigest, []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for j in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j:j + len(out)]
+ANCHOR = 5
+#: Bytes of a text that are hashed at once; longer texts are taken in overlapping blocks.
+BLOCK = 1 << 20
+#: Contexts that a task remembers to have sent.
+REMEMBER = 500_000
+#: White space to spaces.
+SPACES = bytes(32 if x in b"\t\n\v\f\r" else x for x in range(256))
+_mix = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+BASE = 0x9E3779B97F4A7C15
+
+
+def squeeze(text: bytes) -> bytes:
+    """Words joined by one space."""
+    text = text.translate(SPACES).strip(b" ")
+    return b" ".join(text.split()) if b"  " in text else text
+
+
+def word_places(buf: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a squeezed text."""
+    if not buf:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
+    return np.append(0, gaps + 1), np.append(gaps, len(buf))
+
+
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse modulo 2**64 to the 0, 1, 2, ..."""
+    kept = worker_cache("powers")
+    if not kept:
+        for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            p = np.full(2 * BLOCK, x, np.uint64)
+            p[0] = 1
+            kept[name] = np.cumprod(p)
+    return kept["up"], kept["down"]
+
+
+def run_hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the bytes of each run of n words, the same wherever the run stands."""
+    m = len(starts) - n + 1
+    if m < 1:
+        return np.zeros(0, np.uint64)
+    up, down = powers()
+    out, i = np.empty(m, np.uint64), 0
+    raw = np.frombuffer(buf, np.uint8)
+    while i < m:
+        a = starts[i]
+        k = max(i + 1, min(m, int(np.searchsorted(ends, a + BLOCK, side="right")) - n + 1))
+        piece = raw[a:ends[k + n - 2]]
+        if len(piece) > len(up):  # a run longer than a block: words of enormous length
+            out[i] = xxhash.xxh64_intdigest(piece.tobytes())
+            i += 1
+            continue
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix[piece] * down[:len(piece)])])
+        s, e = starts[i:k] - a, ends[i + n - 1:k + n - 1] - a
+        out[i:k] = (sums[e] - sums[s]) * up[s]
+        i = k
     out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
@@ -49,12 +84,12 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[:n], a[w - k:w - k + n])
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(buf: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors: every window of ``window`` words holds its own lowest run of ANCHOR words,
     so equal windows, wherever they stand, share an anchor at the same place."""
-    if len(h) < window:
+    if len(starts) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g, w = run_hashes(h, ANCHOR), window - ANCHOR + 1
+    g, w = run_hashes(buf, starts, ends, ANCHOR), window - ANCHOR + 1
     low = sliding_min(g, w)
     pad = np.zeros(w - 1, np.uint64)
     highest = ~sliding_min(~np.concatenate([pad, low, pad]), w)
@@ -62,16 +97,14 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def repeated_inside(words: list[bytes], h: np.ndarray, window: int) -> np.ndarray:
+def repeated_inside(buf: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     """Starts of the windows whose words also start earlier in the same document."""
-    if len(h) < window:
-        return np.zeros(0, np.int64)
-    runs = run_hashes(h, window)
+    runs = run_hashes(buf, starts, ends, window)
     order = np.argsort(runs, kind="stable")
     same = runs[order][1:] == runs[order][:-1]
     out, first = [], {}
     for s in np.unique(np.concatenate([order[1:][same], order[:-1][same]])).tolist():
-        key = tuple(words[s:s + window])
+        key = buf[starts[s]:ends[s + window - 1]]
         if key in first:
             out.append(s)
         first.setdefault(key, s)
@@ -90,12 +123,12 @@ def earlier_windows(group: list[tuple[int, int, bytes]], window: int) -> list[in
         return [0] * len(group)
     spans, shared = [], {}
     for doc, left, text in group:
-        ends = [i for i, c in enumerate(text) if c == 32]
-        starts, ends = [0, *[i + 1 for i in ends]], [*ends, len(text)]
+        ends = list(accumulate([len(w) + 1 for w in text.split(b" ")]))  # one behind each word's end
+        starts = [0, *ends]
         own = {}
-        for s in range(0, min(left, len(starts) - window) + 1):
+        for s in range(0, min(left, len(ends) - window) + 1):
             if s + window >= left + ANCHOR:
-                own[starts[s], ends[s + window - 1]] = left - s
+                own[starts[s], ends[s + window - 1] - 1] = left - s
         spans.append(own)
         for a, b in own:
             t = text[a:b]
@@ -125,16 +158,18 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
     A word is removed if a window of ``window`` consecutive words covers it whose words also start earlier: in a
     smaller doc_id, or in the same document before. Windows are judged on the input.
 
-    1. Each document names its anchors (winnowing: one of about seven words begins one); only the anchors' hashes move,
+    1. Each document names its anchors (winnowing: one of about eight words begins one); only the anchors' hashes move,
        and a hash seen twice in the corpus is a candidate. No window can recur without its anchor recurring.
-    2. Around each candidate anchor, the context holds every window that covers it. Equal contexts are grouped by
-       their text, with map-side aggregation, to the smallest doc_id: a group of copies becomes one row a task.
-       In a later document all windows of such a context start earlier.
+    2. Around each candidate anchor, the context holds every window that covers it. A task sends the text of a context
+       once, with the smallest doc_id it has seen it in, so a group of copies becomes one row a task; of all
+       occurrences only the context's 128-bit digest moves. In a document later than a context's first one all its
+       windows start earlier.
     3. The distinct contexts of an anchor are confirmed against each other by sharded automata (see earlier_windows),
        a shard being a partition by anchor. So every document's recurring parts are streamed, and no others need be.
-    4. The verdicts go back to the occurrences by an equi-join on the context's 128-bit digest and are gathered per
-       document, together with repetitions inside it, and the words are removed.
+    4. The verdicts go back to the occurrences by an equi-join on the digest and are gathered per document, together
+       with repetitions inside it, and the words are removed.
 
+    Texts are shuffled once, as compressed words, for the second and the fourth step.
     Null text has no words. Rows with an equal doc_id are judged as if none of them came earlier than another; null
     ids count as later than any other, and as equal to each other. Texts with fewer words than a window stay whole.
     No rows give none; other columns are ignored.
@@ -143,15 +178,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(later)).alias("id"), text_of(docs).alias("t"))
     reach = window - ANCHOR
 
-    def texts(b):
-        return [x.as_buffer().to_pybytes() for x in b.column("t").cast(pa.binary())]
-
     def name_anchors(batches):
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b, ids, hs, ns = big.slice(at, 500), [], [], []
-                for i, t in zip(b.column("id").to_pylist(), texts(b)):
-                    h, n = np.unique(anchors(word_hashes(t.split()), window)[1], return_counts=True)
+                for i, t in zip(b.column("id").to_pylist(), b.column("t").cast(pa.binary())):
+                    buf = squeeze(t.as_buffer().to_pybytes())
+                    h, n = np.unique(anchors(buf, *word_places(buf), window)[1], return_counts=True)
                     ids.append(np.full(len(h), i, np.int64))
                     hs.append(h.view(np.int64))
                     ns.append(np.minimum(n, 2).astype(np.int32))
@@ -161,47 +194,70 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
     twice = named.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     listed = named.select("id", "h").join(twice, "h").groupBy("id").agg(F.collect_list("h").alias("hs"))  # by the text's length
 
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.record_batch([b.column("id"), pa.array([z.compress(squeeze(t.as_buffer().to_pybytes())) for t in b.column("t").cast(pa.binary())],
+                                                            pa.binary())], names=["id", "z"])
+
+    packed = d.mapInArrow(pack, "id long, z binary")
+
     def show_contexts(batches):
+        unpack, seen = zstandard.ZstdDecompressor().decompress, {}
         for big in batches:
             for at in range(0, big.num_rows, 200):
                 b, out = big.slice(at, 200), []
-                for i, t, hs in zip(b.column("id").to_pylist(), texts(b), b.column("hs")):
-                    words = t.split()
-                    pos, h = anchors(word_hashes(words), window)
+                for i, t, hs in zip(b.column("id").to_pylist(), b.column("z"), b.column("hs")):
+                    buf = unpack(t.as_buffer())
+                    starts, ends = word_places(buf)
+                    pos, h = anchors(buf, starts, ends, window)
                     ok = np.isin(h.view(np.int64), hs.values.to_numpy())
-                    for p, a in zip(pos[ok].tolist(), h[ok].view(np.int64).tolist()):
-                        left = min(p, reach)
-                        context = b" ".join(words[p - left:p + window])
-                        key = xxhash.xxh3_128_digest(b"%d %d " % (a, left) + context)
-                        out.append((i, p, a, left, key, context))
+                    pos, h = pos[ok], h[ok].view(np.int64)
+                    left = np.minimum(pos, reach)
+                    spans = zip(pos.tolist(), h.tolist(), left.tolist(), starts[pos - left].tolist(),
+                                ends[np.minimum(pos + window, len(ends)) - 1].tolist())
+                    for p, a, l, s, e in spans:
+                        context = buf[s:e]
+                        key = xxhash.xxh3_128_digest(b"%d %d " % (a, l) + context)
+                        if seen.get(key, later) <= i:
+                            context = None
+                        else:
+                            if len(seen) > REMEMBER:
+                                seen.clear()
+                            seen[key] = i
+                        out.append((i, p, a, l, key, context))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 cols = list(zip(*out)) or [[]] * 6
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["id", "pos", "h", "left", "key", "context"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "pos", "h", "left", "key", "context"])
 
-    shown = d.join(listed, "id").mapInArrow(show_contexts, "id long, pos int, h long, left int, key binary, context binary")
-    distinct = shown.groupBy("h", "left", "key", "context").agg(F.min("id").alias("first"))
+    shown = packed.join(listed, "id").mapInArrow(show_contexts, "id long, pos int, h long, left int, key binary, context binary")
+    sent = shown.where("context is not null").select("h", "key", "id", "left", "context")
 
     def confirm(batches):
-        anchor, group = None, []
+        anchor, group, last = None, [], None
+        kinds = (pa.binary(), pa.int64(), pa.int32())
 
         def verdicts(group):
             return list(zip([g[3] for g in group], [g[0] for g in group], earlier_windows([g[:3] for g in group], window)))
 
+        def table(out):
+            return pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["key", "first", "bits"])
+
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 b, out = big.slice(at, 2000), []
-                for a, *row in zip(*[b.column(c).to_pylist() for c in ("h", "first", "left", "context", "key")]):
+                for a, key, *row in zip(*[b.column(c).to_pylist() for c in ("h", "key", "id", "left", "context")]):
+                    if key == last:
+                        continue  # what another task has sent of a later document
                     if a != anchor:
                         out += verdicts(group)
                         anchor, group = a, []
-                    group.append(row)
-                yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int32()))],
-                                      names=["key", "first", "bits"])
-        out = verdicts(group)
-        yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int32()))],
-                              names=["key", "first", "bits"])
-
-    judged = distinct.repartition("h").sortWithinPartitions("h").mapInArrow(confirm, "key binary, first long, bits int")
+                    last = key
+                    group.append((*row, key))
+                yield table(out)
+        yield table(verdicts(group))
+
+    judged = sent.repartition("h").sortWithinPartitions("h", "key", "id").mapInArrow(confirm, "key binary, first long, bits int")
     marks = shown.select("id", "pos", "key").join(judged, "key")
     # every window of the context, or those whose words a context of a smaller doc_id holds too
     marks = marks.withColumn("bits", F.when(F.col("id") > F.col("first"), F.lit((1 << (reach + 1)) - 1)).otherwise(F.col("bits")))
@@ -209,25 +265,29 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if full else "")
 
     def remove(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for big in batches:
             for at in range(0, big.num_rows, 200):
                 b, out = big.slice(at, 200), []
-                for i, t, marked in zip(b.column("id").to_pylist(), texts(b), b.column("marks")):
-                    words = t.split()
-                    n = len(words)
-                    starts = [repeated_inside(words, word_hashes(words), window)]
+                for i, t, marked in zip(b.column("id").to_pylist(), b.column("z"), b.column("marks")):
+                    buf = unpack(t.as_buffer())
+                    starts, ends = word_places(buf)
+                    n = len(starts)
+                    gone = [repeated_inside(buf, starts, ends, window)]
                     if marked.is_valid:
                         pos, bits = (marked.values.field(k).to_numpy() for k in range(2))
-                        starts += [s[(s >= 0) & (s <= n - window)] for s in (pos[bits >> k & 1 == 1] - k for k in range(reach + 1))]
-                    starts = np.concatenate(starts)
-                    edge = np.bincount(starts, minlength=n + 1)[:n + 1].astype(np.int64)
-                    edge[window:] -= np.bincount(starts + window, minlength=n + 1)[window:n + 1].astype(np.int64)
-                    gone = np.cumsum(edge)[:n] > 0
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if gone.any() else b" ".join(words)
-                    row = (None if i == later else i, n, int(gone.sum()), hashlib.sha256(kept).hexdigest())
+                        gone += [s[(s >= 0) & (s <= n - window)] for s in (pos[bits >> k & 1 == 1] - k for k in range(reach + 1))]
+                    gone = np.concatenate(gone)
+                    edge = np.bincount(gone, minlength=n + 1) - np.bincount(gone + window, minlength=n + 1)[:n + 1]
+                    stays = np.cumsum(edge)[:n] == 0
+                    removed, kept = n - int(stays.sum()), buf
+                    if removed:
+                        turn = np.flatnonzero(np.diff(np.concatenate([[False], stays, [False]]))).reshape(-1, 2)
+                        kept = b" ".join([buf[starts[x]:ends[y - 1]] for x, y in turn.tolist()])
+                    row = (None if i == later else i, n, removed, hashlib.sha256(kept).hexdigest())
                     out.append((*row, kept.decode("utf-8", "replace")) if full else row)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 cols = list(zip(*out)) or [[]] * (4 + full)
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.strip().split(" ")[0] for f in schema.split(",")])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.strip().split(" ")[0] for f in schema.split(",")])
 
-    return d.join(marks, "id", "left").mapInArrow(remove, schema)
+    return packed.join(marks, "id", "left").mapInArrow(remove, schema)
