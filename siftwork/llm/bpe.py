@@ -16,7 +16,7 @@ from .common import text_of, worker_cache
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Encoded words that a worker remembers before it starts anew.
-REMEMBER = 300_000
+REMEMBER = 600_000
 
 
 def default_vocabulary() -> str:

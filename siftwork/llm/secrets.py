@@ -44,7 +44,7 @@ def digest_or_identifier(run: str) -> bool:
     if UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return True
     parts = [p for p in re.split(r"[-_/+=]+", run) if p]
-    return all(p.isdigit() or re.fullmatch(r"[A-Za-z]?[a-z]*\d{0,4}|([A-Z][a-z]{2,})+\d{0,4}|[A-Z]+\d{0,4}", p) for p in parts)
+    return all(p.isdigit() or re.fullmatch(r"[A-Za-z]?[a-z]*\d{0,4}|([A-Z][a-z]+)+\d{0,4}|[A-Z]+\d{0,4}", p) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -112,7 +112,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("t"))
     want = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = d.agg(F.percentile_approx("doc_id", [i / want for i in range(1, want)], 20 * want)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(x) for x in cuts}), float("inf")]
+    splits = [float("-inf"), *sorted({0.0, *map(float, cuts)}), float("inf")]
     ids = d.withColumn("key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))
     part = Bucketizer(splits=splits, inputCol="key", outputCol="part", handleInvalid="keep")
     # parts count downwards, null ids (the extra bucket) last
