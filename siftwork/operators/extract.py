@@ -39,7 +39,7 @@ def explode_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "doc_id", "pos", T.py_strip("raw").alias("line"))
 
 
-def bullets_array(text: Column, limit: int | None = 10) -> Column:
+def bullets_array(text: Column, limit: int | None = None) -> Column:
     """Bullet lines (marker plus whitespace), marker removed, longer than 15 chars, in order."""
     lines = F.transform(F.split(text, "\n"), lambda x: T.py_strip(x))
     marked = F.filter(lines, lambda x: x.rlike(f"^{BULLET_MARK}[ \\t\\n\\r\\f\\x0B]+"))
@@ -48,8 +48,8 @@ def bullets_array(text: Column, limit: int | None = 10) -> Column:
     return F.slice(kept, 1, limit) if limit else kept
 
 
-def extract_bullets(docs: DataFrame, text_col: str = "text", limit: int = 10) -> DataFrame:
-    """(doc_id, bullet_no, bullet): the first ``limit`` bullets of each document (row-local)."""
+def extract_bullets(docs: DataFrame, text_col: str = "text", limit: int | None = None) -> DataFrame:
+    """(doc_id, bullet_no, bullet): all bullets of each document, or its first ``limit`` (row-local)."""
     return docs.select("doc_id", F.posexplode(bullets_array(F.col(text_col), limit)).alias("bullet_no", "bullet")) \
         .withColumn("bullet_no", F.col("bullet_no") + 1)
 
@@ -59,13 +59,13 @@ def bullet_line_count(text: Column, marker_class: str) -> Column:
     return F.regexp_count(text, F.lit(f"(?m)^[ \\t\\n\\r\\f\\x0B]*{marker_class}"))
 
 
-def sentences_array(text: Column, limit: int | None = 50) -> Column:
+def sentences_array(text: Column, limit: int | None = None) -> Column:
     parts = F.transform(F.split(text, SENTENCE_SPLIT), lambda x: T.py_strip(x))
     kept = F.filter(parts, lambda x: F.length(x) > 20)
     return F.slice(kept, 1, limit) if limit else kept
 
 
-def extract_sentences(docs: DataFrame, text_col: str = "text", limit: int = 50) -> DataFrame:
+def extract_sentences(docs: DataFrame, text_col: str = "text", limit: int | None = None) -> DataFrame:
     return docs.select("doc_id", F.posexplode(sentences_array(F.col(text_col), limit)).alias("sent_no", "sentence")) \
         .withColumn("sent_no", F.col("sent_no") + 1)
 

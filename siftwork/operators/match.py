@@ -67,7 +67,7 @@ def keyword_density(docs: DataFrame, targets: DataFrame, spark: SparkSession, te
              .groupBy("doc_id", "target_id")
              .agg(F.count(F.lit(1)).alias("matched_count"), F.collect_list("word").alias("_matched")))
     out = pairs.join(totals, "target_id")
-    missing = F.slice(F.array_except(F.col("_words"), F.col("_matched")), 1, 10)
+    missing = F.array_except(F.col("_words"), F.col("_matched"))
     return out.select(
         "doc_id", "target_id", "matched_count", "total_words",
         F.round(F.col("matched_count") / F.greatest(F.col("total_words"), F.lit(1)) * 100, 1).alias("density_percent"),
@@ -122,8 +122,8 @@ def keyword_coverage(doc_terms: DataFrame, target_terms: DataFrame, docs: DataFr
         (F.col("total_keywords") - F.col("n_exact") - F.col("n_bonus")).alias("missing_count"),
         F.round(coverage, 3).alias("coverage_ratio"),
         final.alias("keyword_coverage"),
-        F.slice("_m", 1, 20).alias("matched"),
-        F.slice("_x", 1, 20).alias("missing"),
+        F.col("_m").alias("matched"),
+        F.col("_x").alias("missing"),
     )
 
 
@@ -222,7 +222,7 @@ def gap_skills(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
 
 
 def skill_gap(doc_skills: DataFrame, target_skills: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Per pair: required, present, missing, extra (first 10), match percent.
+    """Per pair: required, present, missing, extra, match percent.
 
     Pairs default to those sharing at least one skill (equi-join on the exploded skill)."""
     ds = doc_skills.select(F.col("id").alias("doc_id"), F.col("skills").alias("doc_skills"))
@@ -234,7 +234,7 @@ def skill_gap(doc_skills: DataFrame, target_skills: DataFrame, pairs: DataFrame
     p = pairs.join(ds, "doc_id").join(ts, "target_id")
     present = F.array_intersect("required", "doc_skills")
     missing = F.array_except("required", "doc_skills")
-    extra = F.slice(F.array_except("doc_skills", "required"), 1, 10)
+    extra = F.array_except("doc_skills", "required")
     pct = F.round(F.size(present) / F.greatest(F.size("required"), F.lit(1)) * 100, 1)
     return p.select("doc_id", "target_id", "required", present.alias("present"), missing.alias("missing"),
                     extra.alias("extra"), pct.alias("match_percent"))

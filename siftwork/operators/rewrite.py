@@ -74,7 +74,7 @@ def bullet_suggestions(b: Column) -> Column:
         F.when(T.word_count(b) < 8, F.lit(m["expand"])),
         F.lit(m["tech"]),
     ]
-    return F.slice(F.filter(F.array(*vals), lambda x: x.isNotNull()), 1, 3)
+    return F.filter(F.array(*vals), lambda x: x.isNotNull())
 
 
 def analyse_bullets(bullets: DataFrame, col: str = "bullet") -> DataFrame:
@@ -95,7 +95,7 @@ def issue_histogram(analysed: DataFrame) -> DataFrame:
 
 
 def project_strength(bullets: Column) -> list[Column]:
-    """From the array of analysed bullets of a document (at most 10): score, counts, message, tips."""
+    """From the array of analysed bullets of a document (all of them): score, counts, message, tips."""
     n = F.size(bullets)
     q = F.size(F.filter(bullets, lambda x: has_quantification(x)))
     s = F.size(F.filter(bullets, lambda x: has_strong_verb(x)))
@@ -160,6 +160,6 @@ def render_html_lines(text: Column, date_str: str, heading: str = "Optimized doc
     return F.concat(F.lit(f"<h1>{_html.escape(heading)}</h1>\n"), body, F.lit(foot))
 
 
-def bullet_table(docs: DataFrame, text_col: str = "text", limit: int = 10) -> DataFrame:
-    """(doc_id, bullet_no, bullet, improved, issues, suggestions, flags) for the first bullets."""
+def bullet_table(docs: DataFrame, text_col: str = "text", limit: int | None = None) -> DataFrame:
+    """(doc_id, bullet_no, bullet, improved, issues, suggestions, flags) for all bullets, or the first ``limit``."""
     return analyse_bullets(X.extract_bullets(docs, text_col, limit))

@@ -121,16 +121,16 @@ def recommendations(df: DataFrame, missing_col: str = "top_missing_list") -> Dat
     (medium, first 5 words), high weak sections."""
     def rec(priority, action):
         return F.struct(F.lit(priority).alias("priority"), action.alias("action"))
-    parse = F.transform(F.slice("parse_issues", 1, 3), lambda x: rec("high", x))
+    parse = F.transform(F.col("parse_issues"), lambda x: rec("high", x))
     crit = F.transform(F.filter("weak_sections", lambda w: w["severity"] == "critical"),
                        lambda w: rec("critical", w["reason"]))
     miss = F.coalesce(F.col(missing_col), F.array().cast("array<string>"))
     kw = F.when(F.size(miss) > 0, F.array(rec("medium", F.concat(
         F.lit("Add these missing keywords from the job description: "),
-        F.array_join(F.slice(miss, 1, 5), ", "), F.lit("."))))).otherwise(
+        F.array_join(miss, ", "), F.lit("."))))).otherwise(
         F.array().cast("array<struct<priority:string,action:string>>"))
     high = F.transform(F.filter("weak_sections", lambda w: w["severity"] == "high"), lambda w: rec("high", w["reason"]))
-    return df.withColumn("recommendations", F.slice(F.concat(parse, crit, kw, high), 1, 8))
+    return df.withColumn("recommendations", F.concat(parse, crit, kw, high))
 
 
 def screen(docs: DataFrame, text_col: str = "text", density: DataFrame | None = None) -> DataFrame:

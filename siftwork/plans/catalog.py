@@ -111,7 +111,7 @@ tot as (select target_id, count(*) as total_words, list_sort(list(word)) as word
 pairs as (select doc_id, target_id, count(*) as matched_count, list(word) as matched from hits group by all)
 select p.doc_id, p.target_id, p.matched_count, t.total_words,
        round(p.matched_count / greatest(t.total_words, 1) * 100, 1) as density_percent,
-       array_to_string(list_filter(t.words, lambda x: not list_contains(p.matched, x))[1:10], ',') as top_missing
+       array_to_string(list_filter(t.words, lambda x: not list_contains(p.matched, x)), ',') as top_missing
 from pairs p join tot t using (target_id)
 """
 
@@ -309,7 +309,7 @@ cov as (
     total_keywords - n_exact - n_bonus as missing_count,
     round(n_exact / greatest(total_keywords, 1), 3) as coverage_ratio,
     least(1.0, n_exact / greatest(total_keywords, 1) + n_bonus * (0.5 / greatest(total_keywords, 1))) as keyword_coverage,
-    m[1:20] as matched, x[1:20] as missing
+    m as matched, x as missing
   from agg join k using (target_id))"""
 
 
@@ -432,7 +432,7 @@ gap as (
   select p.doc_id, p.target_id, ts.skills as required,
     list_filter(ts.skills, lambda x: list_contains(ds.skills, x)) as present,
     list_filter(ts.skills, lambda x: not list_contains(ds.skills, x)) as missing,
-    list_filter(ds.skills, lambda x: not list_contains(ts.skills, x))[1:10] as extra
+    list_filter(ds.skills, lambda x: not list_contains(ts.skills, x)) as extra
   from pairs p join ds on ds.id = p.doc_id join ts on ts.id = p.target_id)"""
 
 
@@ -719,7 +719,7 @@ def q_issue_hist(spark, sf):
 select doc_id, project_score, total_bullets, quantified_bullets, strong_verb_bullets, project_message,
   array_to_string(project_tips, '|') as project_tips from p""")
 def q_project_strength(spark, sf):
-    c = _cand(spark, sf).select("doc_id", X.bullets_array(F.col("text"), 10).alias("bl"))
+    c = _cand(spark, sf).select("doc_id", X.bullets_array(F.col("text")).alias("bl"))
     p = c.select("doc_id", *RW.project_strength(F.col("bl")))
     return p.withColumn("project_tips", F.array_join("project_tips", "|"))
 
@@ -785,7 +785,7 @@ def q_missing_sections(spark, sf):
 
 
 @register("verb_upgrade_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
-select doc_id, n_strong as action_verb_count, array_to_string(strong_verbs[1:10], '|') as action_verbs_found,
+select doc_id, n_strong as action_verb_count, array_to_string(strong_verbs, '|') as action_verbs_found,
   {SF.verb_strength('n_strong')} as verb_strength,
   array_to_string(list_transform({SF.verb_upgrades('weak_verbs')}, lambda u: u.weak || '=' || u.suggestions), '|') as upgrades,
   case when n_strong >= 8 then {S.q(L.VERB_TIPS['strong'])} else {S.q(L.VERB_TIPS['other'])} end as tip from adv""")
@@ -793,7 +793,7 @@ def q_verb_advice(spark, sf):
     a = _adv(spark, sf)
     up = AD.verb_upgrade_advice(F.col("weak_verbs"), F.array().cast("array<string>"))
     return a.select("doc_id", F.col("n_strong").alias("action_verb_count"),
-                    F.array_join(F.slice("strong_verbs", 1, 10), "|").alias("action_verbs_found"),
+                    F.array_join("strong_verbs", "|").alias("action_verbs_found"),
                     AD.verb_strength(F.col("n_strong")).alias("verb_strength"),
                     F.array_join(F.transform(up, lambda u: F.concat(u["weak"], F.lit("="), u["suggestions"])), "|")
                     .alias("upgrades"), AD.verb_tip(F.col("n_strong")).alias("tip"))
@@ -859,13 +859,13 @@ def _pair_adv(spark, sf):
 
 
 @register("keyword_advice", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
-select doc_id, target_id, kw_score, array_to_string(missing[1:15], '|') as missing_keywords,
+select doc_id, target_id, kw_score, array_to_string(missing, '|') as missing_keywords,
   array_to_string(kw_suggestions, '|') as suggestions,
   array_to_string(list_transform(kw_examples, lambda e: e.keyword || '=' || e.example), '|') as examples,
   case when kw_score >= 70 then {S.q(L.KEYWORD_MESSAGES['good'])} else {S.q(L.KEYWORD_MESSAGES['more'])} end as tip from padv""")
 def q_keyword_advice(spark, sf):
     p = _pair_adv(spark, sf)
-    return p.select("doc_id", "target_id", "kw_score", F.array_join(F.slice("missing", 1, 15), "|").alias("missing_keywords"),
+    return p.select("doc_id", "target_id", "kw_score", F.array_join("missing", "|").alias("missing_keywords"),
                     F.array_join("kw_suggestions", "|").alias("suggestions"),
                     F.array_join(F.transform("kw_examples", lambda e: F.concat(e["keyword"], F.lit("="), e["example"])), "|")
                     .alias("examples"), AD.keyword_tip(F.col("kw_score")).alias("tip"))

@@ -25,7 +25,7 @@ def doc_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         T.quant_count(t).alias("quant_count"),
         *X.contact_columns(t),
         X.bullet_line_count(t, X.FEEDBACK_BULLET).alias("feedback_bullets"),
-        X.bullets_array(t, 10).alias("bullets"),
+        X.bullets_array(t).alias("bullets"),
     )
 
 

@@ -10,7 +10,7 @@ MARK = "[-*•‣◦]"
 SPLIT = X.SENTENCE_SPLIT
 
 
-def bullets(t: str, limit: int | None = 10) -> str:
+def bullets(t: str, limit: int | None = None) -> str:
     lines = f"list_transform(string_split({t}, chr(10)), lambda x: {strip('x')})"
     marked = f"list_filter({lines}, lambda x: regexp_matches(x, {q('^' + MARK + WS_RUN)}))"
     body = strip(f"regexp_replace(x, {q('^' + MARK + WS_RUN)}, '')")
@@ -19,7 +19,7 @@ def bullets(t: str, limit: int | None = 10) -> str:
     return f"{kept}[1:{limit}]" if limit else kept
 
 
-def sentences(t: str, limit: int | None = 50) -> str:
+def sentences(t: str, limit: int | None = None) -> str:
     parts = f"list_transform(regexp_split_to_array({t}, {q(SPLIT)}), lambda x: {strip('x')})"
     kept = f"list_filter({parts}, lambda x: length(x) > 20)"
     return f"{kept}[1:{limit}]" if limit else kept
@@ -197,15 +197,15 @@ def verdict_cols(density: str = "density_percent") -> str:
 
 
 def recommendation_col(missing: str = "top_missing_list") -> str:
-    parse = "list_transform(parse_issues[1:3], lambda x: {'priority': 'high', 'action': x})"
+    parse = "list_transform(parse_issues, lambda x: {'priority': 'high', 'action': x})"
     crit = ("list_transform(list_filter(weak, lambda w: w.severity = 'critical'), "
             "lambda w: {'priority': 'critical', 'action': w.reason})")
     miss = f"coalesce({missing}, [])"
     kw = (f"(case when len({miss}) > 0 then [{{'priority': 'medium', 'action': "
-          f"'Add these missing keywords from the job description: ' || array_to_string({miss}[1:5], ', ') || '.'}}] else [] end)")
+          f"'Add these missing keywords from the job description: ' || array_to_string({miss}, ', ') || '.'}}] else [] end)")
     high = ("list_transform(list_filter(weak, lambda w: w.severity = 'high'), "
             "lambda w: {'priority': 'high', 'action': w.reason})")
-    return f"list_concat({parse}, {crit}, {kw}, {high})[1:8] as recommendations"
+    return f"list_concat({parse}, {crit}, {kw}, {high}) as recommendations"
 
 
 # ---------------------------------------------------------------- rewriting
@@ -250,7 +250,7 @@ def suggestions(b: str) -> str:
     m = L.BULLET_SUGGESTION_MESSAGES
     verb_msg = m["verb"].format(starters=", ".join(L.STRONG_STARTERS[:6]))
     return _arr([(f"not regexp_matches({b}, '\\d')", q(m["metric"])), (f"not {strong_verb(b)}", q(verb_msg)),
-                 (f"{word_count(b)} < 8", q(m["expand"])), ("true", q(m["tech"]))]) + "[1:3]"
+                 (f"{word_count(b)} < 8", q(m["expand"])), ("true", q(m["tech"]))])
 
 
 def project_strength(bl: str) -> str:
@@ -340,13 +340,13 @@ def structure_items() -> str:
 
 
 def keyword_suggestions(missing: str) -> str:
-    return (f"list_transform({missing}[1:10], lambda kw_: 'Consider adding ''' || kw_ || "
+    return (f"list_transform({missing}, lambda kw_: 'Consider adding ''' || kw_ || "
             f"''' — it appears in the job description but not your resume.')")
 
 
 def keyword_examples(missing: str) -> str:
     tpls = "[" + ", ".join(q(t) for t in L.KEYWORD_TEMPLATES) + "]"
-    return (f"list_transform({missing}[1:10], lambda kw_, i: {{'keyword': kw_, 'example': "
+    return (f"list_transform({missing}, lambda kw_, i: {{'keyword': kw_, 'example': "
             f"replace({tpls}[((i - 1) % {len(L.KEYWORD_TEMPLATES)}) + 1], '{{kw}}', kw_)}})")
 
 
@@ -357,7 +357,7 @@ def top_suggestions(kw_suggestions: str) -> str:
              f"coalesce({kw_suggestions}, [])[1:1]), "
              f"case when n_strong = 0 then [{q(L.VERB_TIPS['other'])}] else [] end), "
              f"list_transform(structure_feedback, lambda x: x.message))")
-    return distinct_in_order(parts) + "[1:5]"
+    return distinct_in_order(parts)
 
 
 def skills_phrase(skills: str) -> str:

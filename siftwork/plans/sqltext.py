@@ -103,7 +103,7 @@ def targ_sql() -> str:
 select cast(substr(p_brand, 7) as bigint) as target_id,
   'Opening ' || p_brand || chr(10)
   || string_agg('- Strong ' || {lst(lex)}[1 + (p_partkey*7) % {len(lex)}] || ' required', chr(10) order by p_partkey) as text
-from part where p_partkey < 200 group by p_brand
+from part group by p_brand
 """
 
 

@@ -27,8 +27,8 @@ def debounced_lint(edits: DataFrame, gap: str, phrases: list[str] = L.LIVE_HINT_
                    ts_col: str = "ts", text_col: str = "text", id_col: str | None = None,
                    watermark: str | None = None) -> DataFrame:
     """Latest text per user and quiet period (a session closes after ``gap`` without input) and
-    the hint for its first weak phrase.  Batch and streaming use the same plan; Spark merges
-    sessions map-side before the shuffle, so a very active user does not funnel raw events."""
+    the hint for its first weak phrase.  Batch and streaming use the same plan. Equal
+    timestamps of a user fold before the shuffle; the sessions of one user are merged in one task."""
     df = edits.withWatermark(ts_col, watermark) if watermark else edits
     order = F.struct(F.col(ts_col), F.col(id_col)) if id_col else F.col(ts_col)
     agg = df.groupBy(F.col(user_col), F.session_window(F.col(ts_col), gap).alias("session")).agg(
@@ -43,20 +43,23 @@ def debounced_lint(edits: DataFrame, gap: str, phrases: list[str] = L.LIVE_HINT_
 
 
 def score_batch(batch: DataFrame, text_col: str = "text") -> DataFrame:
-    """Document-level screening of one micro-batch (no target): score, verdict, issue count."""
-    s = SCR.screen(batch.select("doc_id", "session_id", "ts", text_col), text_col)
-    return s.join(batch.select("doc_id", "session_id", "ts"), "doc_id").select(
-        "session_id", "doc_id", "ts", "ats_score", "verdict", F.size("parse_issues").alias("n_parse_issues"))
+    """Document-level screening of one micro-batch (no target): score, verdict, issue count.
+
+    The row's session and time travel inside the key, so a document in two sessions stays two rows and nothing is
+    joined back."""
+    keyed = batch.select(F.struct("session_id", "doc_id", "ts").alias("doc_id"), text_col)
+    return SCR.screen(keyed, text_col).select("doc_id.session_id", "doc_id.doc_id", "doc_id.ts", "ats_score", "verdict",
+                                              F.size("parse_issues").alias("n_parse_issues"))
 
 
 def stream_score(spark: SparkSession, source_dir: str, schema: str, out_dir: str | None = None,
-                 watermark: str = "1 hour", text_col: str = "text", session_col: str = "source",
+                 watermark: str | None = None, text_col: str = "text", session_col: str = "source",
                  ts_expr: Column | None = None, max_files_per_trigger: int = 1,
                  glob: str | None = None) -> DataFrame:
     """Score documents as they arrive and append them as versions per session.
 
-    Late rows beyond the watermark are dropped, duplicates by (session, doc) are dropped within
-    the watermark, and each micro-batch appends rows tagged with its batch id (overwriting that
+    Without a watermark (the default, for a backfill) no row is late: duplicates by (session, doc) are dropped
+    whenever they come. With one, rows beyond it are dropped and duplicates only within it. Each micro-batch appends rows tagged with its batch id (overwriting that
     batch's partition, so a replayed batch is idempotent).  Version ids are assigned when the
     table is read: row_number per session by (ts, doc_id).  Runs with ``availableNow`` and
     returns the table written so far.
@@ -69,9 +72,10 @@ def stream_score(spark: SparkSession, source_dir: str, schema: str, out_dir: str
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = (reader.parquet(source_dir)
-              .select("doc_id", F.col(session_col).cast("string").alias("session_id"), ts.alias("ts"), text_col)
-              .withWatermark("ts", watermark)
-              .dropDuplicatesWithinWatermark(["session_id", "doc_id"]))
+              .select("doc_id", F.col(session_col).cast("string").alias("session_id"), ts.alias("ts"), text_col))
+    keys = ["session_id", "doc_id"]
+    stream = (stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys) if watermark
+              else stream.dropDuplicates(keys))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = score_batch(batch, text_col).withColumn("batch_id", F.lit(batch_id))
