@@ -129,7 +129,6 @@ def keyword_coverage(doc_terms: DataFrame, target_terms: DataFrame, docs: DataFr
 
 # ------------------------------------------------------------------ TF-IDF pair similarity
 TFIDF_TOKEN = r"\b\w\w+\b"
-TFIDF_CAP = 500
 IDF_ONE_SIDE = 1.4054651081081644  # ln(3/2) + 1: smooth idf with n = 2 documents, df = 1
 
 
@@ -149,41 +148,28 @@ def tfidf_terms(df: DataFrame, id_col: str, spark: SparkSession, text_col: str =
     return toks.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _top_terms(terms: DataFrame, cap: int) -> DataFrame:
-    w = Window.partitionBy("id").orderBy(F.col("c").desc(), F.col("term").asc())
-    return terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame) -> DataFrame:
+    """Cosine of TF-IDF vectors fitted on each (document, target) pair alone, over all terms of both.
 
-
-def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, cap: int = TFIDF_CAP) -> DataFrame:
-    """Cosine of TF-IDF vectors fitted on each (document, target) pair alone.
-
-    The pair vocabulary is the ``cap`` terms of highest pair frequency (ties: term asc).  That set
-    always lies within doc-top-cap U target-top-cap U shared terms, so only those candidates are
-    joined per pair: exact, with work bounded by 2*cap + |shared| rows per pair.  Pairs without a
-    shared term have cosine 0 and are not materialised.
+    A term of both sides has idf 1, a term of one side ``IDF_ONE_SIDE``. So with N the sum of a side's squared counts
+    and S the part of it in shared terms, the squared norm is S + IDF_ONE_SIDE^2 * (N - S): one join on the term, one
+    aggregate per pair, and a join of one number per document and per target. Counts stay integers until the end.
+    Pairs without a shared term have cosine 0 and are not materialised.
     """
     d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
     t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
-    shared = d.join(t, "term")
-    pairs = shared.select("doc_id", "target_id").distinct()
-    dtop = _top_terms(doc_terms, cap).select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
-    ttop = _top_terms(target_terms, cap).select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
-    cand = (shared.select("doc_id", "target_id", "term", "cd", "ct")
-            .unionByName(pairs.join(dtop, "doc_id").withColumn("ct", F.lit(0).cast("long")))
-            .unionByName(pairs.join(ttop, "target_id").withColumn("cd", F.lit(0).cast("long"))))
-    terms = cand.groupBy("doc_id", "target_id", "term").agg(F.max("cd").alias("cd"), F.max("ct").alias("ct"))
-    w = Window.partitionBy("doc_id", "target_id").orderBy((F.col("cd") + F.col("ct")).desc(), F.col("term").asc())
-    kept = terms.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
-    idf = F.when((F.col("cd") > 0) & (F.col("ct") > 0), F.lit(1.0)).otherwise(F.lit(IDF_ONE_SIDE))
-    agg = kept.groupBy("doc_id", "target_id").agg(
+    shared = d.join(t, "term").groupBy("doc_id", "target_id").agg(
         F.sum(F.col("cd") * F.col("ct")).alias("dot"),
-        F.sum(F.pow(F.col("cd") * idf, 2)).alias("nd"),
-        F.sum(F.pow(F.col("ct") * idf, 2)).alias("nt"),
+        F.sum(F.col("cd") * F.col("cd")).alias("sd"),
+        F.sum(F.col("ct") * F.col("ct")).alias("st"),
     )
-    denom = F.sqrt(F.col("nd") * F.col("nt"))
-    # a side whose capped vocabulary holds none of its own terms is a zero vector: cosine 0
-    return agg.select("doc_id", "target_id", F.when(denom > 0, F.round(F.col("dot") / denom, 6))
-                      .otherwise(F.lit(0.0)).alias("tfidf_similarity"))
+    all_d = d.groupBy("doc_id").agg(F.sum(F.col("cd") * F.col("cd")).alias("nd"))
+    all_t = t.groupBy("target_id").agg(F.sum(F.col("ct") * F.col("ct")).alias("nt"))
+    j = shared.join(all_d, "doc_id").join(all_t, "target_id")
+    one_side = F.lit(IDF_ONE_SIDE * IDF_ONE_SIDE)
+    norm_d = F.col("sd") + one_side * (F.col("nd") - F.col("sd"))
+    norm_t = F.col("st") + one_side * (F.col("nt") - F.col("st"))
+    return j.select("doc_id", "target_id", F.round(F.col("dot") / F.sqrt(norm_d * norm_t), 6).alias("tfidf_similarity"))
 
 
 # ------------------------------------------------------------------ embeddings

@@ -346,19 +346,16 @@ def _tfidf_terms_sql(name, src, idc, textexpr):
   select id, term, count(*) as c from g group by all)"""
 
 
-def _tfidf_sql(dterms, tterms, cap=M.TFIDF_CAP):
+def _tfidf_sql(dterms, tterms):
     return f"""tfidf as (
-  with pairs as (select distinct d.id as doc_id, t.id as target_id from {dterms} d join {tterms} t using (term)),
-  u as (select p.doc_id, p.target_id, d.term, d.c as cd, 0 as ct from pairs p join {dterms} d on d.id = p.doc_id
-        union all
-        select p.doc_id, p.target_id, t.term, 0 as cd, t.c as ct from pairs p join {tterms} t on t.id = p.target_id),
-  tm as (select doc_id, target_id, term, max(cd) as cd, max(ct) as ct from u group by all),
-  kept as (select * from (select *, row_number() over (partition by doc_id, target_id order by cd + ct desc, term) as r
-           from tm) where r <= {cap}),
-  w as (select *, case when cd > 0 and ct > 0 then 1.0 else {M.IDF_ONE_SIDE!r} end as idf from kept)
-  select doc_id, target_id, case when sum(pow(cd * idf, 2)) * sum(pow(ct * idf, 2)) > 0
-    then round(sum(cd * ct) / sqrt(sum(pow(cd * idf, 2)) * sum(pow(ct * idf, 2))), 6) else 0.0 end as tfidf_similarity
-  from w group by all)"""
+  with nd as (select id as doc_id, sum(c * c) as n from {dterms} group by id),
+  nt as (select id as target_id, sum(c * c) as n from {tterms} group by id),
+  sh as (select d.id as doc_id, t.id as target_id, sum(d.c * t.c) as dot, sum(d.c * d.c) as sd, sum(t.c * t.c) as st
+    from {dterms} d join {tterms} t using (term) group by all)
+  select doc_id, target_id, round(dot::double
+    / sqrt(sd + (nd.n - sd) * pow({M.IDF_ONE_SIDE!r}::double, 2)) / sqrt(st + (nt.n - st) * pow({M.IDF_ONE_SIDE!r}::double, 2)), 6)
+    as tfidf_similarity
+  from sh join nd using (doc_id) join nt using (target_id))"""
 
 
 @register("tfidf_pair_similarity", f"""

@@ -83,3 +83,20 @@ def test_lexicon_match_overlap_and_case(spark):
 
 def test_python_title(spark):
     assert one(spark, T.python_title(F.col("t")), "scikit-learn neo4j ci/cd") == "Scikit-Learn Neo4J Ci/Cd"
+
+
+def test_tfidf_closed_form_equals_vectors_of_the_pair(spark):
+    import math
+    docs = {1: {"red": 3, "fox": 1, "red fox": 1}, 2: {"blue": 2}, 3: {f"w{i}": 1 + i % 7 for i in range(1200)}}
+    targets = {10: {"red": 1, "w5": 2, "dog": 4}, 11: {"blue": 5}}
+    frame = lambda x: spark.createDataFrame([(i, t, c) for i, ts in x.items() for t, c in ts.items()], "id long, term string, c long")
+    got = {(r.doc_id, r.target_id): r.tfidf_similarity for r in M.tfidf_pair_similarity(frame(docs), frame(targets)).collect()}
+    want = {}
+    for i, a in docs.items():
+        for j, b in targets.items():
+            if a.keys() & b.keys():
+                idf = {t: math.log(3 / (1 + (t in a) + (t in b))) + 1 for t in a.keys() | b.keys()}
+                x, y = ({t: c * idf[t] for t, c in side.items()} for side in (a, b))
+                dot = sum(x[t] * y[t] for t in x.keys() & y.keys())
+                want[i, j] = dot / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
