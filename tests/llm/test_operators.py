@@ -253,6 +253,36 @@ def test_lines(spark, none):
     assert lines.line_dedup_by_document(none).count() == 0
 
 
+def test_lines_against_all_pairs(spark):
+    """All lines of sf0.001 against each other: what goes is what exact similarity and chains of it say."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    places = collections.defaultdict(list)
+    for r in sorted(d.collect()):
+        for i, s in enumerate((r.text or "").split("\n")):
+            if s.strip(" \t\n\v\f\r"):
+                places[s.strip(" \t\n\v\f\r")].append((r.doc_id, i))
+    sets = sorted(((len(g), s, g) for s in places for g in [{s[i:i + 5] for i in range(max(1, len(s) - 4))}]), key=lambda x: x[:2])
+    root = {s: s for s in places}
+
+    def top(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for i, (n, s, g) in enumerate(sets):
+        for m, t, h in sets[i + 1:]:
+            if n < 0.8 * m:
+                break
+            if top(s) != top(t) and len(g & h) >= 0.8 * (n + m - len(g & h)):
+                root[top(s)] = top(t)
+    groups = collections.defaultdict(list)
+    for s in places:
+        groups[top(s)] += places[s]
+    gone = {x for g in groups.values() for x in sorted(g)[1:]}
+    got = {(r.doc_id, int(i)) for r in lines.line_dedup_by_document(d).collect() for i in r.removed.split(",") if i}
+    assert gone and got == gone
+
+
 def test_language(spark, docs, none):
     got = language.identify(spark.read.parquet(f"{SF}/documents.parquet")).join(
         spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
