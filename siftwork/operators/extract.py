@@ -161,21 +161,16 @@ def section_coverage(presence: DataFrame) -> DataFrame:
 def verb_usage(docs: DataFrame, spark: SparkSession, text_col: str = "text") -> DataFrame:
     """(doc_id, strong_verbs, weak_verbs, n_strong, n_weak): distinct verbs in order of first use.
 
-    Part of speech is replaced by lexicon membership of the surface token.
+    Part of speech is replaced by lexicon membership of the surface token. Row-local; a document without a verb has
+    empty lists.
     """
-    toks = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]+"), 0))
-                       .alias("pos", "verb"))
-    hits = toks.join(dims.verbs(spark), "verb").groupBy("doc_id", "kind", "verb").agg(F.min("pos").alias("first"))
-    per = hits.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "strong", F.struct("first", "verb")))).alias("_s"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "weak", F.struct("first", "verb")))).alias("_w"),
-    )
-    return per.select(
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[a-z]+"), 0))
+    found = docs.select("doc_id", words.alias("words")).select(
         "doc_id",
-        F.transform("_s", lambda x: x["verb"]).alias("strong_verbs"),
-        F.transform("_w", lambda x: x["verb"]).alias("weak_verbs"),
-    ).select("doc_id", "strong_verbs", "weak_verbs", F.size("strong_verbs").alias("n_strong"),
-             F.size("weak_verbs").alias("n_weak"))
+        F.filter("words", lambda w: w.isin(*L.ACTION_VERBS)).alias("strong_verbs"),
+        F.filter("words", lambda w: w.isin(*L.WEAK_VERBS)).alias("weak_verbs"),
+    )
+    return found.select("*", F.size("strong_verbs").alias("n_strong"), F.size("weak_verbs").alias("n_weak"))
 
 
 # ------------------------------------------------------------------ readability and counts

@@ -80,7 +80,9 @@ per as (select doc_id,
    coalesce(list(verb order by first) filter (where kind = 'strong'), []) as strong_verbs,
    coalesce(list(verb order by first) filter (where kind = 'weak'), []) as weak_verbs
  from hits group by doc_id)
-select doc_id, strong_verbs, weak_verbs, len(strong_verbs) as n_strong, len(weak_verbs) as n_weak from per"""
+select s.doc_id, coalesce(strong_verbs, []) as strong_verbs, coalesce(weak_verbs, []) as weak_verbs,
+       coalesce(len(strong_verbs), 0) as n_strong, coalesce(len(weak_verbs), 0) as n_weak
+from {src} s left join per on s.doc_id = per.doc_id"""
 
 
 def sec_score(p: str = "") -> str:

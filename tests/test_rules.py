@@ -100,3 +100,11 @@ def test_tfidf_closed_form_equals_vectors_of_the_pair(spark):
                 dot = sum(x[t] * y[t] for t in x.keys() & y.keys())
                 want[i, j] = dot / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_verb_usage_keeps_documents_without_a_verb(spark):
+    d = spark.createDataFrame([(1, "Led it, built it and LED it again; helped."), (2, "nothing here"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in X.verb_usage(d, spark).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1].strong_verbs == ["led", "built"] and got[1].weak_verbs == ["helped"]
+    assert all((got[i].strong_verbs, got[i].weak_verbs, got[i].n_strong, got[i].n_weak) == ([], [], 0, 0) for i in (2, 3, 4))
