@@ -283,6 +283,29 @@ def test_lines_against_all_pairs(spark):
     assert gone and got == gone
 
 
+def test_lines_without_spaces_and_short_lines(spark):
+    """Links of lines that have no inner white space, or few words, and differ in any one place."""
+    import random
+
+    rng = random.Random(3)
+    signs = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+    whole = ["".join(rng.choices(signs, k=220)) for _ in range(12)] + ["https://www.example.org/" + rng.randbytes(80).hex() for _ in range(12)]
+    short = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(rng.randint(5, 7))) for _ in range(60)]
+    places = []
+    for s in whole + short + ["aaaaaa", "aaaaaaa", "abcdefgh", "abcdefghi"]:
+        at = rng.choice([0, 0, len(s) - 1, rng.randrange(len(s))])
+        places += [s, s[:at] + "#" + s[at + 1:]]
+    grams = [{s[i:i + 5] for i in range(max(1, len(s) - 4))} for s in places]
+    top = list(range(len(places)))
+    for b in range(len(places)):
+        for a in range(b):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    got = by_id(lines.line_dedup_by_document(spark.createDataFrame(list(enumerate(places)), "doc_id long, text string")))
+    assert sum(x != i for i, x in enumerate(top)) > 60
+    assert {i for i, r in got.items() if r.n_removed} == {i for i, x in enumerate(top) if x != i}
+
+
 def test_language(spark, docs, none):
     got = language.identify(spark.read.parquet(f"{SF}/documents.parquet")).join(
         spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
