@@ -21,6 +21,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs, so the length can be asked for at once
 #: What the token test looks at: unbroken runs of the characters of keys and of base64.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What it looks at next, in a run that is no secret as a whole: the parts of a path, then of a name.
+PARTS = (re.compile(r"[^/=]{16,}"), re.compile(r"[^-_+]{16,}"))
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
@@ -40,11 +42,12 @@ def word_pattern() -> str:
 
 def digest_or_identifier(run: str) -> bool:
     """Known random-looking strings that are no secrets: digests of the usual lengths, UUIDs, plain numbers, and
-    identifiers, that is names of letters or of digits between - _ / + =, CamelCase included."""
+    identifiers, that is numbers, words of at most five letters and CamelCase between - _ / + =. Tokens are no measure of
+    such short words; longer ones are left to it."""
     if UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return True
     parts = [p for p in re.split(r"[-_/+=]+", run) if p]
-    return all(p.isdigit() or re.fullmatch(r"[A-Za-z]?[a-z]*\d{0,4}|([A-Z][a-z]+)+\d{0,4}|[A-Z]+\d{0,4}", p) for p in parts)
+    return all(p.isdigit() or re.fullmatch(r"[A-Za-z]?[a-z]{0,4}\d{0,4}|([A-Z][a-z]+)+\d{0,4}|[A-Z]{1,5}\d{0,4}", p) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,13 +57,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def between(run: re.Match, taken: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """(start, text) of what the taken spans leave of a run."""
+    out, at = [], run.start()
+    for s, e in [*taken, (run.end(), run.end())]:
+        if s >= at:
+            out.append((at, run.string[at:min(s, run.end())]))
+        at = max(at, e)
+    return [(s, x) for s, x in out if len(x) >= 16]
+
+
+def token_spans(x: str, at: int, random_looking, parts=PARTS):
+    """(start, end) of the longest parts of ``x``, which begins at ``at``, that look random."""
+    if not re.search("[A-Za-z]", x) or digest_or_identifier(x):
+        return
+    if random_looking(x):
+        yield at, at + len(x)
+    elif parts:
+        for m in parts[0].finditer(x):
+            yield from token_spans(m.group(), at + m.start(), random_looking, parts[1:])
+
+
 def find_secrets(docs: DataFrame, ranks: str | None = None, max_chars_per_token: float = 2.0) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans, found.
 
-    Base kinds by fixed patterns. Token kind: a run of 16 or more key characters that holds a digit and a letter, is no
-    digest, UUID or identifier, lies in no base span, and of which the vocabulary's tokens cover at most
-    ``max_chars_per_token`` characters on average: text that a vocabulary was made for needs few tokens, random
-    strings need many. ``ranks`` is the path of a tiktoken file on the driver; its contents travel with the tasks.
+    Base kinds by fixed patterns. Token kind: 16 or more key characters that hold a letter, are no digest, UUID or
+    identifier, and of which the vocabulary's tokens cover at most ``max_chars_per_token`` characters on average: text
+    that a vocabulary was made for needs few tokens, random strings need many. The test is made on each unbroken run of
+    such characters, as far as no base span covers it (base64 holds / + =); if a run passes as text, on its parts between
+    / and =, and of those that pass on the parts between - _ and +. So words around a key do not hide it. ``ranks`` is
+    the path of a tiktoken file on the driver; its contents travel with the tasks.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind; ``found`` has them as an array.
     Map-only, no state across documents. Null and empty texts have no spans (empty strings, the digest of the empty
@@ -80,16 +106,16 @@ def find_secrets(docs: DataFrame, ranks: str | None = None, max_chars_per_token:
             kept[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own, special_tokens={})
         encode = kept[path].encode_ordinary
 
+        def random_looking(x):
+            return len(x) <= max_chars_per_token * len(encode(x))
+
         def more(text, base):
             taken = sorted((s, e) for s, _, e in base)
             for m in RUN.finditer(text):
-                x = m.group()
-                if not re.search("[0-9]", x) or not re.search("[A-Za-z]", x) or digest_or_identifier(x):
-                    continue
-                if any(s < m.end() and m.start() < e for s, e in taken):
-                    continue
-                if len(x) <= max_chars_per_token * len(encode(x)):
-                    yield m.start(), 3, m.end()
+                near = [(s, e) for s, e in taken if s < m.end() and m.start() < e]
+                for at, x in between(m, near):
+                    for s, e in token_spans(x, at, random_looking):
+                        yield s, 3, e
 
         for b in batches:
             rows = []
