@@ -169,45 +169,48 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
     4. The verdicts go back to the occurrences by an equi-join on the digest and are gathered per document, together
        with repetitions inside it, and the words are removed.
 
-    Texts are shuffled once, as compressed words, for the second and the fourth step.
+    Texts are shuffled as compressed words for the second and the fourth step. A row's key is its id and a 64-bit hash
+    of id and text, so rows of one id, or without one, keep their places apart; anchors carry the hash only, where a
+    collision adds candidates and changes no result.
     Null text has no words. Rows with an equal doc_id are judged as if none of them came earlier than another; null
     ids count as later than any other, and as equal to each other. Texts with fewer words than a window stay whole.
     No rows give none; other columns are ignored.
     """
     later = (1 << 63) - 1
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(later)).alias("id"), text_of(docs).alias("t"))
+    d = d.select("id", F.xxhash64("id", "t").alias("r"), "t")
     reach = window - ANCHOR
 
     def name_anchors(batches):
         for big in batches:
             for at in range(0, big.num_rows, 500):
-                b, ids, hs, ns = big.slice(at, 500), [], [], []
-                for i, t in zip(b.column("id").to_pylist(), b.column("t").cast(pa.binary())):
+                b, rs, hs, ns = big.slice(at, 500), [], [], []
+                for r, t in zip(b.column("r").to_pylist(), b.column("t").cast(pa.binary())):
                     buf = squeeze(t.as_buffer().to_pybytes())
                     h, n = np.unique(anchors(buf, *word_places(buf), window)[1], return_counts=True)
-                    ids.append(np.full(len(h), i, np.int64))
+                    rs.append(np.full(len(h), r, np.int64))
                     hs.append(h.view(np.int64))
                     ns.append(np.minimum(n, 2).astype(np.int32))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, hs, ns)], names=["id", "h", "n"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (rs, hs, ns)], names=["r", "h", "n"])
 
-    named = d.mapInArrow(name_anchors, "id long, h long, n int")
+    named = d.mapInArrow(name_anchors, "r long, h long, n int")
     twice = named.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    listed = named.select("id", "h").join(twice, "h").groupBy("id").agg(F.collect_list("h").alias("hs"))  # by the text's length
+    listed = named.select("r", "h").join(twice, "h").groupBy("r").agg(F.collect_set("h").alias("hs"))  # by the text's length
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.record_batch([b.column("id"), pa.array([z.compress(squeeze(t.as_buffer().to_pybytes())) for t in b.column("t").cast(pa.binary())],
-                                                            pa.binary())], names=["id", "z"])
+            yield pa.record_batch([b.column("id"), b.column("r"), pa.array([z.compress(squeeze(t.as_buffer().to_pybytes())) for t in b.column("t").cast(pa.binary())],
+                                                            pa.binary())], names=["id", "r", "z"])
 
-    packed = d.mapInArrow(pack, "id long, z binary")
+    packed = d.mapInArrow(pack, "id long, r long, z binary")
 
     def show_contexts(batches):
         unpack, seen = zstandard.ZstdDecompressor().decompress, {}
         for big in batches:
             for at in range(0, big.num_rows, 200):
                 b, out = big.slice(at, 200), []
-                for i, t, hs in zip(b.column("id").to_pylist(), b.column("z"), b.column("hs")):
+                for i, r, t, hs in zip(*[b.column(c).to_pylist() for c in ("id", "r")], b.column("z"), b.column("hs")):
                     buf = unpack(t.as_buffer())
                     starts, ends = word_places(buf)
                     pos, h = anchors(buf, starts, ends, window)
@@ -219,18 +222,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
                     for p, a, l, s, e in spans:
                         context = buf[s:e]
                         key = xxhash.xxh3_128_digest(b"%d %d " % (a, l) + context)
-                        if seen.get(key, later) <= i:
+                        first = seen.get(key)
+                        if first is not None and first <= i:
                             context = None
                         else:
                             if len(seen) > REMEMBER:
                                 seen.clear()
                             seen[key] = i
-                        out.append((i, p, a, l, key, context))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                cols = list(zip(*out)) or [[]] * 6
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "pos", "h", "left", "key", "context"])
+                        out.append((i, r, p, a, l, key, context))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                cols = list(zip(*out)) or [[]] * 7
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "r", "pos", "h", "left", "key", "context"])
 
-    shown = packed.join(listed, "id").mapInArrow(show_contexts, "id long, pos int, h long, left int, key binary, context binary")
+    shown = packed.join(listed, "r").select("id", "r", "z", "hs").mapInArrow(
+        show_contexts, "id long, r long, pos int, h long, left int, key binary, context binary")
     sent = shown.where("context is not null").select("h", "key", "id", "left", "context")
 
     def confirm(batches):
@@ -258,10 +263,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
         yield table(verdicts(group))
 
     judged = sent.repartition("h").sortWithinPartitions("h", "key", "id").mapInArrow(confirm, "key binary, first long, bits int")
-    marks = shown.select("id", "pos", "key").join(judged, "key")
+    marks = shown.select("id", "r", "pos", "key").join(judged, "key")
     # every window of the context, or those whose words a context of a smaller doc_id holds too
     marks = marks.withColumn("bits", F.when(F.col("id") > F.col("first"), F.lit((1 << (reach + 1)) - 1)).otherwise(F.col("bits")))
-    marks = marks.where("bits != 0").groupBy("id").agg(F.collect_list(F.struct("pos", "bits")).alias("marks"))  # by the text's length
+    marks = marks.where("bits != 0").groupBy("id", "r").agg(F.collect_set(F.struct("pos", "bits")).alias("marks"))  # by the text's length
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if full else "")
 
     def remove(batches):
@@ -290,4 +295,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, full: bool = False) -> Da
                 cols = list(zip(*out)) or [[]] * (4 + full)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.strip().split(" ")[0] for f in schema.split(",")])
 
-    return packed.join(marks, "id", "left").mapInArrow(remove, schema)
+    return packed.join(marks, ["id", "r"], "left").mapInArrow(remove, schema)

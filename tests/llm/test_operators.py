@@ -128,6 +128,33 @@ def test_substrings(docs, rows, none):
     assert substrings.substring_dedup(none).count() == 0
 
 
+def test_substrings_of_rows_without_id_or_with_one_id(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def text(n):
+        return [rng.randbytes(4).hex() for _ in range(n)]
+
+    known, other, third = text(25), text(22), text(30)
+    d = [(1, text(60) + known + text(60)), (None, text(50) + known + text(45)), (None, text(170)), (None, text(33) + other + text(40)),
+         (None, text(20) + other + text(90)), (7, text(70) + third + text(10)), (7, text(15) + known + text(80)), (7, text(140)),
+         (9, text(31) + third + text(50)), (None, text(44) + third + text(5)), (None, text(12) + third + text(9))]
+    d += [d[1], d[6]]
+    got = sorted(tuple(r) for r in substrings.substring_dedup(spark.createDataFrame([(i, " ".join(w)) for i, w in d], "doc_id long, text string")).select(
+        F.coalesce("doc_id", F.lit(99)), "n_words", "n_removed", "kept_sha256").collect())
+    want = []
+    for i, w in d:
+        gone = [False] * len(w)
+        before = [x for j, x in d if (j or 99) < (i or 99)]
+        seen = {tuple(x[s:s + 20]) for x in before for s in range(len(x) - 19)}
+        for s in range(len(w) - 19):
+            if tuple(w[s:s + 20]) in seen:
+                gone[s:s + 20] = [True] * 20
+        want.append((i or 99, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
+    assert got == sorted(want)
+
+
 def test_bpe(docs, rows, none):
     from tokenizers import Tokenizer
 
