@@ -289,6 +289,25 @@ def test_licenses(docs, rows, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_licenses_with_one_word_changed(spark):
+    """Containment is asked of the whole notice, once."""
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    notices = [(k, shingles(t)) for k, texts in licenses.TEMPLATES.items() for t in texts]
+    texts = ["to deal in this Software".join(licenses.TEMPLATES["MIT"][1].split("to deal in the Software"))]
+    for k, n in (("MIT", 1), ("GPL-3.0", 1), ("BSD", 0), ("MIT", 2), ("ISC", 0), ("BSD", 2)):
+        w = licenses.TEMPLATES[k][n].split(" ")
+        texts += [" ".join(["Before it"] * 9 + [*w[:i], "changed", *w[i + 1:]] + ["after it"] * 9) for i in range(0, len(w), 1 if len(w) < 40 else 9)]
+    got = by_id(licenses.license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")))
+    assert got[0].licenses == "MIT" and got[0].containment < 1
+    for i, t in enumerate(texts):
+        share = {k: max(len(s & shingles(t)) / len(s) for j, s in notices if j == k) for k, _ in notices}
+        assert got[i].licenses == ",".join(sorted(k for k in share if share[k] >= 0.8)), (i, t)
+        assert got[i].containment == pytest.approx(max([x for x in share.values() if x >= 0.8], default=0))
+
+
 def test_lines(spark, none):
     line = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf into the dark forest of night"
     near = line.replace("quick", "quack")
