@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, language, licenses, lines, mix, secrets, simhash, spotsigs, substrings
-from .common import documents
+from . import bpe, clusters, contamination, conversations, exact_dedup, language, licenses, lines, mix, secrets, simhash, spotsigs, substrings
+from .common import documents, table
 
 EXACT_SQL = r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
@@ -25,7 +25,11 @@ QUERIES = {
     "op8_spotsigs": lambda spark, d: spotsigs.edited_fingerprints(documents(spark, d)),
     "op9_licenses": lambda spark, d: licenses.license_scan(documents(spark, d)),
     "op10_language": lambda spark, d: language.identify(documents(spark, d)),
+    "op11_clusters": lambda spark, d: clusters.centroid_clusters(table(spark, d, "embeddings")).drop("v", "scans"),
+    "op12_contamination": lambda spark, d: contamination.decontaminated_by_document(documents(spark, d), table(spark, d, "benchmark")),
+    "op13_conversations": lambda spark, d: conversations.repair_damaged(table(spark, d, "conversations")),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op1_exact_dedup": EXACT_SQL, "op7_mix": mix.MIX_SQL}
+ORACLE = {"op1_exact_dedup": EXACT_SQL, "op7_mix": mix.MIX_SQL, "op11_clusters": clusters.clusters_sql(),
+          "op12_contamination": contamination.contamination_sql()}
