@@ -16,7 +16,14 @@ WS_RUN = r"[ \t\n\r\f\x0B]+"
 
 
 def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """The column as text; null is the empty text, everywhere in this module and in the operators built on it."""
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def once(df, name: str, value: Column):
+    """``df`` with a column that is made once per row: as the output of a generator it is not copied into each
+    expression that uses it, as Catalyst does with plain projections, and lambdas don't make it anew."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def py_strip(c: Column | str) -> Column:
@@ -43,7 +50,7 @@ def replaced_chars(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """len(text.split()): whitespace-separated tokens (0 for empty text)."""
-    return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+"))
+    return F.regexp_count(col(c), F.lit(r"[^ \t\n\r\f\x0B]+"))
 
 
 def token_normal_form(c: Column | str) -> Column:
@@ -61,19 +68,6 @@ def _gram_fn(toks: Column, n: int):
     return lambda i: F.array_join(F.slice(toks, i, n), " ")
 
 
-def token_ngrams(norm: Column, max_n: int) -> Column:
-    """All 1..max_n token n-grams (space-joined) of a normal-form string, as one array."""
-    toks = F.split(norm, " ")
-    parts = []
-    for n in range(1, max_n + 1):
-        grams = F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1),
-            _gram_fn(toks, n),
-        )
-        parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*parts))
-
-
 def quant_count(c: Column | str) -> Column:
     """Number of r'\\b\\d+[%+]?\\b' hits, which equals the number of r'\\b\\d+\\b' hits."""
     return F.regexp_count(col(c), F.lit(r"\b\d+\b"))
@@ -85,10 +79,6 @@ def python_title(c: Column | str) -> Column:
     return F.regexp_replace(F.initcap(marked), "\u0001 ", "")
 
 
-def has_digit(c: Column | str) -> Column:
-    return col(c).rlike(r"\d")
-
-
 def first_word_lower(c: Column | str) -> Column:
     """First whitespace token, lower-cased, trailing '.,;' removed ('' if none)."""
     first = F.regexp_extract(col(c), r"^[ \t\n\r\f\x0B]*([^ \t\n\r\f\x0B]+)", 1)

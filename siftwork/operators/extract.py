@@ -28,20 +28,16 @@ YEAR = r"\b(19|20)\d{2}\b"
 DATE = r"(?i)\b(19|20)\d{2}\b|\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?[ \t\n\r\f\x0B]*(19|20)\d{2}\b"
 
 
-def _c(c):
-    return F.col(c) if isinstance(c, str) else c
-
-
 # ------------------------------------------------------------------ lines / bullets / sentences
 def explode_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, pos, line): split on newline, position kept (0-based), each line stripped."""
-    return docs.select("doc_id", F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw")).select(
+    return docs.select("doc_id", F.posexplode(F.split(T.col(text_col), "\n")).alias("pos", "raw")).select(
         "doc_id", "pos", T.py_strip("raw").alias("line"))
 
 
 def bullets_array(text: Column, limit: int | None = None) -> Column:
     """Bullet lines (marker plus whitespace), marker removed, longer than 15 chars, in order."""
-    lines = F.transform(F.split(text, "\n"), lambda x: T.py_strip(x))
+    lines = F.transform(F.split(T.col(text), "\n"), lambda x: T.py_strip(x))
     marked = F.filter(lines, lambda x: x.rlike(f"^{BULLET_MARK}[ \\t\\n\\r\\f\\x0B]+"))
     bodies = F.transform(marked, lambda x: T.py_strip(F.regexp_replace(x, f"^{BULLET_MARK}[ \\t\\n\\r\\f\\x0B]+", "")))
     kept = F.filter(bodies, lambda x: F.length(x) > 15)
@@ -56,11 +52,11 @@ def extract_bullets(docs: DataFrame, text_col: str = "text", limit: int | None =
 
 def bullet_line_count(text: Column, marker_class: str) -> Column:
     """Lines whose first non-blank character is a marker (no whitespace needed after it)."""
-    return F.regexp_count(text, F.lit(f"(?m)^[ \\t\\n\\r\\f\\x0B]*{marker_class}"))
+    return F.regexp_count(T.col(text), F.lit(f"(?m)^[ \\t\\n\\r\\f\\x0B]*{marker_class}"))
 
 
 def sentences_array(text: Column, limit: int | None = None) -> Column:
-    parts = F.transform(F.split(text, SENTENCE_SPLIT), lambda x: T.py_strip(x))
+    parts = F.transform(F.split(T.col(text), SENTENCE_SPLIT), lambda x: T.py_strip(x))
     kept = F.filter(parts, lambda x: F.length(x) > 20)
     return F.slice(kept, 1, limit) if limit else kept
 
@@ -94,7 +90,7 @@ def _gram_rows(docs: DataFrame, text_col: str, max_n: int, lower: bool = True) -
 
 def _case_normal_form(c: Column) -> Column:
     """Token normal form without lower-casing (for case-sensitive names)."""
-    t = F.regexp_replace(c, r"([^A-Za-z0-9 \t\n\r\f\x0B])", " $1 ")
+    t = F.regexp_replace(T.col(c), r"([^A-Za-z0-9 \t\n\r\f\x0B])", " $1 ")
     t = F.regexp_replace(t, r"\n", " \n ")
     t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
     return F.regexp_replace(t, r"^ +| +$", "")
@@ -131,16 +127,8 @@ def gazetteer_entities(docs: DataFrame, spark: SparkSession, text_col: str = "te
 
 
 # ------------------------------------------------------------------ sections
-def section_flags(text: Column, patterns=L.SECTION_PATTERNS) -> Column:
-    """MAP<section, boolean>: pattern searched anywhere in the lower-cased text."""
-    low = F.lower(text)
-    keys = [F.lit(k) for k, _ in patterns]
-    vals = [low.rlike(p) for _, p in patterns]
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
-
-
 def section_columns(text: Column, patterns=L.SECTION_PATTERNS, prefix: str = "has_") -> list[Column]:
-    low = F.lower(text)
+    low = F.lower(T.col(text))
     return [low.rlike(p).alias(f"{prefix}{k}") for k, p in patterns]
 
 
@@ -164,7 +152,7 @@ def verb_usage(docs: DataFrame, spark: SparkSession, text_col: str = "text") ->
     Part of speech is replaced by lexicon membership of the surface token. Row-local; a document without a verb has
     empty lists.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[a-z]+"), 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(T.col(text_col)), F.lit(r"[a-z]+"), 0))
     found = docs.select("doc_id", words.alias("words")).select(
         "doc_id",
         F.filter("words", lambda w: w.isin(*L.ACTION_VERBS)).alias("strong_verbs"),
@@ -176,7 +164,7 @@ def verb_usage(docs: DataFrame, spark: SparkSession, text_col: str = "text") ->
 # ------------------------------------------------------------------ readability and counts
 def readability_columns(text: Column) -> list[Column]:
     """word_count, sentence_count, avg_words_per_sentence, flesch_kincaid_score, readability_grade."""
-    norm = F.regexp_replace(text, f"{FEEDBACK_BULLET}[ \\t\\n\\r\\f\\x0B]*", "\n")
+    norm = F.regexp_replace(T.col(text), f"{FEEDBACK_BULLET}[ \\t\\n\\r\\f\\x0B]*", "\n")
     n_sent = F.size(F.filter(F.split(norm, SENTENCE_SPLIT), lambda s: F.length(T.py_strip(s)) > 5))
     low = F.lower(norm)
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)
@@ -210,6 +198,7 @@ def readability_by_group(read: DataFrame, *group_cols: str) -> DataFrame:
 
 
 def contact_columns(text: Column) -> list[Column]:
+    text = T.col(text)
     low = F.lower(text)
     return [
         text.rlike(EMAIL).alias("has_email"),

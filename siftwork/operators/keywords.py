@@ -1,8 +1,7 @@
 """Keyword phrases: RAKE scores, the noise predicate, repeated phrases and weak terms.
 
-RAKE runs per document: the text is hash-partitioned by ``doc_id`` once, and
-every later aggregate, join and window is keyed by ``doc_id`` first, so Spark
-reuses that partitioning instead of shuffling word-level rows again.
+All of it is local to a document's row: phrases, word statistics, scores and counts are arrays made from the text where
+it is read, so no text is shuffled. What several expressions use is made once per row (``T.once``).
 """
 
 from __future__ import annotations
@@ -10,10 +9,8 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dims
 from ..functions import lexicons as L
 from ..functions import text as T
 
@@ -26,39 +23,50 @@ def rake_ignore() -> list[str]:
     return list(L.english_stopwords()) + PUNCTUATION
 
 
-def _ignore_map() -> Column:
-    return F.create_map(*[x for w in sorted(set(rake_ignore())) for x in (F.lit(w), F.lit(True))])
-
-
-def rake_phrases(docs: DataFrame, text_col: str = "text") -> Column:
+def rake_phrases(text: Column) -> Column:
     """Array of candidate phrases: maximal runs of word-punct tokens that are neither stopwords
     nor single punctuation characters (row-local)."""
-    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORDPUNCT), 0)
-    ign = _ignore_map()
-    marked = F.transform(toks, lambda t: F.when(F.element_at(ign, t).isNotNull(), F.lit(SEP)).otherwise(t))
+    toks = F.regexp_extract_all(F.lower(T.col(text)), F.lit(WORDPUNCT), 0)
+    marked = F.transform(toks, lambda t: F.when(t.isin(*sorted(set(rake_ignore()))), F.lit(SEP)).otherwise(t))
     return F.filter(F.split(F.array_join(marked, " "), f"( ?{SEP} ?)+"), lambda p: p != "")
 
 
-def phrase_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, ph_idx, phrase) for every phrase occurrence, documents hash-partitioned by doc_id."""
-    d = docs.select("doc_id", text_col).repartition("doc_id")
-    return d.select("doc_id", F.posexplode(rake_phrases(d, text_col)).alias("ph_idx", "phrase"))
+def with_phrases(docs: DataFrame, text_col: str = "text", out: str = "_phrases") -> DataFrame:
+    return T.once(docs, out, rake_phrases(F.col(text_col)))
+
+
+def run_starts(values: str) -> Column:
+    """Places (from 0) in the sorted array column ``values`` at which another value begins."""
+    v = F.col(values)
+    return F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+
+
+def with_keywords(docs: DataFrame, text_col: str = "text", k: int = 20, out: str = "keywords") -> DataFrame:
+    """``docs`` and an array column of its best ``k`` phrase occurrences (phrase, score): RAKE score, that is degree /
+    frequency summed over the phrase's words in order; ties by phrase descending; score rounded to 2.
+
+    The words of all phrases are sorted with their phrase's length; a word's frequency is the length of its run, and
+    its degree the sum of the run's lengths."""
+    d = with_phrases(docs, text_col)
+    words = F.flatten(F.transform("_phrases", lambda p: F.transform(F.split(p, " "), lambda w: F.struct(
+        w.alias("w"), F.size(F.split(p, " ")).alias("n")))))
+    d = T.once(d, "_words", F.array_sort(words))
+    d = T.once(d, "_w", F.transform("_words", lambda x: x["w"]))
+    d = T.once(d, "_at", F.when(F.size("_w") > 0, run_starts("_w")).otherwise(F.array().cast("array<int>")))
+    length = lambda i, j: F.coalesce(F.get("_at", j + 1), F.size("_w")) - i
+    ratio = F.transform("_at", lambda i, j: F.aggregate(
+        F.slice("_words", i + 1, length(i, j)), F.lit(0), lambda acc, x: acc + x["n"]) / length(i, j))
+    d = T.once(d, "_ratio", F.map_from_arrays(F.transform("_at", lambda i: F.get("_w", i)), ratio))
+    score = lambda p: F.aggregate(F.split(p, " "), F.lit(0.0), lambda acc, w: acc + F.element_at("_ratio", w))
+    best = F.slice(F.sort_array(F.transform("_phrases", lambda p: F.struct(score(p).alias("s"), p.alias("p"))), asc=False), 1, k)
+    found = F.transform(best, lambda x: F.struct(x["p"].alias("phrase"), F.round(x["s"], 2).alias("score")))
+    return d.withColumn(out, found).drop("_phrases", "_words", "_w", "_at", "_ratio")
 
 
 def rake_keywords(docs: DataFrame, text_col: str = "text", k: int = 20) -> DataFrame:
-    """Best k phrase occurrences per document by RAKE score (degree / frequency summed over the
-    phrase's words, in order); ties by phrase descending; score rounded to 2."""
-    occ = phrase_occurrences(docs, text_col)
-    words = occ.select("doc_id", "ph_idx", "phrase", F.posexplode(F.split("phrase", " ")).alias("w_idx", "word"),
-                       F.size(F.split("phrase", " ")).alias("plen"))
-    stats = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("freq"), F.sum("plen").alias("degree"))
-    scored = words.join(stats, ["doc_id", "word"]).groupBy("doc_id", "ph_idx", "phrase").agg(
-        F.array_sort(F.collect_list(F.struct("w_idx", (F.col("degree") / F.col("freq")).alias("r")))).alias("_r"))
-    scored = scored.select("doc_id", "ph_idx", "phrase",
-                           F.aggregate("_r", F.lit(0.0), lambda acc, x: acc + x["r"]).alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("phrase").desc())
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "doc_id", "rank", "phrase", F.round("score", 2).alias("score"))
+    """(doc_id, rank, phrase, score) of ``with_keywords``; a document without a phrase has no row."""
+    d = with_keywords(docs.select("doc_id", text_col), text_col, k).select("doc_id", F.posexplode("keywords").alias("rank", "x"))
+    return d.select("doc_id", (F.col("rank") + 1).alias("rank"), "x.phrase", "x.score")
 
 
 def _alternation(words) -> str:
@@ -68,7 +76,7 @@ def _alternation(words) -> str:
 
 def is_noise(p: Column) -> Column:
     """The strict noise predicate on a lower-cased candidate phrase."""
-    stop = F.create_map(*[x for w in L.english_stopwords() for x in (F.lit(w), F.lit(True))])
+    stop = list(L.english_stopwords())
     verbs = [v.lower() for v in L.WEAK_VERBS + L.ACTION_VERBS]
     toks = F.split(p, " ")
     return (
@@ -79,33 +87,46 @@ def is_noise(p: Column) -> Column:
         | p.rlike(r"^[0-9]+$")
         | (F.regexp_count(p, F.lit("[0-9]")) > F.length(p) * 0.4)
         | p.isin(*verbs)
-        | (F.size(F.filter(toks, lambda t: F.element_at(stop, t).isNull())) == 0)
+        | F.forall(toks, lambda t: t.isin(*stop))
     )
 
 
+def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
+    """``docs`` and an array column (candidate, n): stripped phrases of length 3..29 that are not noise, with counts."""
+    d = with_phrases(docs, text_col)
+    stripped = F.filter(F.transform("_phrases", lambda p: T.py_strip(p)), lambda c: (F.length(c) > 2) & (F.length(c) < 30))
+    d = T.once(d, "_c", F.sort_array(stripped))
+    d = T.once(d, "_at", F.when(F.size("_c") > 0, run_starts("_c")).otherwise(F.array().cast("array<int>")))
+    runs = F.transform("_at", lambda i, j: F.struct(F.get("_c", i).alias("candidate"),
+                                                    (F.coalesce(F.get("_at", j + 1), F.size("_c")) - i).cast("long").alias("n")))
+    return d.withColumn(out, F.filter(runs, lambda x: ~is_noise(x["candidate"]))).drop("_phrases", "_c", "_at")
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, candidate, n): stripped phrases of length 3..29 that are not noise, with counts."""
-    occ = phrase_occurrences(docs, text_col).withColumn("candidate", T.py_strip(F.col("phrase")))
-    c = F.col("candidate")
-    kept = occ.where((F.length(c) > 2) & (F.length(c) < 30) & ~is_noise(c))
-    return kept.groupBy("doc_id", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    """(doc_id, candidate, n), one row per candidate of ``with_candidates``."""
+    return with_candidates(docs.select("doc_id", text_col), text_col).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.candidate", "c.n")
 
 
 def repeated_phrases(docs: DataFrame, doc_terms: DataFrame, spark: SparkSession, text_col: str = "text") -> DataFrame:
     """Candidates seen more than once, normalised (map, else title case), minus names already
     extracted (case-insensitive) and minus weak terms; appended as technical skills."""
-    cand = candidates(docs, text_col).where(F.col("n") > 1)
+    cand = candidates(docs, text_col).where((F.col("n") > 1) & ~F.col("candidate").isin(*L.WEAK_SKILLS))
     norm_map = F.create_map(*[x for k, v in L.NORMALIZATION.items() for x in (F.lit(k), F.lit(v))])
     named = cand.withColumn("canonical", F.coalesce(F.element_at(norm_map, F.col("candidate")),
                                                     T.python_title(F.col("candidate"))))
     have = doc_terms.select("doc_id", F.lower("canonical").alias("_low")).distinct()
     out = named.join(have, (named.doc_id == have.doc_id) & (F.lower(named.canonical) == have._low), "left_anti")
-    out = out.join(dims.weak_skills(spark), out.candidate == F.col("term"), "left_anti")
     return out.select("doc_id", "candidate", "canonical")
 
 
+def weak_list(cands: Column) -> Column:
+    """Sorted title-cased candidates equal to or containing a filler term, from the array of ``with_candidates``."""
+    filler = F.array(*[F.lit(w) for w in L.WEAK_SKILLS])
+    hit = F.filter(cands, lambda c: F.exists(filler, lambda w: c["candidate"].contains(w)))
+    return F.array_sort(F.array_distinct(F.transform(hit, lambda c: T.python_title(c["candidate"]))))
+
+
 def weak_terms(docs: DataFrame, spark: SparkSession, text_col: str = "text") -> DataFrame:
     """(doc_id, weak): candidates equal to or containing a filler term, title-cased, distinct."""
-    cand = candidates(docs, text_col)
-    hit = cand.join(dims.weak_skills(spark), F.col("candidate").contains(F.col("term")))
-    return hit.select("doc_id", T.python_title(F.col("candidate")).alias("weak")).distinct()
+    d = with_candidates(docs.select("doc_id", text_col), text_col)
+    return d.select("doc_id", F.explode(weak_list(F.col("candidates"))).alias("weak"))

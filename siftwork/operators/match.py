@@ -1,9 +1,10 @@
 """Document x target matching: density, coverage, TF-IDF, embeddings, skill gap.
 
-Scale rule: documents are never crossed with targets on text.  Every pairing
-goes through an equi-join on a term (word, substring, canonical skill) so the
-work is proportional to the number of (document, target) pairs that share
-something, and the constant result of the other pairs is known.
+Scale rule: documents are never crossed with targets. Pair operators take the assignment ``pairs`` (doc_id, target_id;
+see ``resolve_targets``) and return each of its pairs once, also one without a common term and one without a target,
+for which the neutral values of the rules stand. What a side needs (words, terms, skills) is built once per document
+and once per target, and the pairs meet it by equi-joins on the ids. Retrieval over all documents, without an
+assignment, goes through an equi-join on a term (word, substring, gram).
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def substring_hits(docs: DataFrame, words: DataFrame, text_col: str = "text") ->
 
 def keyword_density(docs: DataFrame, targets: DataFrame, spark: SparkSession, text_col: str = "text",
                     target_text_col: str = "text") -> DataFrame:
-    """Per (doc, target) with at least one matched word: matched, total, percent, first 10 missing.
+    """Retrieval: every (doc, target) with a matched word: matched, total, percent, missing words.
 
     Pairs without any match have density 0 and all words missing; they are not materialised.
     """
@@ -76,6 +77,30 @@ def keyword_density(docs: DataFrame, targets: DataFrame, spark: SparkSession, te
     )
 
 
+def assigned_density(docs: DataFrame, targets: DataFrame, pairs: DataFrame, text_col: str = "text",
+                     target_text_col: str = "text") -> DataFrame:
+    """Every pair of the assignment: matched, total, percent and missing words (sorted, all of them).
+
+    A target word counts if it is a substring of the document's lower text. A target without a usable word has 0 %; no
+    target (or one without a text) has a null percent, which the verdict takes as ``NO_TARGET_DENSITY``. Each document's
+    text moves once, to its pairs; only the words of a target move to all of them.
+    """
+    words = F.array_except(F.regexp_extract_all(F.lower(T.col(target_text_col)), F.lit(TARGET_WORD), 0),
+                           F.array(*[F.lit(w) for w in L.DENSITY_STOPWORDS]))
+    t = targets.select("target_id", F.array_sort(words).alias("_words"))
+    d = docs.select("doc_id", F.lower(T.col(text_col)).alias("_lt"))
+    p = pairs.select("doc_id", "target_id").join(t, "target_id", "left").join(d, "doc_id", "left")
+    text = F.coalesce("_lt", F.lit(""))
+    p = p.select("doc_id", "target_id", "_words", F.filter("_words", lambda w: ~text.contains(w)).alias("_missing"))
+    none = F.array().cast("array<string>")
+    missing = F.coalesce("_missing", none)
+    total = F.when(F.col("_words").isNull(), 0).otherwise(F.size("_words"))
+    matched = total - F.size(missing)
+    percent = F.when(F.col("_words").isNotNull(), F.round(matched / F.greatest(total, F.lit(1)) * 100, 1))
+    return p.select("doc_id", "target_id", matched.alias("matched_count"), total.alias("total_words"), percent.alias("density_percent"),
+                    F.array_join(missing, ",").alias("top_missing"), missing.alias("top_missing_list"))
+
+
 def top_k_per_target(pairs: DataFrame, score_col: str, k: int, id_col: str = "doc_id") -> DataFrame:
     """Best k rows per target by score desc, id asc.  Spark plans the rank filter as a partial
     (map-side) group limit before the shuffle, so a hot target never funnels all its rows."""
@@ -83,48 +108,70 @@ def top_k_per_target(pairs: DataFrame, score_col: str, k: int, id_col: str = "do
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-# ------------------------------------------------------------------ keyword coverage
-def keyword_coverage(doc_terms: DataFrame, target_terms: DataFrame, docs: DataFrame, spark: SparkSession,
-                     text_col: str = "text", pairs: DataFrame | None = None) -> DataFrame:
-    """Coverage of the target's canonical terms K by the document, with the substring bonus.
+# ------------------------------------------------------------------ names in texts
+GRAM = 3
+
+
+def names_in_texts(docs: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, name) for every lower-cased name of ``names`` that is a substring of the document's lower text.
 
-    Pairs default to those sharing at least one canonical term (equi-join on the term).  For
-    each pair: coverage = |K & D| / |K|; each missing term whose lower form occurs in the lower
-    raw text adds 0.5/|K| and moves to matched; final = min(1, coverage + bonus).
+    A name's longest piece without white space lies inside one token of the text. So the distinct tokens of the corpus
+    are cut into the grams (GRAM characters, fewer for shorter pieces) at every position, equi-joined with the first
+    gram of the pieces, and verified at that position. A name of one piece is then decided; one of several pieces makes
+    candidates, for which alone the text is searched. The vocabulary, not the corpus, is cut into grams, and names may
+    be as many as the targets bring: Catalyst broadcasts them only while they are small.
     """
-    tt = target_terms.select("target_id", "canonical").distinct()
-    dt = doc_terms.select("doc_id", "canonical").distinct()
-    if pairs is None:
-        pairs = tt.join(dt, "canonical").select("doc_id", "target_id").distinct()
-    k = tt.groupBy("target_id").agg(F.count(F.lit(1)).alias("total_keywords"))
-    # substring flags: the lexicon's canonical names (bounded, broadcast) tested once per document
-    canon = dims.lexicon(spark).select(F.col("canonical"), F.lower("canonical").alias("low")).distinct()
-    sub = docs.select("doc_id", F.lower(F.col(text_col)).alias("_lt")) \
-        .join(F.broadcast(canon), F.col("_lt").contains(F.col("low"))).select("doc_id", "canonical") \
-        .withColumn("is_sub", F.lit(True))
-    per = (pairs.join(tt, "target_id")
-           .join(dt.withColumn("is_match", F.lit(True)), ["doc_id", "canonical"], "left")
-           .join(sub, ["doc_id", "canonical"], "left"))
-    matched = F.coalesce(F.col("is_match"), F.lit(False))
-    bonus = ~matched & F.coalesce(F.col("is_sub"), F.lit(False))
-    agg = per.groupBy("doc_id", "target_id").agg(
-        F.sum(matched.cast("int")).alias("n_exact"),
-        F.sum(bonus.cast("int")).alias("n_bonus"),
-        F.array_sort(F.collect_list(F.when(matched | bonus, F.col("canonical")))).alias("_m"),
-        F.array_sort(F.collect_list(F.when(~matched & ~bonus, F.col("canonical")))).alias("_x"),
-    ).join(k, "target_id")
-    n = F.greatest(F.col("total_keywords"), F.lit(1))
-    coverage = F.col("n_exact") / n
-    final = F.least(F.lit(1.0), coverage + F.col("n_bonus") * (F.lit(0.5) / n))
-    return agg.select(
-        "doc_id", "target_id", "total_keywords",
-        (F.col("n_exact") + F.col("n_bonus")).alias("matched_count"),
-        (F.col("total_keywords") - F.col("n_exact") - F.col("n_bonus")).alias("missing_count"),
-        F.round(coverage, 3).alias("coverage_ratio"),
-        final.alias("keyword_coverage"),
-        F.col("_m").alias("matched"),
-        F.col("_x").alias("missing"),
-    )
+    ws = r"[ \t\n\r\f\x0B]+"
+    pieces = F.split("name", ws)
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), 1)["p"]
+    n = names.select(F.lower("name").alias("name")).where("name != ''").distinct()
+    n = n.select("name", longest.alias("piece")).where("piece != ''")
+    n = n.withColumn("gram", F.substring("piece", 1, GRAM)).withColumn("glen", F.length("gram"))
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(T.col(text_col)), ws))).alias("token")).where("token != ''")
+    vocabulary = tokens.select("token").distinct()
+    grams = vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("pos")).select(
+        "token", "pos", F.explode(F.array(*[F.lit(k) for k in range(1, GRAM + 1)])).alias("glen"))
+    grams = grams.where(F.col("pos") + F.col("glen") <= F.length("token") + 1).withColumn("gram", F.expr("substring(token, pos, glen)"))
+    found = grams.join(n, ["glen", "gram"]).where(F.expr("substring(token, pos, length(piece)) = piece"))
+    found = found.select("token", "name", (F.col("name") == F.col("piece")).alias("whole")).distinct()
+    hits = tokens.join(found, "token").select("doc_id", "name", "whole").distinct()
+    open_ = hits.where(~F.col("whole")).groupBy("doc_id").agg(F.collect_set("name").alias("_names"))
+    text = docs.select("doc_id", F.lower(T.col(text_col)).alias("_lt")).join(open_, "doc_id")
+    held = text.select("doc_id", F.explode(F.filter("_names", lambda x: F.col("_lt").contains(x))).alias("name"))
+    return hits.where("whole").select("doc_id", "name").unionByName(held).distinct()
+
+
+# ------------------------------------------------------------------ keyword coverage
+def keyword_coverage(doc_terms: DataFrame, target_terms: DataFrame, docs: DataFrame, pairs: DataFrame,
+                     text_col: str = "text") -> DataFrame:
+    """Every pair of the assignment: coverage of the target's canonical terms K by the document, with the substring bonus.
+
+    coverage = |K & D| / |K|; each missing term whose lower form occurs in the lower raw text adds 0.5/|K| and moves to
+    matched; final = min(1, coverage + bonus). Without a target, or with an empty K, the coverage is
+    ``NO_TARGET_COVERAGE`` and the counts are null; matched then holds the document's technical terms (no target) or
+    nothing (empty K). One row of names per document and per target; the pairs join two such rows.
+    """
+    none = F.array().cast("array<string>")
+    k = target_terms.groupBy("target_id").agg(F.array_sort(F.collect_set("canonical")).alias("_k"))
+    tech = F.when(F.col("category") == "technical", F.col("canonical"))
+    d = doc_terms.groupBy("doc_id").agg(F.collect_set("canonical").alias("_d"), F.array_sort(F.collect_set(tech)).alias("_tech"))
+    sub = names_in_texts(docs, target_terms.select(F.col("canonical").alias("name")).distinct(), text_col)
+    sub = sub.groupBy("doc_id").agg(F.collect_set("name").alias("_s"))
+    j = pairs.select("doc_id", "target_id").join(k, "target_id", "left").join(d, "doc_id", "left").join(sub, "doc_id", "left")
+    j = j.select("doc_id", "target_id", "_k", F.coalesce("_d", none).alias("_d"), F.coalesce("_s", none).alias("_s"), F.coalesce("_tech", none).alias("_tech"))
+    rest = F.array_except("_k", "_d")
+    j = j.withColumn("_exact", F.array_intersect("_k", "_d")).withColumn("_bonus", F.filter(rest, lambda x: F.array_contains("_s", F.lower(x))))
+    j = j.withColumn("_missing", F.array_except(rest, "_bonus"))
+    known, n, exact, bonus = F.col("_k").isNotNull(), F.size("_k"), F.size("_exact"), F.size("_bonus")
+    coverage = exact / n
+    final = F.least(F.lit(1.0), coverage + bonus * (F.lit(0.5) / n))
+    when = lambda x: F.when(known, x)
+    matched = when(F.array_sort(F.concat("_exact", "_bonus"))).otherwise(F.when(F.col("target_id").isNull(), F.col("_tech")).otherwise(none))
+    return j.select(
+        "doc_id", "target_id", when(n).alias("total_keywords"), when(exact + bonus).alias("matched_count"),
+        when(n - exact - bonus).alias("missing_count"), when(F.round(coverage, 3)).alias("coverage_ratio"),
+        when(final).otherwise(F.lit(L.NO_TARGET_COVERAGE)).alias("keyword_coverage"),
+        matched.alias("matched"), F.coalesce("_missing", none).alias("missing"))
 
 
 # ------------------------------------------------------------------ TF-IDF pair similarity
@@ -148,28 +195,30 @@ def tfidf_terms(df: DataFrame, id_col: str, spark: SparkSession, text_col: str =
     return toks.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
 
 
-def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame) -> DataFrame:
-    """Cosine of TF-IDF vectors fitted on each (document, target) pair alone, over all terms of both.
+def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every pair of the assignment: cosine of TF-IDF vectors fitted on the pair alone, over all terms of both.
 
     A term of both sides has idf 1, a term of one side ``IDF_ONE_SIDE``. So with N the sum of a side's squared counts
-    and S the part of it in shared terms, the squared norm is S + IDF_ONE_SIDE^2 * (N - S): one join on the term, one
-    aggregate per pair, and a join of one number per document and per target. Counts stay integers until the end.
-    Pairs without a shared term have cosine 0 and are not materialised.
+    and S the part of it in shared terms, the squared norm is S + IDF_ONE_SIDE^2 * (N - S): a join on (target, term) of
+    the terms of the assigned documents, one aggregate per pair, and a join of one number per document and per target.
+    Counts stay integers until the end. A pair without a shared term has 0, one without a target null.
     """
     d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
     t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
-    shared = d.join(t, "term").groupBy("doc_id", "target_id").agg(
+    own = pairs.select("doc_id", "target_id").distinct()
+    shared = d.join(own.where("target_id is not null"), "doc_id").join(t, ["target_id", "term"]).groupBy("doc_id", "target_id").agg(
         F.sum(F.col("cd") * F.col("ct")).alias("dot"),
         F.sum(F.col("cd") * F.col("cd")).alias("sd"),
         F.sum(F.col("ct") * F.col("ct")).alias("st"),
     )
     all_d = d.groupBy("doc_id").agg(F.sum(F.col("cd") * F.col("cd")).alias("nd"))
     all_t = t.groupBy("target_id").agg(F.sum(F.col("ct") * F.col("ct")).alias("nt"))
-    j = shared.join(all_d, "doc_id").join(all_t, "target_id")
+    j = own.join(shared, ["doc_id", "target_id"], "left").join(all_d, "doc_id", "left").join(all_t, "target_id", "left")
     one_side = F.lit(IDF_ONE_SIDE * IDF_ONE_SIDE)
     norm_d = F.col("sd") + one_side * (F.col("nd") - F.col("sd"))
     norm_t = F.col("st") + one_side * (F.col("nt") - F.col("st"))
-    return j.select("doc_id", "target_id", F.round(F.col("dot") / F.sqrt(norm_d * norm_t), 6).alias("tfidf_similarity"))
+    cosine_ = F.coalesce(F.round(F.col("dot") / F.sqrt(norm_d * norm_t), 6), F.lit(0.0))
+    return j.select("doc_id", "target_id", F.when(F.col("target_id").isNotNull(), cosine_).alias("tfidf_similarity"))
 
 
 # ------------------------------------------------------------------ embeddings
@@ -183,41 +232,38 @@ def cosine(a: Column, b: Column) -> Column:
 
 def embedding_similarity(pairs: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
                          vec_col: str = "embedding") -> DataFrame:
-    """Cosine of the document vector and the target vector for each pair (0.0 if either is absent)."""
+    """Cosine of the document vector and the target vector for each pair: 0.0 if either is absent, null without a target."""
     v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
     out = (pairs.join(v.withColumnRenamed("_id", "doc_id").withColumnRenamed("_v", "_dv"), "doc_id", "left")
            .join(v.withColumnRenamed("_id", "target_id").withColumnRenamed("_v", "_tv"), "target_id", "left"))
-    return out.withColumn("semantic_similarity", cosine(F.col("_dv"), F.col("_tv"))).drop("_dv", "_tv")
+    found = F.when(F.col("target_id").isNotNull(), cosine(F.col("_dv"), F.col("_tv")))
+    return out.withColumn("semantic_similarity", found).drop("_dv", "_tv")
 
 
 def blended_similarity(sem: Column, tfidf: Column, has_target: Column) -> Column:
-    """0.7 * semantic + 0.3 * tfidf (not clipped); 0.6 when there is no target.
+    """0.7 * semantic + 0.3 * tfidf (not clipped); ``NO_TARGET_SIMILARITY`` when there is no target.
 
     Inputs are taken at 6 decimals, so the blend is exact at 7 decimals on every engine."""
     s6 = F.round(F.coalesce(sem, F.lit(0.0)), 6)
     t6 = F.round(F.coalesce(tfidf, F.lit(0.0)), 6)
-    return F.when(~has_target, F.lit(0.6)).otherwise(F.round(F.lit(0.7) * s6 + F.lit(0.3) * t6, 7))
+    return F.when(~has_target, F.lit(L.NO_TARGET_SIMILARITY)).otherwise(F.round(F.lit(0.7) * s6 + F.lit(0.3) * t6, 7))
 
 
 # ------------------------------------------------------------------ skill gap
 def gap_skills(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, skills): distinct lower skill names of the ten families, sorted (row-local)."""
-    low = F.lower(F.col(text_col))
+    low = F.lower(T.col(text_col))
     found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), 1) for p in L.SKILL_FAMILY_PATTERNS]))
     return df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(found, F.lower))).alias("skills"))
 
 
-def skill_gap(doc_skills: DataFrame, target_skills: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Per pair: required, present, missing, extra, match percent.
-
-    Pairs default to those sharing at least one skill (equi-join on the exploded skill)."""
+def skill_gap(doc_skills: DataFrame, target_skills: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every pair of the assignment: required, present, missing, extra, match percent (0 if nothing is required)."""
+    none = F.array().cast("array<string>")
     ds = doc_skills.select(F.col("id").alias("doc_id"), F.col("skills").alias("doc_skills"))
     ts = target_skills.select(F.col("id").alias("target_id"), F.col("skills").alias("required"))
-    if pairs is None:
-        pairs = (ds.select("doc_id", F.explode("doc_skills").alias("s"))
-                 .join(ts.select("target_id", F.explode("required").alias("s")), "s")
-                 .select("doc_id", "target_id").distinct())
-    p = pairs.join(ds, "doc_id").join(ts, "target_id")
+    p = pairs.select("doc_id", "target_id").join(ts, "target_id", "left").join(ds, "doc_id", "left")
+    p = p.select("doc_id", "target_id", F.coalesce("required", none).alias("required"), F.coalesce("doc_skills", none).alias("doc_skills"))
     present = F.array_intersect("required", "doc_skills")
     missing = F.array_except("required", "doc_skills")
     extra = F.array_except("doc_skills", "required")
@@ -243,20 +289,21 @@ def gap_roadmap(missing: DataFrame, spark: SparkSession, skill_col: str = "skill
     )
 
 
-def skill_mentions(targets: DataFrame, target_skills: DataFrame, text_col: str = "text") -> DataFrame:
-    """(target_id, skill, mentions): whole-word hits of each required skill in the target text."""
-    ts = target_skills.select(F.col("id").alias("target_id"), F.explode("skills").alias("skill"))
-    t = targets.select("target_id", F.lower(F.col(text_col)).alias("_lt"))
-    pat = F.concat(F.lit(r"\b\Q"), F.col("skill"), F.lit(r"\E\b"))
-    return ts.join(t, "target_id").select("target_id", "skill", F.regexp_count(F.col("_lt"), pat).alias("mentions"))
+def skill_mentions(targets: DataFrame, text_col: str = "text") -> DataFrame:
+    """(target_id, ordered): each target's required skills with their whole-word hits in its text, most hits first,
+    then by name; one row per target, from its text alone."""
+    ts = gap_skills(targets, "target_id", text_col).withColumnRenamed("id", "target_id")
+    t = ts.join(targets.select("target_id", F.lower(T.col(text_col)).alias("_lt")), "target_id")
+    hits = lambda s: F.regexp_count(F.col("_lt"), F.concat(F.lit(r"\b\Q"), s, F.lit(r"\E\b")))
+    pairs = F.transform("skills", lambda s: F.struct((-hits(s)).alias("neg"), s.alias("skill")))
+    return t.select("target_id", F.transform(F.array_sort(pairs), lambda x: F.struct(x["skill"].alias("skill"), (-x["neg"]).alias("mentions"))).alias("ordered"))
 
 
 def priority_skills(gaps: DataFrame, mentions: DataFrame, k: int = 5) -> DataFrame:
-    """Best k missing skills per pair by mentions in the target (ties: skill asc)."""
-    m = gaps.select("doc_id", "target_id", F.explode("missing").alias("skill")).join(mentions, ["target_id", "skill"])
-    per = m.groupBy("doc_id", "target_id").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("mentions")).alias("neg"), F.col("skill")))).alias("_p"))
-    return per.select("doc_id", "target_id", F.transform(F.slice("_p", 1, k), lambda x: x["skill"]).alias("priority_skills"))
+    """Best k missing skills of every pair by mentions in the target (ties: skill asc); an empty list if none is missing."""
+    j = gaps.select("doc_id", "target_id", "missing").join(mentions, "target_id", "left")
+    names = F.transform(F.filter("ordered", lambda x: F.array_contains("missing", x["skill"])), lambda x: x["skill"])
+    return j.select("doc_id", "target_id", F.coalesce(F.slice(names, 1, k), F.array().cast("array<string>")).alias("priority_skills"))
 
 
 def skill_demand(doc_skills: DataFrame, target_skills: DataFrame) -> DataFrame:

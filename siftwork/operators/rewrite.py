@@ -96,6 +96,7 @@ def issue_histogram(analysed: DataFrame) -> DataFrame:
 
 def project_strength(bullets: Column) -> list[Column]:
     """From the array of analysed bullets of a document (all of them): score, counts, message, tips."""
+    bullets = F.coalesce(bullets, F.array().cast("array<string>"))
     n = F.size(bullets)
     q = F.size(F.filter(bullets, lambda x: has_quantification(x)))
     s = F.size(F.filter(bullets, lambda x: has_strong_verb(x)))
@@ -118,7 +119,7 @@ def rewrite_document(text: Column) -> Column:
     def one(line):
         s = T.py_strip(line)
         return F.when((T.word_count(line) > 3) & s.rlike("^[-*•‣◦]"), rewrite_line(s)).otherwise(line)
-    return F.array_join(F.transform(F.split(text, "\n"), one), "\n")
+    return F.array_join(F.transform(F.split(T.col(text), "\n"), one), "\n")
 
 
 def apply_replacements(text: Column, pairs: Column) -> Column:

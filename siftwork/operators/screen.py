@@ -25,7 +25,8 @@ def rule_array(*pairs: tuple[Column, Column | str]) -> Column:
 
 
 def screening_features(text: Column) -> list[Column]:
-    """Per-document screening inputs (one projection)."""
+    """Per-document screening inputs (one projection); null is the empty text."""
+    text = T.col(text)
     low = F.lower(text)
     n = F.length(text)
     third = F.substring(text, 1, F.floor(n / 3).cast("int"))
@@ -39,8 +40,6 @@ def screening_features(text: Column) -> list[Column]:
         T.quant_count(text).alias("quant_count"),
         text.rlike(X.YEAR).alias("has_year"),
     ]
-    for key, _, pattern_msg in [(k, p, m) for k, p, m in L.PARSE_RULES if p is not None]:
-        pass
     cols += [text.rlike(p).alias(f"parse_{k}") for k, p, _ in L.PARSE_RULES if p is not None]
     cols += [low.rlike(p).alias(f"sec_{k}") for k, p in L.SCREEN_SECTION_PATTERNS]
     return cols
@@ -92,11 +91,11 @@ def weak_sections(df: DataFrame) -> DataFrame:
 
 
 def verdict(df: DataFrame, density_col: str = "density_percent") -> DataFrame:
-    """Score, verdict and ordered reasons.  A NULL density (no target) counts as 50."""
+    """Score, verdict and ordered reasons.  A NULL density (no target) counts as ``NO_TARGET_DENSITY``."""
     m = L.VERDICT_MESSAGES
     crit = ["experience", "skills", "education", "contact"]
     missing = F.filter(F.array(*[F.when(~F.col(f"sec_{s}"), F.lit(s)) for s in crit]), lambda x: x.isNotNull())
-    density = F.coalesce(F.col(density_col).cast("double"), F.lit(50.0))
+    density = F.coalesce(F.col(density_col).cast("double"), F.lit(L.NO_TARGET_DENSITY))
     n_crit_weak = F.size(F.filter("weak_sections", lambda w: w["severity"] == "critical"))
     raw = (F.lit(100) - F.size(missing) * 20 - F.size("parse_issues") * 8 - F.size("scan_issues") * 5
            - F.when(density < 30, 15).when(density < 50, 5).otherwise(0) - n_crit_weak * 10)
@@ -117,8 +116,8 @@ def verdict(df: DataFrame, density_col: str = "density_percent") -> DataFrame:
 
 
 def recommendations(df: DataFrame, missing_col: str = "top_missing_list") -> DataFrame:
-    """Up to 8: first 3 parse issues (high), critical weak sections, one missing-keyword line
-    (medium, first 5 words), high weak sections."""
+    """All parse issues (high), critical weak sections, one missing-keyword line with all words (medium), high weak
+    sections; nothing is cut."""
     def rec(priority, action):
         return F.struct(F.lit(priority).alias("priority"), action.alias("action"))
     parse = F.transform(F.col("parse_issues"), lambda x: rec("high", x))

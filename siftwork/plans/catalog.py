@@ -17,6 +17,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import match as M
 from ..sources import corpus as C
+from ..session import materialise
 from ..sources import derived as D
 from ..functions import dims
 from ..operators import extract as X
@@ -98,6 +99,36 @@ def q_admit(spark, sf):
     return C.admission_counts(_docs(spark, sf))
 
 
+# ---------------------------------------------------------------- assignments of documents to targets
+_PAIRS, _TEXTS = S.assign_sql("documents", "btarg", "(select count(*) from benchmark)", "r")
+DOC_PAIRS = f"""btarg as (select item_id as target_id, {S.clean('text')} as text from benchmark),
+assign as materialized ({_PAIRS}), etarg as ({_TEXTS})"""
+_PAIRS, _TEXTS = S.assign_sql("(select c_custkey as doc_id from customer)", "targ", str(D.N_BRANDS), "(r // 5 + 1) * 10 + r % 5 + 1")
+CAND_PAIRS = f"assign as materialized ({_PAIRS}), etarg as materialized ({_TEXTS})"
+
+
+def _doc_pairs(spark, sf):
+    """Assignment of the documents to the benchmark texts, roles or nothing, and the target texts."""
+    bench = _clean_bench(spark, sf)
+    return C.resolve_targets(D.choices(_docs(spark, sf), bench.count(), lambda r: r), bench, spark)
+
+
+def _cand_pairs(spark, sf):
+    """The same of the candidates to the brands' targets."""
+    ids = C.load(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"))
+    pairs, texts = C.resolve_targets(D.choices(ids, D.N_BRANDS, D.brand_id), _targ(spark, sf), spark)
+    return pairs, materialise(texts)
+
+
+@register("resolve_targets", f"""with {DOC_PAIRS}
+select a.doc_id, a.target_id, a.target_kind, md5(e.text) as effective_md5, length(e.text) as effective_chars
+from assign a left join etarg e using (target_id)""")
+def q_resolve_targets(spark, sf):
+    pairs, texts = _doc_pairs(spark, sf)
+    j = pairs.join(texts.select("target_id", "text"), "target_id", "left")
+    return j.select("doc_id", "target_id", "target_kind", F.md5("text").alias("effective_md5"), F.length("text").alias("effective_chars"))
+
+
 # ---------------------------------------------------------------- 2.3 matching
 _DENSITY_SQL = f"""
 with tw as (
@@ -116,9 +147,21 @@ from pairs p join tot t using (target_id)
 """
 
 
-@register("keyword_density", _DENSITY_SQL)
+def _assigned_density_sql(text: str) -> str:
+    """Density of every assigned pair; ``text`` is SQL of the document's text."""
+    return f"""(with w as (select target_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), {S.q(M.TARGET_WORD)}),
+    lambda x: not list_contains({S.lst(L.DENSITY_STOPWORDS)}, x)))) as words from etarg),
+  j as (select a.doc_id, a.target_id, w.words, list_filter(w.words, lambda x: not contains(lower({text}), x)) as missing
+    from assign a left join w using (target_id) left join documents d on d.doc_id = a.doc_id)
+  select doc_id, target_id, coalesce(len(words) - len(missing), 0) as matched_count, coalesce(len(words), 0) as total_words,
+    round((len(words) - len(missing)) / greatest(len(words), 1) * 100, 1) as density_percent,
+    coalesce(array_to_string(missing, ','), '') as top_missing, coalesce(missing, []) as top_missing_list from j)"""
+
+
+@register("keyword_density", f"""with {DOC_PAIRS} select * exclude (top_missing_list) from {_assigned_density_sql(S.clean('d.text'))}""")
 def q_density(spark, sf):
-    return M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark).drop("top_missing_list")
+    pairs, texts = _doc_pairs(spark, sf)
+    return M.assigned_density(_clean_docs(spark, sf), texts, pairs).drop("top_missing_list")
 
 
 @register("density_top5", f"""
@@ -136,6 +179,11 @@ def _cand(spark, sf):
     return D.cand(spark, sf)
 
 
+def _cand_once(spark, sf):
+    """The candidates, made once, for queries that read them in several branches."""
+    return materialise(D.cand(spark, sf))
+
+
 def _targ(spark, sf):
     return D.targ(spark, sf)
 
@@ -266,10 +314,58 @@ def q_contact(spark, sf):
     return X.contact_signals(_clean_docs(spark, sf))
 
 
+IGNORE_SQL = S.lst(sorted(set(KW.rake_ignore())))
+
+
+def _rake_occ_sql(src, idc="doc_id", name="occ"):
+    toks = f"regexp_extract_all(lower(text), {S.q(KW.WORDPUNCT)})"
+    marked = f"list_transform({toks}, lambda x: case when list_contains({IGNORE_SQL}, x) then chr(1) else x end)"
+    phrases = f"list_filter(regexp_split_to_array(array_to_string({marked}, ' '), '( ?' || chr(1) || ' ?)+'), lambda p: p <> '')"
+    return f"""{name} as (select {idc}, unnest(generate_series(0, len(ph) - 1)) as ph_idx, unnest(ph) as phrase
+                from (select {idc}, {phrases} as ph from {src}))"""
+
+
+def _noise_sql(p):
+    verbs = S.lst([v.lower() for v in L.WEAK_VERBS + L.ACTION_VERBS])
+    stop = S.lst(L.english_stopwords())
+    return f"""(length({p}) < 2 or regexp_matches({p}, {S.q(KW._alternation(L.BLACKLIST))})
+  or regexp_matches({p}, {S.q(KW._alternation(L.MONTH_ABBREVIATIONS))}) or regexp_matches({p}, '\\b(19|20)\\d{{2}}\\b')
+  or regexp_matches({p}, '^[0-9]+$') or len(regexp_extract_all({p}, '[0-9]')) > length({p}) * 0.4
+  or list_contains({verbs}, {p}) or len(list_filter(string_split({p}, ' '), lambda t: not list_contains({stop}, t))) = 0)"""
+
+
+def _cands_sql(idc="doc_id", occ="occ", name="cands"):
+    return f"""{name} as (select {idc}, candidate, count(*) as n from (select {idc}, {S.strip('phrase')} as candidate from {occ})
+  where length(candidate) > 2 and length(candidate) < 30 and not {_noise_sql('candidate')} group by all)"""
+
+
+CANDS_SQL = _cands_sql()
+
+
+def _title_sql(x):
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
+
+
+def _repeated_sql(src, idc, lex, name):
+    """CTEs ending in ``name``: the repeated phrases of ``src`` that ``lex`` doesn't hold."""
+    return f"""{_rake_occ_sql(src, idc, name + '_occ')}, {_cands_sql(idc, name + '_occ', name + '_cands')},
+{name} as (select {idc}, candidate, canonical from (select {idc}, candidate, coalesce(m.v, {_title_sql('candidate')}) as canonical from {name}_cands
+    left join {S.values(list(L.NORMALIZATION.items()), "m(k, v)")} on m.k = candidate where n > 1) nm
+  where not exists (select 1 from {lex} l where l.{idc} = nm.{idc} and lower(l.canonical) = lower(nm.canonical))
+    and candidate not in (select unnest({S.lst(L.WEAK_SKILLS)})))"""
+
+
+# the terms of either side: lexicon matches and repeated phrases
+DTERM = f"""{_repeated_sql('cand', 'doc_id', 'lexm', 'drep')},
+dterm as materialized (select doc_id, category, canonical from lexm union select doc_id, 'technical', canonical from drep)"""
+TTERM = f"""{_repeated_sql('etarg', 'target_id', 'tlexm', 'trep')},
+tterm as materialized (select target_id, category, canonical from tlexm union select target_id, 'technical', canonical from trep)"""
+
+
 DOMAIN_SQL = f"""
 dom as (
   with kw as (select * from {S.values([(d, i, k) for i, (d, ks) in enumerate(L.DOMAINS) for k in ks], "kw(domain, ord, keyword)")}),
-  tech as (select doc_id, lower(canonical) as skill from lexm where category = 'technical'),
+  tech as (select doc_id, lower(canonical) as skill from dterm where category = 'technical'),
   w as (select doc_id, skill, domain, ord, max(case when skill = keyword then 1.0 else 0.5 end) as w
         from tech join kw on skill = keyword or (length(keyword) > 3 and contains(skill, keyword)) group by all),
   pd as (select doc_id, domain, ord, sum(w) as score from w group by all),
@@ -278,50 +374,45 @@ dom as (
   from cand left join best using (doc_id))"""
 
 
-@register("domain_inference", f"with {CAND}, {LEX_MATCH}, {DOMAIN_SQL} select * from dom")
+@register("domain_inference", f"with {CAND}, {LEX_MATCH}, {DTERM}, {DOMAIN_SQL} select * from dom")
 def q_domain(spark, sf):
-    c = _cand(spark, sf)
-    return X.domain_inference(X.lexicon_match(c, spark), spark, c)
+    c = _cand_once(spark, sf)
+    return X.domain_inference(RP.all_terms(c, spark), spark, c)
 
 
 
 # ---------------------------------------------------------------- 2.3 document x target
-TLEX_MATCH = f"""tlexm as (select distinct target_id, category, canonical from targ,
-  {S.lexicon_values()} where contains(' ' || {S.norm('targ.text')} || ' ', ' ' || lex.norm || ' '))"""
+TLEX_MATCH = f"""tlexm as (select distinct target_id, category, canonical from etarg,
+  {S.lexicon_values()} where contains(' ' || {S.norm('etarg.text')} || ' ', ' ' || lex.norm || ' '))"""
 
 COVERAGE_SQL = f"""
+{DTERM}, {TTERM},
 cov as (
-  with tt as (select distinct target_id, canonical from tlexm),
-  dt as (select distinct doc_id, canonical from lexm),
-  pairs as (select distinct doc_id, target_id from tt join dt using (canonical)),
-  k as (select target_id, count(*) as total_keywords from tt group by all),
-  canon as (select distinct canonical, lower(canonical) as low from {S.lexicon_values()}),
-  sub as (select doc_id, canonical from cand join canon on contains(lower(cand.text), canon.low)),
-  per as (select p.doc_id, p.target_id, tt.canonical, dt.doc_id is not null as is_match, sub.doc_id is not null as is_sub
-          from pairs p join tt using (target_id)
-          left join dt on dt.doc_id = p.doc_id and dt.canonical = tt.canonical
-          left join sub on sub.doc_id = p.doc_id and sub.canonical = tt.canonical),
-  agg as (select doc_id, target_id, sum(is_match::int)::bigint as n_exact, sum((not is_match and is_sub)::int)::bigint as n_bonus,
-            coalesce(list_sort(list(canonical) filter (where is_match or is_sub)), []) as m,
-            coalesce(list_sort(list(canonical) filter (where not is_match and not is_sub)), []) as x
-          from per group by all)
-  select doc_id, target_id, total_keywords, n_exact + n_bonus as matched_count,
-    total_keywords - n_exact - n_bonus as missing_count,
-    round(n_exact / greatest(total_keywords, 1), 3) as coverage_ratio,
-    least(1.0, n_exact / greatest(total_keywords, 1) + n_bonus * (0.5 / greatest(total_keywords, 1))) as keyword_coverage,
-    m as matched, x as missing
-  from agg join k using (target_id))"""
+  with k as (select target_id, list_sort(list(distinct canonical)) as k from tterm group by target_id),
+  d as (select doc_id, list(distinct canonical) as d, list_sort(coalesce(list(distinct canonical) filter (where category = 'technical'), [])) as tech
+    from dterm group by doc_id),
+  sub as (select doc_id, list(canonical) as s from cand join (select distinct canonical from tterm) c
+    on contains(lower(cand.text), lower(c.canonical)) group by doc_id),
+  j as (select a.doc_id, a.target_id, k.k, coalesce(d.d, []) as d, coalesce(sub.s, []) as s, coalesce(d.tech, []) as tech
+    from assign a left join k using (target_id) left join d using (doc_id) left join sub using (doc_id)),
+  m as (select doc_id, target_id, k, tech, list_filter(k, lambda x: list_contains(d, x)) as e,
+      list_filter(k, lambda x: not list_contains(d, x) and list_contains(s, x)) as b,
+      list_filter(k, lambda x: not list_contains(d, x) and not list_contains(s, x)) as x from j)
+  select doc_id, target_id, len(k) as total_keywords, len(e) + len(b) as matched_count, len(x) as missing_count,
+    round(len(e) / len(k), 3) as coverage_ratio,
+    case when k is null then {L.NO_TARGET_COVERAGE} else least(1.0, len(e) / len(k) + len(b) * (0.5 / len(k))) end as keyword_coverage,
+    case when k is not null then list_sort(list_concat(e, b)) when target_id is null then tech else [] end as matched,
+    coalesce(x, []) as missing from m)"""
 
 
 def _coverage(spark, sf):
-    c, t = _cand(spark, sf), _targ(spark, sf)
-    dt = X.lexicon_match(c, spark)
-    tt = X.lexicon_match(t.withColumnRenamed("target_id", "doc_id"), spark).withColumnRenamed("doc_id", "target_id")
-    return M.keyword_coverage(dt, tt, c, spark)
+    c = _cand_once(spark, sf)
+    pairs, texts = _cand_pairs(spark, sf)
+    return M.keyword_coverage(RP.all_terms(c, spark), RP.target_terms(texts, spark), c, pairs)
 
 
 @register("keyword_coverage", f"""
-with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}
+with {CAND}, {TARG}, {CAND_PAIRS}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}
 select doc_id, target_id, total_keywords, matched_count, missing_count, coverage_ratio,
   round(keyword_coverage, 6) as keyword_coverage, array_to_string(matched, '|') as matched,
   array_to_string(missing, '|') as missing from cov
@@ -350,42 +441,36 @@ def _tfidf_sql(dterms, tterms):
     return f"""tfidf as (
   with nd as (select id as doc_id, sum(c * c) as n from {dterms} group by id),
   nt as (select id as target_id, sum(c * c) as n from {tterms} group by id),
-  sh as (select d.id as doc_id, t.id as target_id, sum(d.c * t.c) as dot, sum(d.c * d.c) as sd, sum(t.c * t.c) as st
-    from {dterms} d join {tterms} t using (term) group by all)
-  select doc_id, target_id, round(dot::double
-    / sqrt(sd + (nd.n - sd) * pow({M.IDF_ONE_SIDE!r}::double, 2)) / sqrt(st + (nt.n - st) * pow({M.IDF_ONE_SIDE!r}::double, 2)), 6)
+  sh as (select a.doc_id, a.target_id, sum(d.c * t.c) as dot, sum(d.c * d.c) as sd, sum(t.c * t.c) as st
+    from assign a join {dterms} d on d.id = a.doc_id join {tterms} t on t.id = a.target_id and t.term = d.term group by all)
+  select a.doc_id, a.target_id, case when a.target_id is not null then coalesce(round(dot::double
+    / sqrt(sd + (nd.n - sd) * pow({M.IDF_ONE_SIDE!r}::double, 2)) / sqrt(st + (nt.n - st) * pow({M.IDF_ONE_SIDE!r}::double, 2)), 6), 0.0) end
     as tfidf_similarity
-  from sh join nd using (doc_id) join nt using (target_id))"""
+  from assign a left join sh using (doc_id, target_id) left join nd using (doc_id) left join nt using (target_id))"""
 
 
 @register("tfidf_pair_similarity", f"""
-with {_tfidf_terms_sql('dterms', 'documents', 'doc_id', S.clean('text'))},
-{_tfidf_terms_sql('tterms', 'benchmark', 'item_id', S.clean('text'))},
+with {DOC_PAIRS}, {_tfidf_terms_sql('dterms', 'documents', 'doc_id', S.clean('text'))},
+{_tfidf_terms_sql('tterms', 'etarg', 'target_id', 'text')},
 {_tfidf_sql('dterms', 'tterms')}
 select * from tfidf
 """)
 def q_tfidf(spark, sf):
+    pairs, texts = _doc_pairs(spark, sf)
     d = M.tfidf_terms(_clean_docs(spark, sf), "doc_id", spark)
-    t = M.tfidf_terms(_clean_bench(spark, sf), "target_id", spark)
-    return M.tfidf_pair_similarity(d, t)
-
+    return M.tfidf_pair_similarity(d, M.tfidf_terms(texts, "target_id", spark), pairs)
 
-def _density_pairs(spark, sf):
-    return M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark).select("doc_id", "target_id")
 
+EMB_SQL = """
+emb as (select a.doc_id, a.target_id, case when a.target_id is not null then coalesce(
+    list_cosine_similarity(x.embedding::double[], y.embedding::double[]), 0.0) end as semantic_similarity
+  from assign a left join embeddings x on x.vec_id = a.doc_id left join embeddings y on y.vec_id = a.target_id)"""
 
-EMB_SQL = f"""
-emb as (
-  with pairs as (select doc_id, target_id from ({_DENSITY_SQL}))
-  select p.doc_id, p.target_id,
-    coalesce(case when a.embedding is null or b.embedding is null then 0.0
-             else list_cosine_similarity(a.embedding::double[], b.embedding::double[]) end, 0.0) as semantic_similarity
-  from pairs p left join embeddings a on a.vec_id = p.doc_id left join embeddings b on b.vec_id = p.target_id)"""
 
-
-@register("embedding_similarity", f"with {EMB_SQL} select doc_id, target_id, round(semantic_similarity, 6) as semantic_similarity from emb")
+@register("embedding_similarity", f"with {DOC_PAIRS}, {EMB_SQL} select doc_id, target_id, round(semantic_similarity, 6) as semantic_similarity from emb")
 def q_embedding(spark, sf):
-    e = M.embedding_similarity(_density_pairs(spark, sf), C.load(spark, sf, "embeddings"))
+    pairs, _ = _doc_pairs(spark, sf)
+    e = M.embedding_similarity(pairs.select("doc_id", "target_id"), C.load(spark, sf, "embeddings"))
     return e.select("doc_id", "target_id", F.round("semantic_similarity", 6).alias("semantic_similarity"))
 
 
@@ -401,19 +486,20 @@ def q_embedding_topk(spark, sf):
 
 
 @register("blended_similarity", f"""
-with {EMB_SQL}, {_tfidf_terms_sql('dterms', 'documents', 'doc_id', S.clean('text'))},
-{_tfidf_terms_sql('tterms', 'benchmark', 'item_id', S.clean('text'))}, {_tfidf_sql('dterms', 'tterms')}
-select e.doc_id, e.target_id,
-  round(0.7 * round(e.semantic_similarity, 6) + 0.3 * coalesce(t.tfidf_similarity, 0.0), 7) as blended_similarity
-from emb e left join tfidf t using (doc_id, target_id)
+with {DOC_PAIRS}, {EMB_SQL}, {_tfidf_terms_sql('dterms', 'documents', 'doc_id', S.clean('text'))},
+{_tfidf_terms_sql('tterms', 'etarg', 'target_id', 'text')}, {_tfidf_sql('dterms', 'tterms')}
+select e.doc_id, e.target_id, case when e.target_id is null then {L.NO_TARGET_SIMILARITY}
+  else round(0.7 * round(e.semantic_similarity, 6) + 0.3 * t.tfidf_similarity, 7) end as blended_similarity
+from emb e join tfidf t on t.doc_id = e.doc_id and t.target_id is not distinct from e.target_id
 """)
 def q_blended(spark, sf):
-    e = M.embedding_similarity(_density_pairs(spark, sf), C.load(spark, sf, "embeddings"))
+    pairs, texts = _doc_pairs(spark, sf)
+    pairs = materialise(pairs.select("doc_id", "target_id"))
     d = M.tfidf_terms(_clean_docs(spark, sf), "doc_id", spark)
-    t = M.tfidf_terms(_clean_bench(spark, sf), "target_id", spark)
-    j = e.join(M.tfidf_pair_similarity(d, t), ["doc_id", "target_id"], "left")
-    return j.select("doc_id", "target_id", M.blended_similarity(
-        F.col("semantic_similarity"), F.col("tfidf_similarity"), F.lit(True)).alias("blended_similarity"))
+    t = M.tfidf_pair_similarity(d, M.tfidf_terms(texts, "target_id", spark), pairs)
+    e = M.embedding_similarity(t, C.load(spark, sf, "embeddings"))
+    return e.select("doc_id", "target_id", M.blended_similarity(
+        F.col("semantic_similarity"), F.col("tfidf_similarity"), F.col("target_id").isNotNull()).alias("blended_similarity"))
 
 
 def _gap_sql_skills(src, idc):
@@ -423,35 +509,34 @@ def _gap_sql_skills(src, idc):
 
 GAP_SQL = f"""
 gap as (
-  with ds as ({_gap_sql_skills('cand', 'doc_id')}), ts as ({_gap_sql_skills('targ', 'target_id')}),
-  pairs as (select distinct d.id as doc_id, t.id as target_id from (select id, unnest(skills) as s from ds) d
-            join (select id, unnest(skills) as s from ts) t using (s))
-  select p.doc_id, p.target_id, ts.skills as required,
-    list_filter(ts.skills, lambda x: list_contains(ds.skills, x)) as present,
-    list_filter(ts.skills, lambda x: not list_contains(ds.skills, x)) as missing,
-    list_filter(ds.skills, lambda x: not list_contains(ts.skills, x)) as extra
-  from pairs p join ds on ds.id = p.doc_id join ts on ts.id = p.target_id)"""
+  with ds as ({_gap_sql_skills('cand', 'doc_id')}), ts as ({_gap_sql_skills('etarg', 'target_id')}),
+  p as (select a.doc_id, a.target_id, coalesce(ts.skills, []) as required, coalesce(ds.skills, []) as own
+    from assign a left join ds on ds.id = a.doc_id left join ts on ts.id = a.target_id)
+  select doc_id, target_id, required, list_filter(required, lambda x: list_contains(own, x)) as present,
+    list_filter(required, lambda x: not list_contains(own, x)) as missing,
+    list_filter(own, lambda x: not list_contains(required, x)) as extra from p)"""
 
 
 def _gaps(spark, sf):
-    c, t = _cand(spark, sf), _targ(spark, sf)
-    return M.skill_gap(M.gap_skills(c, "doc_id"), M.gap_skills(t, "target_id"))
+    c = _cand(spark, sf)
+    pairs, texts = _cand_pairs(spark, sf)
+    return M.skill_gap(M.gap_skills(c, "doc_id"), M.gap_skills(texts, "target_id"), pairs), texts
 
 
 @register("skill_gap", f"""
-with {CAND}, {TARG}, {GAP_SQL}
+with {CAND}, {TARG}, {CAND_PAIRS}, {GAP_SQL}
 select doc_id, target_id, array_to_string(required, ',') as required, array_to_string(present, ',') as present,
   array_to_string(missing, ',') as missing, array_to_string(extra, ',') as extra,
   round(len(present) / greatest(len(required), 1) * 100, 1) as match_percent from gap
 """)
 def q_skill_gap(spark, sf):
-    g = _gaps(spark, sf)
+    g, _ = _gaps(spark, sf)
     return g.select("doc_id", "target_id", *[F.array_join(c, ",").alias(c) for c in ("required", "present", "missing", "extra")],
                     "match_percent")
 
 
 @register("gap_roadmap", f"""
-with {CAND}, {TARG}, {GAP_SQL},
+with {CAND}, {TARG}, {CAND_PAIRS}, {GAP_SQL},
 rm as (select * from {S.values([(k, i, tl) for i, (k, _, tl, _) in enumerate(L.LEARNING_ROADMAP)], "rm(key, ord, timeline)")}),
 m as (select distinct unnest(missing) as skill from gap),
 h as (select skill, arg_min(key, ord) as key, arg_min(timeline, ord) as timeline from m left join rm
@@ -459,23 +544,21 @@ h as (select skill, arg_min(key, ord) as key, arg_min(timeline, ord) as timeline
 select skill, coalesce(key, {S.q(L.DEFAULT_ROADMAP[0])}) as roadmap, coalesce(timeline, {S.q(L.DEFAULT_ROADMAP[2])}) as timeline from h
 """)
 def q_gap_roadmap(spark, sf):
-    m = _gaps(spark, sf).select(F.explode("missing").alias("skill")).distinct()
+    m = _gaps(spark, sf)[0].select(F.explode("missing").alias("skill")).distinct()
     return M.gap_roadmap(m, spark).select("skill", "roadmap", "timeline")
 
 
 @register("priority_skills", f"""
-with {CAND}, {TARG}, {GAP_SQL},
+with {CAND}, {TARG}, {CAND_PAIRS}, {GAP_SQL},
 mn as (select target_id, skill, len(regexp_extract_all(lower(text), {S.q(chr(92) + 'b' + chr(92) + 'Q')} || skill || {S.q(chr(92) + 'E' + chr(92) + 'b')})) as mentions
-       from (select target_id, text, unnest(required) as skill from (select distinct target_id, required from gap) join targ using (target_id))),
-x as (select doc_id, target_id, unnest(missing) as skill from gap)
-select doc_id, target_id, array_to_string(list(skill order by mentions desc, skill)[1:5], ',') as priority_skills
-from x join mn using (target_id, skill) group by all
+       from (select target_id, text, unnest(required) as skill from (select distinct target_id, required from gap) join etarg using (target_id))),
+x as (select doc_id, target_id, unnest(missing) as skill from gap),
+best as (select doc_id, target_id, array_to_string(list(skill order by mentions desc, skill)[1:5], ',') as s from x join mn using (target_id, skill) group by all)
+select g.doc_id, g.target_id, coalesce(best.s, '') as priority_skills from gap g left join best using (doc_id, target_id)
 """)
 def q_priority(spark, sf):
-    c, t = _cand(spark, sf), _targ(spark, sf)
-    tsk = M.gap_skills(t, "target_id")
-    g = M.skill_gap(M.gap_skills(c, "doc_id"), tsk)
-    p = M.priority_skills(g, M.skill_mentions(t, tsk))
+    g, texts = _gaps(spark, sf)
+    p = M.priority_skills(g, M.skill_mentions(texts))
     return p.select("doc_id", "target_id", F.array_join("priority_skills", ",").alias("priority_skills"))
 
 
@@ -528,23 +611,23 @@ def q_readability_score(spark, sf):
 
 
 SCORED_SQL = f"""
-{CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM},
-{_tfidf_terms_sql('dterms', 'cand', 'doc_id', 'text')}, {_tfidf_terms_sql('tterms', 'targ', 'target_id', 'text')},
-{_tfidf_sql('dterms', 'tterms')},
+{CAND}, {TARG}, {CAND_PAIRS}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM},
+{_tfidf_terms_sql('dgram', 'cand', 'doc_id', 'text')}, {_tfidf_terms_sql('tgram', 'etarg', 'target_id', 'text')},
+{_tfidf_sql('dgram', 'tgram')}, {EMB_SQL},
 scored as (
-  with p as (select c.*, coalesce(t.tfidf_similarity, 0.0) as tfidf_similarity,
-      coalesce(case when a.embedding is null or b.embedding is null then 0.0
-               else list_cosine_similarity(a.embedding::double[], b.embedding::double[]) end, 0.0) as semantic_similarity
-    from cov c left join tfidf t using (doc_id, target_id)
-    left join embeddings a on a.vec_id = c.doc_id left join embeddings b on b.vec_id = c.target_id),
-  j as (select p.*, round(0.7::double * round(semantic_similarity, 6) + 0.3::double * round(tfidf_similarity, 6), 7)
+  with p as (select c.*, t.tfidf_similarity, e.semantic_similarity
+    from cov c join tfidf t on t.doc_id = c.doc_id and t.target_id is not distinct from c.target_id
+    join emb e on e.doc_id = c.doc_id and e.target_id is not distinct from c.target_id),
+  j as (select p.*, case when p.target_id is null then {L.NO_TARGET_SIMILARITY}::double
+           else round(0.7::double * round(semantic_similarity, 6) + 0.3::double * round(tfidf_similarity, 6), 7) end
            as blended_similarity, d.* exclude (doc_id) from p join ddim d using (doc_id))
   select *, {SF.composite('blended_similarity', 'keyword_coverage', 'section_completeness', 'content_strength', 'readability_score')}
     as final_score from j)"""
 
 
 def _scored(spark, sf):
-    return RP.score_pairs(_cand(spark, sf), _targ(spark, sf), spark, C.load(spark, sf, "embeddings"))
+    pairs, texts = _cand_pairs(spark, sf)
+    return RP.score_pairs(_cand_once(spark, sf), texts, spark, pairs, C.load(spark, sf, "embeddings"))
 
 
 @register("composite_score", f"""
@@ -628,16 +711,15 @@ def q_weak_sections(spark, sf):
         F.transform("weak_sections", lambda w: F.concat(w["severity"], F.lit(":"), w["section"])), "|").alias("weak_sections"))
 
 
-SCREEN_PAIRS = f"""dens as ({_DENSITY_SQL}),
-dm as (select *, string_split(top_missing, ',') as top_missing_list from dens),
-sp as (select d.target_id, d.density_percent, case when d.top_missing = '' then [] else d.top_missing_list end as top_missing_list,
-       sl.* from dm d join sl using (doc_id)),
+SCREEN_PAIRS = f"""{DOC_PAIRS}, dm as (select * from {_assigned_density_sql("coalesce(d.text, '')")}),
+sp as (select d.target_id, d.density_percent, d.top_missing_list, sl.* from dm d join sl using (doc_id)),
 vv as (select *, {SF.verdict_cols()} from sp)"""
 
 
 def _screen_pairs(spark, sf):
-    dens = M.keyword_density(_clean_docs(spark, sf), _clean_bench(spark, sf), spark) \
-        .select("doc_id", "target_id", "density_percent", "top_missing_list")
+    """Rules and density of one and the same text, the document as it is."""
+    pairs, texts = _doc_pairs(spark, sf)
+    dens = M.assigned_density(_docs(spark, sf), texts, pairs).select("doc_id", "target_id", "density_percent", "top_missing_list")
     return _screened_docs(spark, sf, dens)
 
 
@@ -749,16 +831,19 @@ def q_render_html(spark, sf):
 
 # ---------------------------------------------------------------- 2.7 feedback
 ADV_SQL = f"""adv as (
-  with t as (select doc_id, count(*) as n_tech, list_sort(list(canonical)) as tech from lexm where category = 'technical' group by all),
-  base as (select d.*, coalesce(t.n_tech, 0) as n_tech, coalesce(t.tech, []) as tech_skills from ddim d left join t using (doc_id))
+  with t as (select doc_id, count(*) as n_tech, list_sort(list(canonical)) as tech from dterm where category = 'technical' group by all),
+  wk as (select doc_id, list_sort(list(distinct weak)) as weak_skills from (select doc_id, {_title_sql('candidate')} as weak from drep_cands,
+      (select unnest({S.lst(L.WEAK_SKILLS)}) as term) where contains(candidate, term)) group by all),
+  base as (select d.*, coalesce(t.n_tech, 0) as n_tech, coalesce(t.tech, []) as tech_skills, coalesce(wk.weak_skills, []) as weak_skills
+    from ddim d left join t using (doc_id) left join wk using (doc_id))
   select *, {SF.missing_sections()} as missing_sections, {SF.content_items()} as content_feedback,
     {SF.structure_items()} as structure_feedback, {SF.readability_tips()} as readability_tips,
     {SF.readability_fixes()} as readability_fixes, {SF.project_strength('bullets')} from base)"""
 
 
 def _adv(spark, sf):
-    c = _cand(spark, sf)
-    d = FE.with_skills(RP.doc_dimensions(c, spark), X.lexicon_match(c, spark))
+    c = _cand_once(spark, sf)
+    d = FE.with_skills(RP.doc_dimensions(c, spark), RP.all_terms(c, spark))
     d = FE.with_project_strength(d)
     return d.select(
         "*",
@@ -772,7 +857,7 @@ def _adv(spark, sf):
     )
 
 
-@register("missing_section_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+@register("missing_section_advice", f"""with {CAND}, {LEX_MATCH}, {DTERM}, {DDIM}, {ADV_SQL}
 select doc_id, len(missing_sections) as n_missing,
   array_to_string(list_transform(missing_sections, lambda x: x.priority || ':' || x.section), '|') as advice from adv""")
 def q_missing_sections(spark, sf):
@@ -781,22 +866,22 @@ def q_missing_sections(spark, sf):
         "missing_sections", lambda x: F.concat(x["priority"], F.lit(":"), x["section"])), "|").alias("advice"))
 
 
-@register("verb_upgrade_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+@register("verb_upgrade_advice", f"""with {CAND}, {LEX_MATCH}, {DTERM}, {DDIM}, {ADV_SQL}
 select doc_id, n_strong as action_verb_count, array_to_string(strong_verbs, '|') as action_verbs_found,
   {SF.verb_strength('n_strong')} as verb_strength,
-  array_to_string(list_transform({SF.verb_upgrades('weak_verbs')}, lambda u: u.weak || '=' || u.suggestions), '|') as upgrades,
+  array_to_string(list_transform({SF.verb_upgrades('weak_verbs', 'weak_skills')}, lambda u: u.weak || '=' || u.suggestions), '|') as upgrades, array_to_string(weak_skills, '|') as weak_skills,
   case when n_strong >= 8 then {S.q(L.VERB_TIPS['strong'])} else {S.q(L.VERB_TIPS['other'])} end as tip from adv""")
 def q_verb_advice(spark, sf):
     a = _adv(spark, sf)
-    up = AD.verb_upgrade_advice(F.col("weak_verbs"), F.array().cast("array<string>"))
+    up = AD.verb_upgrade_advice(F.col("weak_verbs"), F.col("weak_skills"))
     return a.select("doc_id", F.col("n_strong").alias("action_verb_count"),
                     F.array_join("strong_verbs", "|").alias("action_verbs_found"),
                     AD.verb_strength(F.col("n_strong")).alias("verb_strength"),
                     F.array_join(F.transform(up, lambda u: F.concat(u["weak"], F.lit("="), u["suggestions"])), "|")
-                    .alias("upgrades"), AD.verb_tip(F.col("n_strong")).alias("tip"))
+                    .alias("upgrades"), F.array_join("weak_skills", "|").alias("weak_skills"), AD.verb_tip(F.col("n_strong")).alias("tip"))
 
 
-@register("content_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+@register("content_advice", f"""with {CAND}, {LEX_MATCH}, {DTERM}, {DDIM}, {ADV_SQL}
 select doc_id, array_to_string(list_transform(content_feedback, lambda x: x.type || ':' || x.priority || ':' || x.message), '|')
   as content_feedback from adv""")
 def q_content_advice(spark, sf):
@@ -805,15 +890,16 @@ def q_content_advice(spark, sf):
         ":", x["type"], x["priority"], x["message"])), "|").alias("content_feedback"))
 
 
-@register("readability_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
-select doc_id, array_to_string(readability_tips, '|') as tips, array_to_string(readability_fixes, '|') as fixes from adv""")
+@register("readability_advice", f"""with {CAND}, {LEX_MATCH}, {DTERM}, {DDIM}, {ADV_SQL}
+select doc_id, array_to_string(readability_tips, '|') as tips, array_to_string(list_transform(readability_fixes, lambda f: f.issue || '=' || f.before || '>' || f.after), '|') as fixes from adv""")
 def q_readability_advice(spark, sf):
     a = _adv(spark, sf)
     return a.select("doc_id", F.array_join("readability_tips", "|").alias("tips"),
-                    F.array_join("readability_fixes", "|").alias("fixes"))
+                    F.array_join(F.transform("readability_fixes", lambda f: F.concat(
+                        f["issue"], F.lit("="), f["before"], F.lit(">"), f["after"])), "|").alias("fixes"))
 
 
-@register("structure_advice", f"""with {CAND}, {LEX_MATCH}, {DDIM}, {ADV_SQL}
+@register("structure_advice", f"""with {CAND}, {LEX_MATCH}, {DTERM}, {DDIM}, {ADV_SQL}
 select doc_id, array_to_string(list_transform(structure_feedback, lambda x: x.type || ':' || x.message), '|') as structure
 from adv""")
 def q_structure_advice(spark, sf):
@@ -822,14 +908,14 @@ def q_structure_advice(spark, sf):
         ":", x["type"], x["message"])), "|").alias("structure"))
 
 
-@register("profile_summaries", f"""with {CAND}, {LEX_MATCH}, {DOMAIN_SQL}, {DDIM}, {ADV_SQL},
+@register("profile_summaries", f"""with {CAND}, {LEX_MATCH}, {DTERM}, {DOMAIN_SQL}, {DDIM}, {ADV_SQL},
 t as (select a.doc_id, dom.domain, a.tech_skills from adv a join dom using (doc_id))
 select doc_id, unnest(generate_series(1, {len(L.PROFILE_TEMPLATES)})) as template_no,
   unnest([{", ".join("replace(replace(" + S.q(t) + ", '{domain}', domain), '{skills}', " + SF.skills_phrase('tech_skills') + ")" for t in L.PROFILE_TEMPLATES)}])
   as summary from t""")
 def q_profile_summaries(spark, sf):
-    c = _cand(spark, sf)
-    terms = X.lexicon_match(c, spark)
+    c = _cand_once(spark, sf)
+    terms = RP.all_terms(c, spark)
     dom = X.domain_inference(terms, spark, c)
     d = FE.with_skills(c.select("doc_id"), terms).join(dom, "doc_id")
     return d.select("doc_id", F.posexplode(AD.profile_summaries(F.col("domain"), F.col("tech_skills")))
@@ -855,20 +941,22 @@ def _pair_adv(spark, sf):
         F.col("structure_feedback")))
 
 
-@register("keyword_advice", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
+@register("keyword_advice", f"""with {CAND}, {TARG}, {CAND_PAIRS}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
 select doc_id, target_id, kw_score, array_to_string(missing, '|') as missing_keywords,
   array_to_string(kw_suggestions, '|') as suggestions,
   array_to_string(list_transform(kw_examples, lambda e: e.keyword || '=' || e.example), '|') as examples,
-  case when kw_score >= 70 then {S.q(L.KEYWORD_MESSAGES['good'])} else {S.q(L.KEYWORD_MESSAGES['more'])} end as tip from padv""")
+  case when target_id is null then null when kw_score >= 70 then {S.q(L.KEYWORD_MESSAGES['good'])} else {S.q(L.KEYWORD_MESSAGES['more'])} end as tip,
+  case when target_id is null then {S.q(L.KEYWORD_MESSAGES['no_target'])} end as note from padv""")
 def q_keyword_advice(spark, sf):
     p = _pair_adv(spark, sf)
     return p.select("doc_id", "target_id", "kw_score", F.array_join("missing", "|").alias("missing_keywords"),
                     F.array_join("kw_suggestions", "|").alias("suggestions"),
                     F.array_join(F.transform("kw_examples", lambda e: F.concat(e["keyword"], F.lit("="), e["example"])), "|")
-                    .alias("examples"), AD.keyword_tip(F.col("kw_score")).alias("tip"))
+                    .alias("examples"), F.when(F.col("target_id").isNotNull(), AD.keyword_tip(F.col("kw_score"))).alias("tip"),
+                    F.when(F.col("target_id").isNull(), F.lit(L.KEYWORD_MESSAGES["no_target"])).alias("note"))
 
 
-@register("top_suggestions", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
+@register("top_suggestions", f"""with {CAND}, {TARG}, {CAND_PAIRS}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
 select doc_id, target_id, len(top_suggestions) as n_suggestions, array_to_string(top_suggestions, '|') as top_suggestions from tops""")
 def q_top_suggestions(spark, sf):
     p = _pair_adv(spark, sf)
@@ -876,9 +964,9 @@ def q_top_suggestions(spark, sf):
                     F.array_join("top_suggestions", "|").alias("top_suggestions"))
 
 
-@register("quick_tips", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL},
+@register("quick_tips", f"""with {CAND}, {TARG}, {CAND_PAIRS}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL},
 qt as (select doc_id, target_id, {SF.distinct_in_order(
-    "list_concat(list_concat(case when len(readability_fixes) > 0 then ['Fix <strong>' || readability_fixes[1] || '</strong> for better ATS parsing.'] else [] end, "
+    "list_concat(list_concat(case when len(readability_fixes) > 0 then ['Fix <strong>' || readability_fixes[1].issue || '</strong> for better ATS parsing.'] else [] end, "
     "case when project_score < 70 then [" + S.q(L.QUICK_TIP_MESSAGES['project']) + "] else [] end), top_suggestions[1:3])")}[1:4] as tips from tops)
 select doc_id, target_id, array_to_string(tips, '|') as quick_tips from qt""")
 def q_quick_tips(spark, sf):
@@ -887,8 +975,8 @@ def q_quick_tips(spark, sf):
         F.col("readability_fixes"), F.col("project_score"), F.col("top_suggestions")), "|").alias("quick_tips"))
 
 
-@register("suggestion_frequency", f"""with {CAND}, {TARG}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
-select suggestion, count(*) as n_docs from (select unnest(top_suggestions) as suggestion from tops) group by all""")
+@register("suggestion_frequency", f"""with {CAND}, {TARG}, {CAND_PAIRS}, {LEX_MATCH}, {TLEX_MATCH}, {COVERAGE_SQL}, {DDIM}, {ADV_SQL}, {PAIR_ADV_SQL}
+select suggestion, count(distinct doc_id) as n_docs, count(*) as n_pairs from (select doc_id, unnest(top_suggestions) as suggestion from tops) group by all""")
 def q_suggestion_frequency(spark, sf):
     return AD.suggestion_frequency(_pair_adv(spark, sf))
 
@@ -1087,19 +1175,6 @@ def q_repo_lines(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.2 keyword phrases
-import string as _string  # noqa: E402
-
-IGNORE_SQL = S.lst(sorted(set(KW.rake_ignore())))
-
-
-def _rake_occ_sql(src):
-    toks = f"regexp_extract_all(lower(text), {S.q(KW.WORDPUNCT)})"
-    marked = f"list_transform({toks}, lambda x: case when list_contains({IGNORE_SQL}, x) then chr(1) else x end)"
-    phrases = f"list_filter(regexp_split_to_array(array_to_string({marked}, ' '), '( ?' || chr(1) || ' ?)+'), lambda p: p <> '')"
-    return f"""occ as (select doc_id, unnest(generate_series(0, len(ph) - 1)) as ph_idx, unnest(ph) as phrase
-                from (select doc_id, {phrases} as ph from {src}))"""
-
-
 RAKE_SQL = f"""{_rake_occ_sql('cdocs')},
 wocc as (select doc_id, ph_idx, phrase, unnest(generate_series(0, len(string_split(phrase, ' ')) - 1)) as w_idx,
          unnest(string_split(phrase, ' ')) as word, len(string_split(phrase, ' ')) as plen from occ),
@@ -1115,75 +1190,29 @@ def q_rake(spark, sf):
     return KW.rake_keywords(_clean_docs(spark, sf))
 
 
-def _alt(words):
-    import re as _re
-    return r"\b(" + "|".join(_re.escape(w) for w in words) + r")\b"
-
-
-def _noise_sql(p):
-    verbs = S.lst([v.lower() for v in L.WEAK_VERBS + L.ACTION_VERBS])
-    stop = S.lst(L.english_stopwords())
-    return f"""(length({p}) < 2 or regexp_matches({p}, {S.q(KW._alternation(L.BLACKLIST))})
-  or regexp_matches({p}, {S.q(KW._alternation(L.MONTH_ABBREVIATIONS))}) or regexp_matches({p}, '\\b(19|20)\\d{{2}}\\b')
-  or regexp_matches({p}, '^[0-9]+$') or len(regexp_extract_all({p}, '[0-9]')) > length({p}) * 0.4
-  or list_contains({verbs}, {p}) or len(list_filter(string_split({p}, ' '), lambda t: not list_contains({stop}, t))) = 0)"""
-
-
 @register("noise_filter", f"""with {CLEAN_DOCS}, {_rake_occ_sql('cdocs')}
 select doc_id, phrase, {_noise_sql('phrase')} as is_noise from (select distinct doc_id, phrase from occ)""")
 def q_noise(spark, sf):
-    occ = KW.phrase_occurrences(_clean_docs(spark, sf)).select("doc_id", "phrase").distinct()
+    occ = KW.with_phrases(_clean_docs(spark, sf).select("doc_id", "text"))
+    occ = occ.select("doc_id", F.explode(F.array_distinct("_phrases")).alias("phrase"))
     return occ.select("doc_id", "phrase", KW.is_noise(F.col("phrase")).alias("is_noise"))
 
 
-CANDS_SQL = f"""cands as (select doc_id, candidate, count(*) as n from (select doc_id, {S.strip('phrase')} as candidate from occ)
-  where length(candidate) > 2 and length(candidate) < 30 and not {_noise_sql('candidate')} group by all)"""
-
-
-def _title_sql2(x):
-    return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
-
-
-@register("repeated_phrases", f"""with {CAND}, {LEX_MATCH}, {_rake_occ_sql('cand')}, {CANDS_SQL},
-nm as (select doc_id, candidate, coalesce(m.v, {_title_sql2('candidate')}) as canonical from cands
-       left join {S.values(list(L.NORMALIZATION.items()), "m(k, v)")} on m.k = candidate where n > 1)
-select doc_id, candidate, canonical from nm
-where not exists (select 1 from lexm where lexm.doc_id = nm.doc_id and lower(lexm.canonical) = lower(nm.canonical))
-  and candidate not in (select unnest({S.lst(L.WEAK_SKILLS)}))""")
+@register("repeated_phrases", f"""with {CAND}, {LEX_MATCH}, {_repeated_sql('cand', 'doc_id', 'lexm', 'rep')} select * from rep""")
 def q_repeated(spark, sf):
-    c = _cand(spark, sf)
+    c = _cand_once(spark, sf)
     return KW.repeated_phrases(c, X.lexicon_match(c, spark), spark)
 
 
-@register("weak_terms", f"""with {CLEAN_DOCS}, {_rake_occ_sql('cdocs')}, {CANDS_SQL}
-select distinct doc_id, {_title_sql2('candidate')} as weak from cands, (select unnest({S.lst(L.WEAK_SKILLS)}) as term)
+@register("weak_terms", f"""with {CAND}, {_rake_occ_sql('cand')}, {CANDS_SQL}
+select distinct doc_id, {_title_sql('candidate')} as weak from cands, (select unnest({S.lst(L.WEAK_SKILLS)}) as term)
 where contains(candidate, term)""")
 def q_weak_terms(spark, sf):
-    return KW.weak_terms(_clean_docs(spark, sf), spark)
+    return KW.weak_terms(_cand(spark, sf), spark)
 
 
 
 # ---------------------------------------------------------------- 2.1 sources (targets, payloads)
-ROLE_ROWS = [(1000 + i, r) for i, r in enumerate(L.ROLE_NAMES)]
-
-
-@register("resolve_targets", f"""with {TARG},
-t as (select target_id, text, null::varchar as role from targ
-      union all select * from (select id, '   ', role from {S.values(ROLE_ROWS, "r(id, role)")})
-      union all select 999, null, null),
-e as (select target_id, nullif({S.strip('text')}, '') as tx, nullif({S.strip('role')}, '') as rl from t)
-select target_id, case when tx is not null then 'text' when rl is not null then 'role' else 'none' end as target_kind,
-  md5(coalesce(tx, rl)) as effective_md5, length(coalesce(tx, rl)) as effective_chars from e""")
-def q_resolve_targets(spark, sf):
-    t = _targ(spark, sf).select("target_id", "text", F.lit(None).cast("string").alias("role"))
-    roles = spark.createDataFrame(ROLE_ROWS, "target_id long, role string").select(
-        "target_id", F.lit("   ").alias("text"), "role")
-    none = spark.createDataFrame([(999, None, None)], "target_id long, text string, role string")
-    r = C.resolve_targets(t.unionByName(roles).unionByName(none))
-    return r.select("target_id", "target_kind", F.md5("effective_text").alias("effective_md5"),
-                    F.length("effective_text").alias("effective_chars"))
-
-
 @register("repo_payload_scan", """
 select event_id, coalesce(try_cast(json_extract(props, '$.k') as bigint), 0) as k,
   coalesce(json_extract_string(props, '$.name'), '') as name from events""")
@@ -1228,12 +1257,13 @@ def q_stream_score(spark, sf):
 # ---------------------------------------------------------------- 2.1 flagship
 @register("analysis_report")
 def q_analysis_report(spark, sf):
-    """One nested analysis row per scored (candidate, target) pair, serialised as JSON."""
-    r = RP.analysis_report(_cand(spark, sf), _targ(spark, sf), spark, C.load(spark, sf, "embeddings"))
+    """One nested analysis row per assigned (candidate, target) pair, serialised as JSON."""
+    r = flagship(spark, sf)
     return r.select("doc_id", "target_id", "final_score", "grade",
                     F.to_json(F.struct(*[c for c in r.columns if c not in ("doc_id", "target_id")])).alias("report"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested analysis report (composite score, coverage, readability, verbs, feedback)."""
-    return RP.analysis_report(_cand(spark, sf_dir), _targ(spark, sf_dir), spark, C.load(spark, sf_dir, "embeddings"))
+    pairs, texts = _cand_pairs(spark, sf_dir)
+    return RP.analysis_report(_cand_once(spark, sf_dir), texts, spark, pairs, C.load(spark, sf_dir, "embeddings"))

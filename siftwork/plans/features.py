@@ -11,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators import keywords as KW
 from ..operators import rewrite as R
 
 
 def doc_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    t = F.col(text_col)
-    return docs.select(
+    t = T.col(text_col)
+    d = KW.with_candidates(docs.select("doc_id", text_col), text_col, "_cands")
+    return d.select(
         "doc_id",
         *X.section_columns(t),
         *X.readability_columns(t),
@@ -26,6 +29,8 @@ def doc_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *X.contact_columns(t),
         X.bullet_line_count(t, X.FEEDBACK_BULLET).alias("feedback_bullets"),
         X.bullets_array(t).alias("bullets"),
+        KW.weak_list(F.col("_cands")).alias("weak_skills"),
+        F.when(F.length(t) > L.PREVIEW_CHARS, F.concat(F.substring(t, 1, L.PREVIEW_CHARS), F.lit("..."))).otherwise(t).alias("preview"),
     )
 
 
@@ -47,5 +52,13 @@ def with_skills(feats: DataFrame, doc_terms: DataFrame) -> DataFrame:
         "tech_skills", F.coalesce("tech_skills", F.array().cast("array<string>")))
 
 
+def with_skill_lists(feats: DataFrame, doc_terms: DataFrame) -> DataFrame:
+    """Attach a struct of sorted names by category."""
+    names = lambda k: F.array_sort(F.collect_set(F.when(F.col("category") == k, F.col("canonical")))).alias(k)
+    kinds = sorted({r[3] for r in L.lexicon_rows()})
+    per = doc_terms.groupBy("doc_id").agg(*[names(k) for k in kinds])
+    return feats.join(per.select("doc_id", F.struct(*kinds).alias("skills")), "doc_id", "left")
+
+
 def with_project_strength(feats: DataFrame) -> DataFrame:
     return feats.select("*", *R.project_strength(F.col("bullets")))

@@ -140,6 +140,7 @@ from ..operators import screen as _SC  # noqa: E402
 
 
 def screen_features(src: str, t: str = "text") -> str:
+    t = f"coalesce({t}, '')"
     third = f"substring({t}, 1, length({t}) // 3)"
     first_line = f"regexp_extract({third}, '^[ \\t\\n\\r\\f\\x0B]*([^\\n]*)', 1)"
     parse = ", ".join(f"regexp_matches({t}, {q(p)}) as parse_{k}" for k, p, _ in L.PARSE_RULES if p is not None)
@@ -183,7 +184,7 @@ def verdict_cols(density: str = "density_percent") -> str:
     m = L.VERDICT_MESSAGES
     crit = ["experience", "skills", "education", "contact"]
     missing = _arr([(f"not sec_{s}", q(s)) for s in crit])
-    d = f"coalesce({density}::double, 50.0::double)"
+    d = f"coalesce({density}::double, {L.NO_TARGET_DENSITY}::double)"
     ncw = "len(list_filter(weak, lambda w: w.severity = 'critical'))"
     raw = (f"(100 - len({missing}) * 20 - len(parse_issues) * 8 - len(scan_issues) * 5 - "
            f"(case when {d} < 30 then 15 when {d} < 50 then 5 else 0 end) - {ncw} * 10)")
@@ -293,10 +294,14 @@ def verb_strength(n: str) -> str:
     return f"(case when {n} >= 8 then 'strong' when {n} >= 4 then 'moderate' else 'weak' end)"
 
 
-def verb_upgrades(weak_verbs: str) -> str:
+def verb_upgrades(weak_verbs: str, weak_skills: str) -> str:
     cases = " ".join(f"when {q(w)} then {q(sg)}" for w, sg in L.WEAK_TO_STRONG)
     m = f"(case v {cases} end)"
-    return f"list_transform(list_filter({weak_verbs}, lambda v: {m} is not null), lambda v: {{'weak': v, 'suggestions': {m}}})"
+    skill = " ".join(f"when {q(w)} then {q(sg)}" for w, sg in L.WEAK_SKILL_ADVICE)
+    verbs = f"list_transform(list_filter({weak_verbs}, lambda v: {m} is not null), lambda v: {{'weak': v, 'suggestions': {m}}})"
+    skills = (f"list_transform({weak_skills}, lambda w: {{'weak': 'Skill: ' || chr(39) || w || chr(39), "
+              f"'suggestions': case w {skill} else {q(L.WEAK_SKILL_DEFAULT_ADVICE)} end}})")
+    return f"list_concat({verbs}, {skills})"
 
 
 def content_items() -> str:
@@ -327,8 +332,8 @@ def readability_tips() -> str:
 
 def readability_fixes() -> str:
     m = L.READABILITY_MESSAGES
-    return _arr([("avg_words_per_sentence > 25", q(m["long_fix_issue"])),
-                 ("flesch_kincaid_score < 30", q(m["complex_fix_issue"]))])
+    fix = lambda k: f"{{'issue': {q(m[k + '_issue'])}, 'before': {q(m[k + '_before'])}, 'after': {q(m[k + '_after'])}}}"
+    return _arr([("avg_words_per_sentence > 25", fix("long_fix")), ("flesch_kincaid_score < 30", fix("complex_fix"))])
 
 
 def structure_items() -> str:

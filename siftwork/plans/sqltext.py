@@ -40,7 +40,7 @@ def strip(x: str) -> str:
 
 
 def clean(x: str) -> str:
-    t = f"regexp_replace({x}, '\\r\\n|\\r', chr(10), 'g')"
+    t = f"regexp_replace(coalesce({x}, ''), '\\r\\n|\\r', chr(10), 'g')"
     t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
     t = f"regexp_replace({t}, '[ \\t]{{2,}}', ' ', 'g')"
     t = f"regexp_replace({t}, '[^\\x20-\\x7E\\n]', ' ', 'g')"
@@ -85,7 +85,8 @@ select c_custkey as doc_id,
   || case when c_custkey % 7 <> 0 then chr(10) || chr(10) || 'EDUCATION' || chr(10) || 'Bachelor, '
        || (1985 + c_custkey % 30) else '' end
   || case when c_custkey % 6 <> 0 then chr(10) || chr(10) || 'SKILLS' || chr(10)
-       || {lst(lex)}[1 + c_custkey % {len(lex)}] || ', ' || {lst(lex)}[1 + (c_custkey*13) % {len(lex)}] else '' end as text
+       || {lst(lex)}[1 + c_custkey % {len(lex)}] || ', ' || {lst(lex)}[1 + (c_custkey*13) % {len(lex)}] else '' end
+  || case when c_custkey % 9 = 0 then chr(10) || 'A ' || {lst(L.WEAK_SKILLS)}[1 + c_custkey % {len(L.WEAK_SKILLS)}] || ' person' else '' end as text
 from customer left join (
   select o_custkey, string_agg(
     '- ' || {lst(verb)}[1 + (l_partkey*5 + l_linenumber) % {len(verb)}] || ' '
@@ -125,3 +126,15 @@ from lineitem join part on l_partkey = p_partkey
 
 def lexicon_values() -> str:
     return values([r[:4] for r in L.lexicon_rows()], "lex(term, norm, canonical, category)")
+
+
+def assign_sql(docs: str, targets: str, n: str, id_of: str) -> tuple[str, str]:
+    """CTE bodies (assignment, texts): ``docs`` has doc_id, ``targets`` target_id and text; ``id_of`` is SQL of r."""
+    roles, k = L.ROLE_NAMES, len(L.ROLE_NAMES)
+    picks = " union all ".join(f"select doc_id, (doc_id * {f} + {o}) % ({n} + {k + D.EMPTY_CHOICES}) as r from {docs}" for f, o in D.CHOICES)
+    pairs = f"""select distinct doc_id, case when t.target_id is not null then t.target_id when r < {n} + {k} then -1 - ((r - {n}) % {k} + {k}) % {k} end as target_id,
+  case when t.target_id is not null then 'text' when r < {n} + {k} then 'role' else 'none' end as target_kind
+from ({picks}) c left join (select target_id from {targets} where {strip("coalesce(text, '')")} <> '') t on r < {n} and t.target_id = {id_of}"""
+    texts = f"""select target_id, {strip('text')} as text, 'text' as target_kind from {targets} where {strip("coalesce(text, '')")} <> ''
+union all select id, role, 'role' from {values([(-1 - i, r) for i, r in enumerate(roles)], "r(id, role)")}"""
+    return pairs, texts

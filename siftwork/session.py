@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "siftwork") -> SparkSession:
@@ -43,3 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` made once, as a reliable checkpoint in the shared folder; what reads it doesn't compute it again."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..functions import lexicons as L
 from ..functions import text as T
 
@@ -38,10 +39,6 @@ def read_corpus(spark: SparkSession, path: str, extensions=tuple(L.ALLOWED_EXTEN
     )
 
 
-def with_clean_text(docs: DataFrame, text_col: str = "text", out: str = "clean_text") -> DataFrame:
-    return docs.withColumn(out, T.clean_text(text_col))
-
-
 def clean_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Per document: cleaned text plus what cleaning changed (row-local, no shuffle)."""
     clean = T.clean_text(text_col)
@@ -54,15 +51,6 @@ def clean_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def clean_summary(cleaned: DataFrame) -> DataFrame:
-    """Documents changed and characters replaced per source (partial + final aggregation)."""
-    return cleaned.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.col("changed").cast("long")).alias("n_changed"),
-        F.sum("replaced_chars").alias("replaced_chars"),
-    )
-
-
 def admission_reason(text_col: str = "text") -> F.Column:
     n = F.length(T.py_strip(F.coalesce(F.col(text_col), F.lit(""))))
     return (F.when(n == 0, F.lit("empty"))
@@ -79,14 +67,30 @@ def admission_counts(docs: DataFrame, text_col: str = "text", by: str = "source"
     return docs.groupBy(by, admission_reason(text_col).alias("reason")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def resolve_targets(targets: DataFrame, text_col: str = "text", role_col: str = "role") -> DataFrame:
-    """Effective target text: trimmed text if not blank, else the chosen role name, else NULL."""
-    text = F.nullif(T.py_strip(F.col(text_col)), F.lit(""))
-    role = F.nullif(T.py_strip(F.col(role_col)), F.lit(""))
-    return targets.withColumn("effective_text", F.coalesce(text, role)).withColumn(
-        "target_kind",
-        F.when(text.isNotNull(), F.lit("text")).when(role.isNotNull(), F.lit("role")).otherwise(F.lit("none")),
-    )
+def resolve_targets(choices: DataFrame, targets: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The assignment of documents to targets, and the texts of all targets that it names.
+
+    ``choices`` has doc_id, target_id (a given text of ``targets``, or null) and role (a picked role name, or null). A
+    choice means the target's trimmed text if there is one that isn't blank, else the role, whose name is then the whole
+    target text, else no target. First result: (doc_id, target_id, target_kind), each pair once; a document's choices
+    that come to nothing are one row with a null target_id and the kind "none", so every document of ``choices`` stays.
+    Roles of the known list have the ids -1, -2, ... in its order, any other role a negative id of its text's hash.
+    Second result: (target_id, text, target_kind) of the texts and the roles that are chosen.
+
+    One equi-join of ids with the targets; texts don't move with the choices.
+    """
+    texts = targets.select("target_id", T.py_strip("text").alias("text")).where("text != '' and target_id is not null")
+    known = dims.roles(spark).select(F.col("role").alias("_name"), (-F.col("role_id") - 1).cast("long").alias("_role_id"))
+    c = choices.select("doc_id", F.col("target_id").cast("long").alias("target_id"), F.nullif(T.py_strip("role"), F.lit("")).alias("_role"))
+    c = c.join(texts.select("target_id", F.lit(True).alias("_given")), "target_id", "left").join(known, F.col("_role") == F.col("_name"), "left")
+    other = -F.pmod(F.xxhash64("_role"), F.lit(1 << 62)) - len(L.ROLE_NAMES) - 1
+    role_id = F.coalesce("_role_id", F.when(F.col("_role").isNotNull(), other))
+    given = F.coalesce("_given", F.lit(False))
+    kind = F.when(given, "text").when(role_id.isNotNull(), "role").otherwise("none")
+    c = c.select("doc_id", F.when(given, F.col("target_id")).otherwise(role_id).alias("target_id"), kind.alias("target_kind"), "_role")
+    roles = c.where("target_kind = 'role'").select("target_id", F.col("_role").alias("text"), "target_kind").distinct()
+    return (c.select("doc_id", "target_id", "target_kind").distinct(),
+            texts.select("target_id", "text", F.lit("text").alias("target_kind")).unionByName(roles))
 
 
 REPO_PAYLOAD_SCHEMA = ("name string, full_name string, description string, language string, html_url string, "

@@ -78,6 +78,8 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     _s(1985 + c % 30))).otherwise(F.lit("")),
         F.when(c % 6 != 0, F.concat(nl, nl, F.lit("SKILLS"), nl, _pick(lex, c % len(lex)), F.lit(", "),
                                     _pick(lex, (c * 13) % len(lex)))).otherwise(F.lit("")),
+        F.when(c % 9 == 0, F.concat(nl, F.lit("A "), _pick(L.WEAK_SKILLS, c % len(L.WEAK_SKILLS)), F.lit(" person")))
+        .otherwise(F.lit("")),
     )
     cust = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return (cust.join(bullets, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -115,3 +117,33 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit("topic"), _s(F.col("l_orderkey") % 5))).alias("topics"),
         F.row_number().over(w).alias("pos"),
     )
+
+
+#: (factor, offset) of a document's choices: choice number (factor * doc_id + offset) modulo the number of targets,
+#: the roles and EMPTY_CHOICES, of which the last mean no target.
+CHOICES = [(3, 1), (5, 2)]
+EMPTY_CHOICES = 3
+
+
+def choices(docs: DataFrame, n_targets: int, id_of) -> DataFrame:
+    """CHOICES(doc_id, target_id, role): two choices of a target text, a bare role or nothing for each document.
+
+    Choice r < ``n_targets`` is the text ``id_of(r)`` (with a role beside it that must not count), the next ones are the
+    roles alone, the last ones nothing."""
+    roles = _arr(L.ROLE_NAMES)
+    n_roles = len(L.ROLE_NAMES)
+    parts = []
+    for factor, offset in CHOICES:
+        r = F.pmod(F.col("doc_id") * factor + offset, F.lit(n_targets + n_roles + EMPTY_CHOICES))
+        parts.append(F.struct(r.alias("r")))
+    d = docs.select("doc_id", F.explode(F.array(*parts)).alias("c")).select("doc_id", F.col("c.r").alias("r"))
+    role = F.when(F.col("r") < n_targets + n_roles, F.element_at(roles, (F.pmod(F.col("r") - n_targets, F.lit(n_roles)) + 1).cast("int")))
+    return d.select("doc_id", F.when(F.col("r") < n_targets, id_of(F.col("r"))).cast("long").alias("target_id"), role.alias("role"))
+
+
+def brand_id(r):
+    """The r-th brand number: 11 to 15, 21 to 25, and so on."""
+    return (F.floor(r / 5) + 1) * 10 + r % 5 + 1
+
+
+N_BRANDS = 25
