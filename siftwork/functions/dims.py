@@ -31,25 +31,10 @@ def lexicon_max_tokens() -> int:
     return max(r[4] for r in L.lexicon_rows())
 
 
-def verbs(spark: SparkSession) -> DataFrame:
-    """verb, kind (strong|weak), ord."""
-    rows = [(v, "strong", i) for i, v in enumerate(L.ACTION_VERBS)]
-    rows += [(v, "weak", i) for i, v in enumerate(L.WEAK_VERBS)]
-    return _dim(spark, rows, "verb string, kind string, ord int")
-
-
 def gazetteer(spark: SparkSession) -> DataFrame:
     return _dim(spark, [(g, i) for i, g in enumerate(L.GAZETTEER)], "name string, ord int")
 
 
-def blacklist(spark: SparkSession) -> DataFrame:
-    return _dim(spark, [(b,) for b in L.BLACKLIST], "term string")
-
-
-def weak_skills(spark: SparkSession) -> DataFrame:
-    return _dim(spark, [(w,) for w in L.WEAK_SKILLS], "term string")
-
-
 def domains(spark: SparkSession) -> DataFrame:
     """domain, ord, keyword."""
     rows = [(d, i, k) for i, (d, kws) in enumerate(L.DOMAINS) for k in kws]
@@ -61,32 +46,10 @@ def roadmaps(spark: SparkSession) -> DataFrame:
     return _dim(spark, rows, "key string, ord int, resources array<string>, timeline string, projects array<string>")
 
 
-def stopwords(spark: SparkSession) -> DataFrame:
-    return _dim(spark, [(w,) for w in L.english_stopwords()], "word string")
-
-
 def density_stopwords(spark: SparkSession) -> DataFrame:
     return _dim(spark, [(w,) for w in L.DENSITY_STOPWORDS], "word string")
 
 
-def section_advice(spark: SparkSession) -> DataFrame:
-    rows = [(s, i, msg, "high" if s in L.HIGH_PRIORITY_SECTIONS else "medium")
-            for i, (s, msg) in enumerate(L.SECTION_ADVICE)]
-    return _dim(spark, rows, "section string, ord int, suggestion string, priority string")
-
-
-def weak_verb_advice(spark: SparkSession) -> DataFrame:
-    return _dim(spark, [(w, s) for w, s in L.WEAK_TO_STRONG], "weak string, suggestions string")
-
-
-def weak_skill_advice(spark: SparkSession) -> DataFrame:
-    return _dim(spark, [(w, s) for w, s in L.WEAK_SKILL_ADVICE], "skill string, suggestions string")
-
-
-def keyword_templates(spark: SparkSession) -> DataFrame:
-    return _dim(spark, [(i, t) for i, t in enumerate(L.KEYWORD_TEMPLATES)], "tpl int, template string")
-
-
 def topic_skills(spark: SparkSession) -> DataFrame:
     return _dim(spark, [(k, s, i) for i, (k, s) in enumerate(L.TOPIC_SKILLS)], "topic string, skill string, ord int")
 

@@ -7,6 +7,8 @@ ASCII input; operators that compare values run on ``clean_text``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,12 @@ def _gram_fn(toks: Column, n: int):
     return lambda i: F.array_join(F.slice(toks, i, n), " ")
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A fixed sentence with its ``{name}`` places filled by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
+
+
 def quant_count(c: Column | str) -> Column:
     """Number of r'\\b\\d+[%+]?\\b' hits, which equals the number of r'\\b\\d+\\b' hits."""
     return F.regexp_count(col(c), F.lit(r"\b\d+\b"))

@@ -91,15 +91,29 @@ def repo_lines(repos: DataFrame, stacks: DataFrame) -> DataFrame:
         F.when(F.col("forks") > 0, F.concat(F.col("forks").cast("string"), F.lit(" forks")))),
         lambda x: x.isNotNull()), " and ")
     lines = F.filter(F.array(
-        F.when(desc != "", F.concat(F.lit("Developed "), name, F.lit(" — "), F.regexp_replace(desc, r"\.+$", ""),
-                                    F.lit(" using "), tech, F.lit(".")))
-        .otherwise(F.concat(F.lit("Built "), name, F.lit(" using "), tech,
-                            F.lit(", demonstrating proficiency in full-stack development."))),
-        F.when((F.col("stars") > 0) | (F.col("forks") > 0),
-               F.concat(F.lit("Open-sourced "), name, F.lit(", achieving "), metrics,
-                        F.lit(" from the developer community."))),
-        F.when(F.size(stack) >= 3, F.concat(F.lit("Implemented "), name, F.lit(" leveraging "),
-                                            F.array_join(F.slice(stack, 1, 3), ", "),
-                                            F.lit(" with focus on performance and maintainability."))),
+        F.when(desc != "", T.filled(t["described"], name=name, description=F.regexp_replace(desc, r"\.+$", ""), tech=tech))
+        .otherwise(T.filled(t["bare"], name=name, tech=tech)),
+        F.when((F.col("stars") > 0) | (F.col("forks") > 0), T.filled(t["open"], name=name, metrics=metrics)),
+        F.when(F.size(stack) >= 3, T.filled(t["depth"], name=name, tech3=F.array_join(F.slice(stack, 1, 3), ", "))),
     ), lambda x: x.isNotNull())
     return j.select("owner", "name", F.slice(lines, 1, 3).alias("lines"))
+
+
+def owner_lines(repos: DataFrame) -> DataFrame:
+    """Up to three generated lines per owner: number of repositories and the four commonest languages, stars if there are
+    any, and the most starred repository if it is described (its name with "-" as space, title-cased).
+
+    Made of the owner's aggregates, each pre-aggregated or pre-cut before its shuffle; all joined on the owner."""
+    t = L.REPO_LINE_TEMPLATES
+    langs = owner_languages_topk(repos, 4).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("rank", "language"))).alias("_l"))
+    top = owner_top_repos(repos, 1).select("owner", F.col("name").alias("_top"), F.coalesce("description", F.lit("")).alias("_desc"))
+    totals = repos.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("stars"), F.lit(0)).alias("_stars"))
+    j = totals.join(langs, "owner", "left").join(top, "owner", "left")
+    names = F.coalesce(F.array_join(F.transform("_l", lambda x: x["language"]), ", "), F.lit(t["profile_no_lang"]))
+    title = T.python_title(F.translate(F.col("_top"), "-", " "))
+    lines = F.filter(F.array(
+        T.filled(t["profile"], n=F.col("_n"), langs=names),
+        F.when(F.col("_stars") > 0, T.filled(t["stars"], stars=F.col("_stars"))),
+        F.when(F.col("_desc") != "", T.filled(t["featured"], name=title, description=F.regexp_replace("_desc", r"\.+$", ""))),
+    ), lambda x: x.isNotNull())
+    return j.select("owner", lines.alias("lines"))

@@ -106,9 +106,7 @@ def project_strength(bullets: Column) -> list[Column]:
     tips = F.when(n == 0, F.array(F.lit(m["none_tip"]))).otherwise(F.filter(F.array(
         F.when(score < 50, F.lit(m["low"])).when(score < 80, F.lit(m["mid"])).otherwise(F.lit(m["high"])),
         F.when(q < n * 0.5, F.lit(m["metric"]))), lambda x: x.isNotNull()))
-    message = F.when(n == 0, F.lit(m["none"])).otherwise(F.concat(
-        F.lit("Project Strength Score: "), score.cast("string"), F.lit("/100 based on "), n.cast("string"),
-        F.lit(" bullet points.")))
+    message = F.when(n == 0, F.lit(m["none"])).otherwise(T.filled(m["summary"], score=score, total=n))
     return [score.alias("project_score"), n.alias("total_bullets"), q.alias("quantified_bullets"),
             s.alias("strong_verb_bullets"), message.alias("project_message"), tips.alias("project_tips")]
 
@@ -124,7 +122,7 @@ def rewrite_document(text: Column) -> Column:
 
 def apply_replacements(text: Column, pairs: Column) -> Column:
     """Fold (original, improved) pairs over the text in order; every occurrence replaced."""
-    return F.aggregate(pairs, text, lambda t, p: F.when(
+    return F.aggregate(pairs, T.col(text), lambda t, p: F.when(
         (F.coalesce(p["original"], F.lit("")) != "") & (F.coalesce(p["improved"], F.lit("")) != "")
         & t.contains(p["original"]), F.replace(t, p["original"], p["improved"])).otherwise(t))
 
@@ -156,7 +154,7 @@ def render_html_lines(text: Column, date_str: str, heading: str = "Optimized doc
                 .otherwise(F.concat(F.lit("<p>"), _escape(x), F.lit("</p>\n")))
         return F.array_join(F.transform(lines, render), "")
 
-    body = F.array_join(F.transform(F.split(text, "\n\n"), para), "")
+    body = F.array_join(F.transform(F.split(T.col(text), "\n\n"), para), "")
     foot = f'<div class="watermark">{_html.escape(footer.format(date=date_str))}</div>\n'
     return F.concat(F.lit(f"<h1>{_html.escape(heading)}</h1>\n"), body, F.lit(foot))
 

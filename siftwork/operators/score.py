@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.numbering import numbered
 
 
 def _b(name: str) -> Column:
@@ -66,11 +67,27 @@ def dimension_map(sem: Column, kw: Column, sec: Column, cs: Column, rd: Column)
 
 
 def rank_documents(scored: DataFrame, k: int, score_col: str = "final_score") -> DataFrame:
-    """Top-k documents per target with rank and percent rank among that target's scored pairs."""
+    """Top-k documents per target with rank and percent rank among that target's scored pairs.
+
+    The rank filter is cut to k rows in every task before the shuffle, and the pairs of a target are only counted, so
+    no task holds a target; the percent rank is (rank - 1) / (pairs - 1), 0 for a single pair."""
     w = Window.partitionBy("target_id").orderBy(F.col(score_col).desc(), F.col("doc_id").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(w)) \
-        .withColumn("pct_rank", F.round(F.percent_rank().over(w), 6))
-    return ranked.where(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _percent(best, scored)
+
+
+def rank_all(scored: DataFrame, score_col: str = "final_score") -> DataFrame:
+    """Every scored pair with its rank (score descending, then doc_id) and percent rank within its target; ranks are
+    counted over ranges of the score, so a target may hold a third of all pairs."""
+    ranked = numbered(scored, ["target_id"], [-F.col(score_col), F.col("doc_id")], "rank")
+    return _percent(ranked, scored)
+
+
+def _percent(ranked: DataFrame, scored: DataFrame) -> DataFrame:
+    pairs = scored.groupBy(F.col("target_id").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    j = ranked.join(pairs, F.col("target_id").eqNullSafe(F.col("_t")))
+    pct = F.when(F.col("_n") > 1, (F.col("rank") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    return j.withColumn("pct_rank", F.round(pct, 6)).drop("_t", "_n")
 
 
 def grade_histogram(scored: DataFrame) -> DataFrame:

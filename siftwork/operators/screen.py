@@ -60,7 +60,7 @@ def scan_result(df: DataFrame) -> DataFrame:
         (F.col("scan_title"), m["title_ok"]),
         (F.col("scan_summary"), m["summary_ok"]),
         ((words >= 200) & (words <= 1200),
-         F.concat(F.lit("Resume length ("), words.cast("string"), F.lit(" words) is within acceptable range."))),
+         T.filled(m["length_ok"], words=words)),
     )
     return df.withColumn("scan_issues", issues).withColumn("scan_strengths", strengths) \
         .withColumn("scan_passed", F.size("scan_issues") == 0)
@@ -102,11 +102,10 @@ def verdict(df: DataFrame, density_col: str = "density_percent") -> DataFrame:
     score = F.greatest(F.lit(0), F.least(F.lit(100), raw))
     density_txt = F.regexp_replace(F.format_number(density, 1), ",", "")
     reasons = rule_array(
-        (F.size(missing) > 0, F.concat(F.lit("Missing critical sections: "), F.array_join(missing, ", "), F.lit("."))),
-        (F.size("parse_issues") > 0,
-         F.concat(F.size("parse_issues").cast("string"), F.lit(" ATS parsing issue(s) detected."))),
+        (F.size(missing) > 0, T.filled(m["missing"], sections=F.array_join(missing, ", "))),
+        (F.size("parse_issues") > 0, T.filled(m["parse"], n=F.size("parse_issues"))),
         (F.size("scan_issues") > 0, m["scan"]),
-        (density < 30, F.concat(F.lit("Low keyword match ("), density_txt, F.lit("%) with job description."))),
+        (density < 30, T.filled(m["density"], density=density_txt)),
     )
     v = F.when(score >= 70, "PASS").when(score >= 45, "CONDITIONAL").otherwise("FAIL")
     tail = (F.when(score >= 70, F.when(F.size(reasons) == 0, F.array(F.lit(m["pass_default"]))).otherwise(F.array()))
@@ -124,9 +123,8 @@ def recommendations(df: DataFrame, missing_col: str = "top_missing_list") -> Dat
     crit = F.transform(F.filter("weak_sections", lambda w: w["severity"] == "critical"),
                        lambda w: rec("critical", w["reason"]))
     miss = F.coalesce(F.col(missing_col), F.array().cast("array<string>"))
-    kw = F.when(F.size(miss) > 0, F.array(rec("medium", F.concat(
-        F.lit("Add these missing keywords from the job description: "),
-        F.array_join(miss, ", "), F.lit("."))))).otherwise(
+    kw = F.when(F.size(miss) > 0, F.array(rec("medium", T.filled(
+        L.VERDICT_MESSAGES["missing_keywords"], words=F.array_join(miss, ", "))))).otherwise(
         F.array().cast("array<struct<priority:string,action:string>>"))
     high = F.transform(F.filter("weak_sections", lambda w: w["severity"] == "high"), lambda w: rec("high", w["reason"]))
     return df.withColumn("recommendations", F.concat(parse, crit, kw, high))

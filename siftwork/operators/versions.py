@@ -7,32 +7,48 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.numbering import numbered
 
-VERSION_SCHEMA = ("session_id string, version_id int, label string, text string, score double, grade string, "
-                  "dims map<string,double>")
+VERSION_SCHEMA = ("session_id string, version_id bigint, label string, text string, score double, grade string, "
+                  "dims map<string,double>, ts bigint, entry string")
 NOT_FOUND = "One or both versions not found"
 
 
-def version_append(rows: DataFrame, order_col: str = "ts", session_col: str = "session_id", label_col: str = "label",
-                   text_col: str = "text", score_col: str | None = None, grade_col: str | None = None,
-                   dims_col: str | None = None) -> DataFrame:
-    """Assign 1-based ids in append order per session; reject empty label or text; defaults:
-    session 'default', score 0, grade 'N/A', empty dimensions."""
-    label = T.py_strip(F.coalesce(F.col(label_col), F.lit("")))
-    text = T.py_strip(F.coalesce(F.col(text_col), F.lit("")))
-    kept = rows.withColumn("_label", label).withColumn("_text", text) \
-        .where((F.col("_label") != "") & (F.col("_text") != ""))
+def version_entries(rows: DataFrame, order_col: str = "ts", session_col: str = "session_id", label_col: str = "label",
+                    text_col: str = "text", score_col: str | None = None, grade_col: str | None = None,
+                    dims_col: str | None = None) -> DataFrame:
+    """What is to be saved: blank labels and texts rejected; defaults: session 'default', score 0, grade 'N/A', empty
+    dimensions. ``entry`` names a save (session, time, label, text), so saving it again can be told."""
+    label, text = T.py_strip(label_col), T.py_strip(text_col)
     session = F.coalesce(F.col(session_col).cast("string"), F.lit("default"))
-    kept = kept.withColumn("_session", session)
-    w = Window.partitionBy("_session").orderBy(F.col(order_col))
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
     grade = F.coalesce(F.col(grade_col), F.lit("N/A")) if grade_col else F.lit("N/A")
     dims = (F.coalesce(F.col(dims_col), F.create_map().cast("map<string,double>")) if dims_col
             else F.create_map().cast("map<string,double>"))
-    return kept.select(
-        F.col("_session").alias("session_id"), F.row_number().over(w).alias("version_id"),
-        F.col("_label").alias("label"), F.col("_text").alias("text"), score.alias("score"), grade.alias("grade"),
-        dims.alias("dims"))
+    kept = rows.select(session.alias("session_id"), F.col(order_col).alias("ts"), label.alias("label"), text.alias("text"),
+                       score.alias("score"), grade.alias("grade"), dims.alias("dims")).where("label != '' and text != ''")
+    time = F.coalesce(F.col("ts").cast("string"), F.lit(""))
+    return kept.withColumn("entry", F.sha2(F.concat_ws("\u0001", "session_id", time, "label", "text"), 256))
+
+
+def version_append(rows: DataFrame, order_col: str = "ts", session_col: str = "session_id", label_col: str = "label",
+                   text_col: str = "text", score_col: str | None = None, grade_col: str | None = None,
+                   dims_col: str | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """The versions that saving ``rows`` adds to the table ``existing`` (none: an empty one), with consecutive ids.
+
+    Entries that the table holds already are left out, so a repeated append adds nothing; equal entries are one save.
+    A session's new ids follow its greatest one in the order of the time, then the entry; they are counted over ranges
+    of that order, so one session may hold a third of all rows."""
+    new = version_entries(rows, order_col, session_col, label_col, text_col, score_col, grade_col, dims_col).dropDuplicates(["entry"])
+    if existing is not None:
+        new = new.join(existing.select("entry"), "entry", "left_anti")
+    new = numbered(new, ["session_id"], [F.col("ts"), F.col("entry")], "_place")
+    last = F.lit(0)
+    if existing is not None:
+        heads = existing.groupBy("session_id").agg(F.max("version_id").alias("_last"))
+        new = new.join(heads, "session_id", "left")
+        last = F.coalesce("_last", F.lit(0))
+    return new.select("session_id", (last + F.col("_place")).cast("long").alias("version_id"), "label", "text", "score", "grade", "dims", "ts", "entry")
 
 
 def version_list(versions: DataFrame, session_id: str | None = None) -> DataFrame:

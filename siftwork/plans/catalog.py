@@ -8,6 +8,7 @@ result in DuckDB over the pre-registered views.  Output columns are scalars
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import match as M
 from ..sources import corpus as C
-from ..session import materialise
+from ..session import checkpoint_dir, materialise
 from ..sources import derived as D
 from ..functions import dims
 from ..operators import extract as X
@@ -28,6 +29,8 @@ from ..operators import advise as AD
 from ..streaming import stream as ST
 from ..operators import keywords as KW
 from ..operators import repos as RE
+from ..operators import sketches as SK
+from ..operators import vectors as VX
 from ..operators import versions as VE
 from . import features as FE
 from . import sqlfeatures as SF
@@ -304,6 +307,14 @@ def q_readability_by_group(spark, sf):
     return X.readability_by_group(r, "lang", "source")
 
 
+@register("readability_by_group_merged")
+def q_readability_merged(spark, sf):
+    """The same groups from the mergeable parts of each source and language, without reading a document twice."""
+    d = _clean_docs(spark, sf)
+    parts = SK.readability_parts(d.select("doc_id", "lang", "source", *X.readability_columns(F.col("text"))), "lang", "source")
+    return SK.merged_readability(parts, "lang", "source").select("lang", "source", "n_docs", F.round("avg_fk", 6).alias("avg_fk"), "median_fk", "min_fk", "max_fk")
+
+
 @register("quantification_count", f"with {CLEAN_DOCS} select doc_id, {S.rcount('text', r'\b\d+\b')} as quant_count from cdocs")
 def q_quant(spark, sf):
     return X.quantification_count(_clean_docs(spark, sf))
@@ -474,15 +485,20 @@ def q_embedding(spark, sf):
     return e.select("doc_id", "target_id", F.round("semantic_similarity", 6).alias("semantic_similarity"))
 
 
+QUERY_STEP = 20
+
+
 @register("embedding_topk", f"""
-with {EMB_SQL} select target_id, rank, doc_id, round(semantic_similarity, 6) as semantic_similarity from (
-  select *, row_number() over (partition by target_id order by round(semantic_similarity, 6) desc, doc_id) as rank from emb)
-where rank <= 5
+with v as (select vec_id, embedding::double[] as e from embeddings),
+s as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) as similarity
+  from v q join v on q.vec_id <> v.vec_id where q.vec_id % {QUERY_STEP} = 0)
+select query_id, rank, vec_id, similarity from (
+  select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s) where rank <= 5
 """)
 def q_embedding_topk(spark, sf):
-    e = M.embedding_similarity(_density_pairs(spark, sf), C.load(spark, sf, "embeddings"))
-    e = e.select("doc_id", "target_id", F.round("semantic_similarity", 6).alias("semantic_similarity"))
-    return M.top_k_per_target(e, "semantic_similarity", 5).select("target_id", "rank", "doc_id", "semantic_similarity")
+    """The 5 nearest of all vectors for every vector whose id is divisible by 20, through the index, exactly."""
+    v = C.load(spark, sf, "embeddings")
+    return VX.nearest(VX.build_index(v), v.where(F.col("vec_id") % QUERY_STEP == 0), k=5)
 
 
 @register("blended_similarity", f"""
@@ -652,7 +668,17 @@ select * from (select target_id, doc_id, final_score,
 where rank <= 10
 """)
 def q_rank(spark, sf):
-    r = SC.rank_documents(_scored(spark, sf).select("target_id", "doc_id", "final_score"), 10)
+    r = SC.rank_documents(materialise(_scored(spark, sf).select("target_id", "doc_id", "final_score")), 10)
+    return r.select("target_id", "doc_id", "final_score", "rank", "pct_rank")
+
+
+@register("rank_all", f"""
+with {SCORED_SQL}
+select target_id, doc_id, final_score, row_number() over (partition by target_id order by final_score desc, doc_id) as rank,
+  round(percent_rank() over (partition by target_id order by final_score desc, doc_id), 6) as pct_rank from scored
+""")
+def q_rank_all(spark, sf):
+    r = SC.rank_all(materialise(_scored(spark, sf).select("target_id", "doc_id", "final_score")))
     return r.select("target_id", "doc_id", "final_score", "rank", "pct_rank")
 
 
@@ -753,6 +779,19 @@ def q_rollup(spark, sf):
 
 
 
+@register("verdict_rollup_merged", f"""
+with {SCREEN_DOCS}, {SCREEN_PAIRS}
+select target_id, verdict, count(*) as n_pairs, sum(len(parse_issues))::bigint as n_parse_issues,
+  sum(len(scan_issues))::bigint as n_scan_issues, sum(len(weak))::bigint as n_weak_sections from vv group by cube(target_id, verdict)
+""")
+def q_rollup_merged(spark, sf):
+    """The cube from stored parts of two halves of the pairs, merged without the pairs."""
+    s = _screen_pairs(spark, sf)
+    s = materialise(s.select("doc_id", "target_id", "verdict", "parse_issues", "scan_issues", "weak_sections"))
+    halves = [materialise(SK.verdict_parts(s.where(F.pmod("doc_id", F.lit(2)) == i), "target_id", "verdict")) for i in (0, 1)]
+    return SK.merged_verdicts(halves[0].unionByName(halves[1]), "target_id", "verdict").drop("docs_estimate")
+
+
 # ---------------------------------------------------------------- 2.6 rewriting
 BULLETS = f"""bt as (select doc_id, bullet_no, bullet from (
   select doc_id, unnest(generate_series(1, len(bl))) as bullet_no, unnest(bl) as bullet
@@ -810,21 +849,44 @@ def q_rewrite_document(spark, sf):
     return r.select("doc_id", F.length("rewritten").alias("n_chars"), F.md5("rewritten").alias("rewritten_md5"))
 
 
-@register("apply_replacements")
+@register("apply_replacements", f"""with {CAND}, p as (select doc_id, text, list_transform({SF.bullets('text')},
+  lambda b: {{'o': b, 'i': {SF.rewrite(S.strip('b'))}}}) as pairs from cand),
+r as (select doc_id, list_reduce(list_prepend({{'o': text, 'i': ''}}, pairs), lambda a, x:
+  {{'o': case when x.o <> '' and x.i <> '' then replace(a.o, x.o, x.i) else a.o end, 'i': ''}}).o as improved from p)
+select doc_id, md5(improved) as improved_md5, length(improved) as n_chars from r""")
 def q_apply_replacements(spark, sf):
-    """Fold each document's analysed (original, improved) bullet pairs over its text."""
-    b = _bullets(spark, sf)
-    pairs = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "bullet_no", F.col("bullet").alias("original"), "improved"))).alias("pairs"))
-    c = _cand(spark, sf).join(pairs, "doc_id", "left")
-    out = RW.apply_replacements(F.col("text"), F.coalesce("pairs", F.array().cast(
-        "array<struct<bullet_no:int,original:string,improved:string>>")))
+    """Fold each document's analysed (original, improved) bullet pairs over its text; local to the row."""
+    pairs = F.transform(X.bullets_array(F.col("text")), lambda b: F.struct(b.alias("original"), RW.rewrite_line(T.py_strip(b)).alias("improved")))
+    c = T.once(_cand(spark, sf), "pairs", pairs)
+    out = RW.apply_replacements(F.col("text"), F.col("pairs"))
     return c.select("doc_id", F.md5(out).alias("improved_md5"), F.length(out).alias("n_chars"))
 
 
-@register("render_html_lines")
+HTML_DATE = "2024-01-01"
+
+
+def _escape_sql(x):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, {S.q(a)}, {S.q(b)})"
+    return x
+
+
+_MARKED = "regexp_matches({}, '^[-*•‣◦]')"
+
+
+@register("render_html_lines", f"""with {CAND},
+p as (select doc_id, unnest(generate_series(1, len(string_split(text, chr(10) || chr(10))))) as no, unnest(string_split(text, chr(10) || chr(10))) as para from cand),
+l as (select doc_id, no, list_filter(list_transform(string_split(para, chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') as ls from p),
+h as (select doc_id, no, array_to_string(list_transform(ls, lambda x, i: case when {_MARKED.format('x')} then
+    case when i > 1 and {_MARKED.format('ls[i - 1]')} then '' else '<ul>' || chr(10) end
+    || '<li>' || {_escape_sql("regexp_replace(x, '^[-*•‣◦][ \t\n\r\f\x0B]*', '')")} || '</li>' || chr(10)
+    || case when i < len(ls) and {_MARKED.format('ls[i + 1]')} then '' else '</ul>' || chr(10) end
+  else '<p>' || {_escape_sql('x')} || '</p>' || chr(10) end), '') as part from l),
+r as (select doc_id, '<h1>Optimized document</h1>' || chr(10) || string_agg(part, '' order by no)
+  || '<div class="watermark">Optimized on {HTML_DATE}</div>' || chr(10) as html from h group by doc_id)
+select doc_id, length(html) as n_chars, md5(html) as html_md5 from r""")
 def q_render_html(spark, sf):
-    r = _cand(spark, sf).select("doc_id", RW.render_html_lines(F.col("text"), "2024-01-01").alias("html"))
+    r = _cand(spark, sf).select("doc_id", RW.render_html_lines(F.col("text"), HTML_DATE).alias("html"))
     return r.select("doc_id", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
@@ -998,17 +1060,24 @@ def q_overall_summary(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.8 versions
-def _versions(spark, sf):
+def _saves(spark, sf):
     conv = C.load(spark, sf, "conversations")
     clean = T.clean_text("text")
     r = conv.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), F.col("role").alias("label"),
-                    "text", *[c for c in X.readability_columns(clean) if True], T.quant_count(clean).alias("q"))
+                    "text", *X.readability_columns(clean), T.quant_count(clean).alias("q"))
     dims_ = F.map_from_entries(F.filter(F.array(
         F.struct(F.lit("readability").alias("k"), F.col("flesch_kincaid_score").alias("v")),
         F.when(F.col("q") > 0, F.struct(F.lit("quantification").alias("k"), F.col("q").cast("double").alias("v")))),
         lambda x: x.isNotNull()))
-    r = r.withColumn("dims", dims_)
-    return VE.version_append(r, "ts", "session_id", "label", "text", "flesch_kincaid_score", "readability_grade", "dims")
+    return r.withColumn("dims", dims_)
+
+
+def _append(rows, existing=None):
+    return VE.version_append(rows, "ts", "session_id", "label", "text", "flesch_kincaid_score", "readability_grade", "dims", existing)
+
+
+def _versions(spark, sf):
+    return _append(_saves(spark, sf))
 
 
 VERSIONS_SQL = f"""
@@ -1021,13 +1090,29 @@ vdims as (select session_id, version_id, 'readability' as dimension, score as va
           union all select session_id, version_id, 'quantification', q::double from ver where q > 0)"""
 
 
-@register("version_append", f"""with {VERSIONS_SQL}
+_APPENDED_SQL = f"""with {VERSIONS_SQL}
 select session_id, version_id, label, md5(vtext) as text_md5, score, grade,
-  (select count(*) from vdims d where d.session_id = ver.session_id and d.version_id = ver.version_id) as n_dims from ver""")
+  (select count(*) from vdims d where d.session_id = ver.session_id and d.version_id = ver.version_id) as n_dims from ver"""
+
+
+def _appended(v):
+    return v.select("session_id", "version_id", "label", F.md5("text").alias("text_md5"), "score", "grade", F.size("dims").alias("n_dims"))
+
+
+@register("version_append", _APPENDED_SQL)
 def q_version_append(spark, sf):
-    v = _versions(spark, sf)
-    return v.select("session_id", "version_id", "label", F.md5("text").alias("text_md5"), "score", "grade",
-                    F.size("dims").alias("n_dims"))
+    return _appended(_versions(spark, sf))
+
+
+FIRST_TURNS = 3
+
+
+@register("version_append_again", _APPENDED_SQL)
+def q_version_append_again(spark, sf):
+    """Two appends, the second of which repeats what the first has saved: the ids of one."""
+    rows = _saves(spark, sf)
+    first = materialise(_append(rows.where(F.col("ts") < FIRST_TURNS)))
+    return _appended(first.unionByName(_append(rows, first)))
 
 
 @register("version_list", f"with {VERSIONS_SQL} select session_id, version_id, label, score, grade from ver")
@@ -1149,10 +1234,6 @@ def q_expand_skills(spark, sf):
     return e.select("owner", "name", F.array_join("skills", "|").alias("skills"))
 
 
-def _title_sql(x):
-    return f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(p[1]) || lower(p[2:])), '')"
-
-
 @register("repo_lines", f"""with {REPOS}, {STACK_SQL},
 j as (select r.*, coalesce(s.tech_stack, []) as st, {_title_sql("translate(r.name, '-_', '  ')")} as tname
       from repos r left join stack s using (owner, name)),
@@ -1174,6 +1255,27 @@ def q_repo_lines(spark, sf):
 
 
 
+_TITLE_TOP = _title_sql("replace(b.name, '-', ' ')")
+
+
+@register("owner_lines", f"""with {REPOS},
+lg as (select owner, language, count(*) as n, min(pos) as p from repos where coalesce(language, '') <> '' group by all),
+lt as (select owner, string_agg(language, ', ' order by n desc, p) as langs from (select *, row_number() over (partition by owner order by n desc, p) as k from lg)
+  where k <= 4 group by owner),
+tot as (select owner, count(*) as n, coalesce(sum(stars), 0)::bigint as stars from repos group by owner),
+best as (select * from (select owner, name, coalesce(description, '') as d, row_number() over (partition by owner order by stars desc, pos) as k from repos) where k = 1),
+o as (select tot.owner, list_filter([
+  'Maintained an active GitHub profile with ' || tot.n || ' public repositories across ' || coalesce(langs, 'multiple languages') || '.',
+  case when tot.stars > 0 then 'Open-source contributions recognized with ' || tot.stars || '+ total GitHub stars across projects.' end,
+  case when b.d <> '' then 'Featured project: ' || {_TITLE_TOP} || ' — ' || regexp_replace(b.d, '[.]+$', '') || '.' end], lambda x: x is not null) as lines
+  from tot left join lt using (owner) left join best b using (owner))
+select owner, len(lines) as n_lines, array_to_string(lines, '|') as lines from o""")
+def q_owner_lines(spark, sf):
+    lines = RE.owner_lines(_repos(spark, sf))
+    return lines.select("owner", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("lines"))
+
+
+
 # ---------------------------------------------------------------- 2.2 keyword phrases
 RAKE_SQL = f"""{_rake_occ_sql('cdocs')},
 wocc as (select doc_id, ph_idx, phrase, unnest(generate_series(0, len(string_split(phrase, ' ')) - 1)) as w_idx,
@@ -1213,14 +1315,32 @@ def q_weak_terms(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.1 sources (targets, payloads)
-@register("repo_payload_scan", """
+@register("event_props_scan", """
 select event_id, coalesce(try_cast(json_extract(props, '$.k') as bigint), 0) as k,
   coalesce(json_extract_string(props, '$.name'), '') as name from events""")
-def q_payload_scan(spark, sf):
+def q_props_scan(spark, sf):
     e = C.load(spark, sf, "events").select("event_id", "props")
     return C.repo_payload_scan(e, "props", "k bigint, name string")
 
 
+@register("repo_payload_scan", f"""with {REPOS}
+select owner, pos, name, 'u' || owner || '/' || name as full_name, case when forks % 3 = 0 then '' else description end as description, language,
+  case when pos % 2 = 0 then '' else 'https://github.com/u' || owner || '/' || name end as html_url,
+  case when pos % 5 = 0 then 0 else stars end as stargazers_count, forks as forks_count,
+  case when pos % 7 = 0 then '' else array_to_string(topics, '|') end as topics from repos""")
+def q_payload_scan(spark, sf):
+    """JSON payloads of the repositories, with some fields absent or null, read back through the payload schema."""
+    r = _repos(spark, sf)
+    full = F.concat(F.lit("u"), F.col("owner"), F.lit("/"), F.col("name"))
+    fields = F.struct("name", full.alias("full_name"), F.when(F.col("forks") % 3 != 0, F.col("description")).alias("description"), "language",
+                      F.when(F.col("pos") % 2 != 0, F.concat(F.lit("https://github.com/"), full)).alias("html_url"),
+                      F.when(F.col("pos") % 5 != 0, F.col("stars")).alias("stargazers_count"), F.col("forks").alias("forks_count"),
+                      F.when(F.col("pos") % 7 != 0, F.col("topics")).alias("topics"))
+    payload = F.when(F.col("pos") % 3 == 0, F.to_json(fields, {"ignoreNullFields": "false"})).otherwise(F.to_json(fields))
+    p = C.repo_payload_scan(r.select("owner", "pos", payload.alias("payload")))
+    return p.withColumn("topics", F.array_join("topics", "|"))
+
+
 # ---------------------------------------------------------------- 2.10 streaming
 LINT_PHRASES = ["error", "purchase", "click", "signup", "view"]
 LINT_GAP_MIN = 30
@@ -1238,19 +1358,48 @@ select user_id, session_start, session_end, n_events, last_text,
   replace({S.q(L.LIVE_HINT_MESSAGE)}, '{{phrase}}', {" ".join("case when contains(lower(last_text), " + S.q(p) + ") then " + S.q(p) + " else" for p in LINT_PHRASES)} null {"end " * len(LINT_PHRASES)}) as hint
 from g""")
 def q_debounced_lint(spark, sf):
-    e = C.load(spark, sf, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("text"))
-    return ST.debounced_lint(e, f"{LINT_GAP_MIN} minutes", LINT_PHRASES, id_col="event_id")
+    return ST.debounced_lint(_edits(C.load(spark, sf, "events")), f"{LINT_GAP_MIN} minutes", LINT_PHRASES, id_col="event_id")
+
+
+def _edits(events):
+    return events.select("user_id", "ts", "event_id", F.col("event_type").alias("text"))
+
+
+def _stream_home(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@register("stream_score")
+def _events_stream(spark, sf):
+    schema = C.load(spark, sf, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs a zone; results go back without one
+
+
+LINT_DELAY_MIN = 10
+
+
+@register("debounced_lint_stream", f"""select * from ({ORACLE['debounced_lint']})
+where session_end <= (select date_trunc('milliseconds', max(ts)) from events) - interval {LINT_DELAY_MIN} minute""")
+def q_debounced_lint_stream(spark, sf):
+    """The events as a stream of edits: the sessions that the watermark has closed."""
+    closed = ST.lint_stream(_edits(_events_stream(spark, sf)), _stream_home(spark, "lint"), f"{LINT_GAP_MIN} minutes",
+                            f"{LINT_DELAY_MIN} minutes", phrases=LINT_PHRASES, id_col="event_id")
+    return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@register("stream_score", f"""
+with {SCREEN_DOCS}, {SCREEN_PAIRS},
+sub as (select user_id::varchar as session_id, event_id, ts, event_id % (select count(*) from documents) as doc_id from events)
+select session_id, row_number() over (partition by session_id order by ts, event_id, target_id nulls first) as version_id, event_id, doc_id, target_id,
+  ats_score, verdict, density_percent, len(parse_issues) as n_parse_issues from sub join vv using (doc_id)""")
 def q_stream_score(spark, sf):
-    """Stream the documents table through the scorer (availableNow) and return the version table."""
-    import uuid
-    from ..session import checkpoint_dir
-    out = f"{checkpoint_dir(spark).rstrip('/')}/stream_score_{uuid.uuid4().hex}"
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    v = ST.stream_score(spark, sf, schema, out, glob="documents.parquet")
-    return v.select("session_id", "version_id", "doc_id", "ats_score", "verdict", "n_parse_issues")
+    """Every event as a submission of a document by its user, streamed through the scorer."""
+    docs = _docs(spark, sf)
+    pairs, texts = _doc_pairs(spark, sf)
+    n = docs.count()
+    sub = _events_stream(spark, sf).select(F.col("user_id").cast("string").alias("session_id"), "event_id", "ts", (F.col("event_id") % n).alias("doc_id"))
+    v = ST.stream_score(sub, _stream_home(spark, "stream_score"), docs, texts, pairs, "1 hour")
+    return v.select("session_id", "version_id", "event_id", "doc_id", "target_id", "ats_score", "verdict", "density_percent", "n_parse_issues")
 
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -18,25 +18,44 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_corpus(spark: SparkSession, path: str, extensions=tuple(L.ALLOWED_EXTENSIONS),
-                max_bytes: int = L.MAX_UPLOAD_BYTES) -> DataFrame:
-    """A directory of text files as (path, doc_id, text): allowed extension (case-folded,
-    after the last '.'), at most ``max_bytes``; bytes decoded as UTF-8 with bad bytes dropped.
+#: One valid UTF-8 sequence, with every byte written as the character of the same number.
+UTF8_SEQUENCE = ("[\\x00-\\x7F]|[\\xC2-\\xDF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}"
+                 "|\\xED[\\x80-\\x9F][\\x80-\\xBF]|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2}")
+#: Endings whose bytes are text; other allowed endings need a decoder of their own.
+TEXT_EXTENSIONS = ("txt",)
 
-    The size filter is applied on the file-listing ``length`` column, before content is used.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+def decode_utf8(content: Column) -> Column:
+    """The text of UTF-8 bytes; bytes that belong to no valid sequence are dropped, a real U+FFFD stays.
+
+    Valid content, the common case, is decoded as it is; the pattern runs on the rest alone, a sequence at a time."""
+    as_chars = F.decode(content, "ISO-8859-1")
+    valid = F.encode(F.regexp_replace(as_chars, f"({UTF8_SEQUENCE})|[\\x80-\\xFF]", "$1"), "ISO-8859-1")
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(valid.cast("string"))
+
+
+def read_files(spark: SparkSession, path: str, extensions=tuple(L.ALLOWED_EXTENSIONS),
+               max_bytes: int = L.MAX_UPLOAD_BYTES) -> DataFrame:
+    """A directory of files as (path, doc_id, n_bytes, reason, text), one row for every file, also a refused one
+    (but for files of zero bytes, which Spark's file source doesn't list).
+
+    reason is "ok", "type" (ending after the last dot, in any case, not allowed, or none), "too_large" (over
+    ``max_bytes``) or "no_decoder" (allowed, but not a text file: its bytes aren't taken for text). text is null unless
+    ok. The listing's length decides, so the bytes of files that are too large are never read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract(F.col("path"), r"\.([^./]*)$", 1))
-    kept = raw.where(ext.isin(*extensions) & (F.col("length") <= max_bytes) & F.col("path").contains("."))
-    # Drop bytes that are not valid UTF-8 (errors="ignore"): try_validate_utf8 keeps valid rows,
-    # and make_valid_utf8 replaces invalid sequences by U+FFFD, which we then drop.
-    text = F.regexp_replace(F.make_valid_utf8(F.col("content")), "�", "")
-    return kept.select(
-        F.col("path"),
-        F.xxhash64(F.col("path")).alias("doc_id"),
-        text.alias("text"),
-        F.col("length").alias("n_bytes"),
-    )
+    reason = (F.when(~ext.isin(*extensions), "type").when(F.col("length") > max_bytes, "too_large")
+              .when(~ext.isin(*TEXT_EXTENSIONS), "no_decoder").otherwise("ok"))
+    cols = ["path", F.xxhash64("path").alias("doc_id"), F.col("length").alias("n_bytes"), reason.alias("reason")]
+    ok = files.where((F.col("length") <= max_bytes) & (reason == "ok")).select(*cols, decode_utf8(F.col("content")).alias("text"))
+    return ok.unionByName(files.where(reason != "ok").select(*cols, F.lit(None).cast("string").alias("text")))
+
+
+def read_corpus(spark: SparkSession, path: str, extensions=tuple(L.ALLOWED_EXTENSIONS),
+                max_bytes: int = L.MAX_UPLOAD_BYTES) -> DataFrame:
+    """The text files of a directory that are accepted, as (path, doc_id, text, n_bytes); ``read_files`` also has the
+    others, with the reason."""
+    return read_files(spark, path, extensions, max_bytes).where("reason = 'ok'").select("path", "doc_id", "text", "n_bytes")
 
 
 def clean_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -51,7 +70,7 @@ def clean_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def admission_reason(text_col: str = "text") -> F.Column:
+def admission_reason(text_col: str = "text") -> Column:
     n = F.length(T.py_strip(F.coalesce(F.col(text_col), F.lit(""))))
     return (F.when(n == 0, F.lit("empty"))
             .when(n < L.MIN_DOCUMENT_CHARS, F.lit("too_short"))
