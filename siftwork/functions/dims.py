@@ -27,10 +27,6 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return _dim(spark, L.lexicon_rows(), "term string, norm string, canonical string, category string, n_tokens int")
 
 
-def lexicon_max_tokens() -> int:
-    return max(r[4] for r in L.lexicon_rows())
-
-
 def gazetteer(spark: SparkSession) -> DataFrame:
     return _dim(spark, [(g, i) for i, g in enumerate(L.GAZETTEER)], "name string, ord int")
 

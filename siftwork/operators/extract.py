@@ -71,19 +71,18 @@ def _gram_at(toks: Column, n: int):
     return lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(toks, i, n), " ").alias("gram"))
 
 
-def _gram_rows(docs: DataFrame, text_col: str, max_n: int, lower: bool = True) -> DataFrame:
-    """(doc_id, pos, gram): token n-grams (n <= max_n) with their start position.
-
-    The token array is projected once; the n-gram lambdas only index into it.
-    """
+def _gram_rows(docs: DataFrame, text_col: str, norms: list[str], lower: bool = True) -> DataFrame:
+    """(doc_id, pos, gram): the token n-grams that begin with the first token of a phrase of as many tokens in
+    ``norms``, with their start position. So few rows more than there are hits leave the document's row."""
     norm = T.token_normal_form(F.col(text_col)) if lower else _case_normal_form(F.col(text_col))
-    toks = docs.select("doc_id", F.split(norm, " ").alias("_toks"))
+    toks = T.once(docs.select("doc_id", text_col), "_toks", F.split(norm, " "))
     t = F.col("_toks")
-    parts = []
-    for n in range(1, max_n + 1):
-        g = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
-                        _gram_at(t, n))
-        parts.append(F.when(F.size(t) >= n, g).otherwise(F.array().cast("array<struct<pos:int,gram:string>>")))
+    first: dict[int, set] = {}
+    for x in norms:
+        first.setdefault(len(x.split(" ")), set()).add(x.split(" ")[0])
+    starts = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
+                                lambda i: F.get(t, i - 1).isin(*sorted(first[n])))
+    parts = [F.transform(starts(n), _gram_at(t, n)) for n in sorted(first)]
     return toks.select("doc_id", F.explode(F.flatten(F.array(*parts))).alias("g")).select(
         "doc_id", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
 
@@ -100,11 +99,12 @@ def lexicon_match(docs: DataFrame, spark: SparkSession, text_col: str = "text",
                   lexicon: DataFrame | None = None) -> DataFrame:
     """(doc_id, category, canonical): distinct lexicon terms of each document.
 
-    Token n-grams (n up to the longest lexicon phrase) equi-join the broadcast lexicon; only
-    hits survive the join, and the distinct is partially aggregated map-side.
+    Token n-grams that begin like a lexicon phrase equi-join the broadcast lexicon (a dimension of bounded rows); the
+    distinct is partially aggregated map-side.
     """
     lex = lexicon if lexicon is not None else dims.lexicon(spark)
-    grams = _gram_rows(docs, text_col, dims.lexicon_max_tokens())
+    norms = [r.norm for r in lex.select("norm").collect()] if lexicon is not None else [r[1] for r in L.lexicon_rows()]
+    grams = _gram_rows(docs, text_col, norms)
     hits = grams.join(F.broadcast(lex.select("norm", "canonical", "category")), F.col("gram") == F.col("norm"))
     return hits.select("doc_id", "category", "canonical").distinct()
 
@@ -117,8 +117,8 @@ def gazetteer_entities(docs: DataFrame, spark: SparkSession, text_col: str = "te
     """(doc_id, entities): case-sensitive names longer than 2 chars, distinct, in order of first use."""
     gaz = dims.gazetteer(spark).where(F.length("name") > 2) \
         .withColumn("norm", _case_normal_form(F.col("name")))
-    max_n = max(len(L.token_normal_form(g).split(" ")) for g in L.GAZETTEER)
-    grams = _gram_rows(docs, text_col, max_n, lower=False)
+    norms = [r.norm for r in gaz.select("norm").collect()]
+    grams = _gram_rows(docs, text_col, norms, lower=False)
     hits = grams.join(F.broadcast(gaz), F.col("gram") == F.col("norm")) \
         .groupBy("doc_id", "name", "ord").agg(F.min("pos").alias("first_pos"))
     ordered = hits.groupBy("doc_id").agg(

@@ -35,32 +35,38 @@ def with_phrases(docs: DataFrame, text_col: str = "text", out: str = "_phrases")
     return T.once(docs, out, rake_phrases(F.col(text_col)))
 
 
-def run_starts(values: str) -> Column:
+def starts_of(values: str) -> Column:
     """Places (from 0) in the sorted array column ``values`` at which another value begins."""
     v = F.col(values)
-    return F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+    starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+    return F.when(F.size(v) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
 def with_keywords(docs: DataFrame, text_col: str = "text", k: int = 20, out: str = "keywords") -> DataFrame:
     """``docs`` and an array column of its best ``k`` phrase occurrences (phrase, score): RAKE score, that is degree /
     frequency summed over the phrase's words in order; ties by phrase descending; score rounded to 2.
 
-    The words of all phrases are sorted with their phrase's length; a word's frequency is the length of its run, and
-    its degree the sum of the run's lengths."""
+    The words of all phrases are sorted with their places: a word's frequency is the length of its run, its degree the
+    sum of the run's phrase lengths. Sorted back by place, the words of a phrase are a run again, whose sum is its score.
+    So the work is that of two sorts, also in the longest text."""
     d = with_phrases(docs, text_col)
-    words = F.flatten(F.transform("_phrases", lambda p: F.transform(F.split(p, " "), lambda w: F.struct(
-        w.alias("w"), F.size(F.split(p, " ")).alias("n")))))
-    d = T.once(d, "_words", F.array_sort(words))
-    d = T.once(d, "_w", F.transform("_words", lambda x: x["w"]))
-    d = T.once(d, "_at", F.when(F.size("_w") > 0, run_starts("_w")).otherwise(F.array().cast("array<int>")))
-    length = lambda i, j: F.coalesce(F.get("_at", j + 1), F.size("_w")) - i
-    ratio = F.transform("_at", lambda i, j: F.aggregate(
-        F.slice("_words", i + 1, length(i, j)), F.lit(0), lambda acc, x: acc + x["n"]) / length(i, j))
-    d = T.once(d, "_ratio", F.map_from_arrays(F.transform("_at", lambda i: F.get("_w", i)), ratio))
-    score = lambda p: F.aggregate(F.split(p, " "), F.lit(0.0), lambda acc, w: acc + F.element_at("_ratio", w))
-    best = F.slice(F.sort_array(F.transform("_phrases", lambda p: F.struct(score(p).alias("s"), p.alias("p"))), asc=False), 1, k)
+    words = F.flatten(F.transform(F.transform("_phrases", lambda p: F.split(p, " ")), lambda ws, pi: F.transform(ws, lambda w, wi: F.struct(
+        w.alias("w"), F.size(ws).alias("n"), pi.alias("pi"), wi.alias("wi")))))
+    d = T.once(d, "_words", F.sort_array(words))
+    d = T.once(d, "_w", F.col("_words.w"))
+    d = T.once(d, "_at", starts_of("_w"))
+    length = lambda at, of: lambda i, j: F.coalesce(F.get(at, j + 1), F.size(of)) - i
+    run = lambda i, j: F.slice("_words", i + 1, length("_at", "_w")(i, j))
+    d = T.once(d, "_ratio", F.transform("_at", lambda i, j: F.aggregate(run(i, j), F.lit(0), lambda acc, x: acc + x["n"]) / length("_at", "_w")(i, j)))
+    placed = F.transform("_at", lambda i, j: F.transform(run(i, j), lambda x: F.struct(x["pi"].alias("pi"), x["wi"].alias("wi"), F.get("_ratio", j).alias("r"))))
+    d = T.once(d, "_placed", F.sort_array(F.flatten(placed)))
+    d = T.once(d, "_pi", F.col("_placed.pi"))
+    d = T.once(d, "_from", starts_of("_pi"))
+    score = lambda i, j: F.aggregate(F.slice("_placed", i + 1, length("_from", "_pi")(i, j)), F.lit(0.0), lambda acc, x: acc + x["r"])
+    scored = F.transform("_from", lambda i, j: F.struct(score(i, j).alias("s"), F.get("_phrases", j).alias("p")))
+    best = F.slice(F.sort_array(scored, asc=False), 1, k)
     found = F.transform(best, lambda x: F.struct(x["p"].alias("phrase"), F.round(x["s"], 2).alias("score")))
-    return d.withColumn(out, found).drop("_phrases", "_words", "_w", "_at", "_ratio")
+    return d.withColumn(out, found).drop("_phrases", "_words", "_w", "_at", "_ratio", "_placed", "_pi", "_from")
 
 
 def rake_keywords(docs: DataFrame, text_col: str = "text", k: int = 20) -> DataFrame:
@@ -96,7 +102,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "candida
     d = with_phrases(docs, text_col)
     stripped = F.filter(F.transform("_phrases", lambda p: T.py_strip(p)), lambda c: (F.length(c) > 2) & (F.length(c) < 30))
     d = T.once(d, "_c", F.sort_array(stripped))
-    d = T.once(d, "_at", F.when(F.size("_c") > 0, run_starts("_c")).otherwise(F.array().cast("array<int>")))
+    d = T.once(d, "_at", starts_of("_c"))
     runs = F.transform("_at", lambda i, j: F.struct(F.get("_c", i).alias("candidate"),
                                                     (F.coalesce(F.get("_at", j + 1), F.size("_c")) - i).cast("long").alias("n")))
     return d.withColumn(out, F.filter(runs, lambda x: ~is_noise(x["candidate"]))).drop("_phrases", "_c", "_at")

@@ -206,7 +206,9 @@ def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs:
     d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
     t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
     own = pairs.select("doc_id", "target_id").distinct()
-    shared = d.join(own.where("target_id is not null"), "doc_id").join(t, ["target_id", "term"]).groupBy("doc_id", "target_id").agg(
+    # only terms that some target has can be shared; most of a document's grams end here
+    held = d.join(t.select("term").distinct(), "term", "left_semi")
+    shared = held.join(own.where("target_id is not null"), "doc_id").join(t, ["target_id", "term"]).groupBy("doc_id", "target_id").agg(
         F.sum(F.col("cd") * F.col("ct")).alias("dot"),
         F.sum(F.col("cd") * F.col("cd")).alias("sd"),
         F.sum(F.col("ct") * F.col("ct")).alias("st"),

@@ -69,7 +69,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _docs(spark, sf):
-    return C.load(spark, sf, "documents")
+    return C.spread(C.load(spark, sf, "documents"))
 
 
 def _clean_docs(spark, sf):

@@ -39,6 +39,7 @@ def all_terms(docs: DataFrame, spark: SparkSession, text_col: str = "text", phra
     terms = X.lexicon_match(docs, spark, text_col)
     if not phrases:
         return terms
+    terms = materialise(terms)  # read twice
     more = KW.repeated_phrases(docs, terms, spark, text_col)
     return terms.unionByName(more.select("doc_id", F.lit("technical").alias("category"), "canonical")).distinct()
 

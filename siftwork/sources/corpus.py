@@ -18,6 +18,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: An input of fewer splits than cores is dealt to all cores, if its splits are at most so many.
+FEW_SPLITS = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is a small table of fewer splits (one row group, say): its
+    per-row work would else run in a few tasks. A table with enough splits, or a large one, is left as it is."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
+
+
 #: One valid UTF-8 sequence, with every byte written as the character of the same number.
 UTF8_SEQUENCE = ("[\\x00-\\x7F]|[\\xC2-\\xDF][\\x80-\\xBF]|\\xE0[\\xA0-\\xBF][\\x80-\\xBF]|[\\xE1-\\xEC\\xEE\\xEF][\\x80-\\xBF]{2}"
                  "|\\xED[\\x80-\\x9F][\\x80-\\xBF]|\\xF0[\\x90-\\xBF][\\x80-\\xBF]{2}|[\\xF1-\\xF3][\\x80-\\xBF]{3}|\\xF4[\\x80-\\x8F][\\x80-\\xBF]{2}")
