@@ -33,6 +33,16 @@ def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with all its columns in one, ``row``, beside ``columns``: whatever their names, they can't clash."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return docs.select(whole, *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage: a reliable checkpoint in the shared folder of the session."""
     checkpoint_dir(df.sparkSession)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, cut, text_of
+from .common import WS, cut, packed, text_of, unpacked
 
 
 def normalised(docs: DataFrame) -> Column:
@@ -50,14 +50,13 @@ def exact_dedup(docs: DataFrame, hashed=content_hash) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, one per group, with all their columns."""
-    def key(c):
-        return F.concat_ws(":", F.coalesce(c.cast("string"), F.lit("null")), F.col("__sha"))
-
-    kept = exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__sha"))
-    kept = kept.select(key(F.col("doc_id")).alias("__key"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(docs), 256)).withColumn("__key", key(F.col("doc_id")))
-    rows = rows.join(kept, "__key", "left_semi")
+    """The rows of ``docs`` that exact_dedup keeps, one per group, with all their columns; the columns may have any
+    names. Of rows that repeat the kept id with an equal text, any one stays."""
+    def key(i, sha):
+        return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), sha)
+
+    kept = exact_dedup(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    rows = packed(docs, key=key(docs["doc_id"], F.sha2(normalised(docs), 256))).join(kept, "key", "left_semi")
     # repeated rows: one of them; the join's partitioning and order serve the window as they are
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return rows.withColumn("__n", first).where("__n = 1").select(*[rows[c] for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return unpacked(rows.withColumn("n", first).where("n = 1"))

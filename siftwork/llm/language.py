@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_of, worker_cache
+from .common import packed, text_of, worker_cache
 
 #: Characters parsed in one go; a longer text is parsed block by block, all blocks count.
 PIECE = 2048
@@ -163,6 +164,12 @@ def identify(docs: DataFrame, model_from: DataFrame | None = None, per_lang: int
     are ignored, null labels are not learned from.
     """
     texts = labelled_sample(docs if model_from is None else model_from, per_lang, chars)
+    d = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text_of(docs).alias("t"))
+    return predicted(d, texts, lambda b: b.column("t")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def predicted(rows: DataFrame, texts: dict[str, str], text_in) -> DataFrame:
+    """``rows`` with lang_pred and score; ``text_in`` finds the texts in an Arrow batch of them. Map-only."""
     name = hash(tuple(sorted(texts.items())))
 
     def run(batches):
@@ -180,24 +187,28 @@ def identify(docs: DataFrame, model_from: DataFrame | None = None, per_lang: int
                 scores.extend(got[1])
                 group.clear()
 
-            for x in b.column("t").cast(pa.binary()):
-                group.append(x.as_buffer().to_pybytes().decode("utf-8", "replace"))
+            for x in text_in(b).cast(pa.binary()):
+                group.append(x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "")
                 held += len(group[-1])
                 if held > GROUP:
                     flush()
                     held = 0
             flush()
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                  names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.record_batch([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                  names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), text_of(docs).alias("t")).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that have a language: a text without a letter is rejected."""
-    r = identify(docs, **options).where(F.col("lang_pred") != UNKNOWN)
-    kept = r.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key")).distinct()
-    rows = docs.where(F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
-    rows = rows.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return rows.join(kept, "__key", "left_semi").select(*[rows[c] for c in docs.columns])
+    """The rows of ``docs`` that have a language, with the predicted one in ``lang``; a text without a letter is rejected.
+
+    Without any labelled row nothing can be learned: then the rows with a letter stay as they are. Each row is judged by
+    its own text, whatever its id; columns may have any names."""
+    texts = labelled_sample(docs, **{"per_lang": 64, "chars": 800} | options)
+    if not texts:
+        return docs.where(F.coalesce(docs["text"].cast("string").rlike(r"\p{L}"), F.lit(False)))
+    r = predicted(packed(docs), texts, lambda b: b.column("row").field("text")).where(F.col("lang_pred") != UNKNOWN)
+    kind = docs.schema["lang"].dataType
+    return r.select(*[F.col("lang_pred").cast(kind).alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, text_of
+from .common import cut, packed, text_of, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one window when offsets are summed up, on average.
@@ -129,16 +129,16 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, b
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: taken / size, rounded. A document cut at its source's
-    target counts as taken if half of it is."""
+    """The rows of ``docs`` as often as the mix takes them: taken / size, rounded, with all their columns, whatever their
+    names. A document cut at its source's target counts as taken if half of it is. Rows that agree in id and size share
+    the average of what the mix takes of them."""
     def key(c):
         return F.coalesce(c.cast("string"), F.lit("null"))
 
-    m = mix(docs, **options).where("size > 0").groupBy(key(F.col("doc_id")).alias("__key"), F.col("size").alias("__size"))
-    m = m.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
-    rows = docs.withColumn("__key", key(F.col("doc_id"))).withColumn("__size", F.regexp_count(text_of(docs), F.lit(WORD)).cast("long"))
-    rows = rows.join(m, ["__key", "__size"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    m = mix(docs, **options).where("size > 0").groupBy(key(F.col("doc_id")).alias("key"), "size")
+    m = m.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    rows = packed(docs, key=key(docs["doc_id"]), size=F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")).join(m, ["key", "size"])
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))))
 
 
 #: op7 as SQL. The shuffled order is that of md5, so offsets and overlaps can be written as windows.

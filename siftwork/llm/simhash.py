@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 import re
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, text_of
+from .common import components, cut, packed, text_of, unpacked
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 #: Rows of one candidate bucket that a task compares at once; larger buckets are dealt out as pairs of such blocks.
@@ -41,15 +41,24 @@ def shingle_bits(text: bytes, n: int, seed: int = 42, step: int = 1 << 14) -> in
     return int(np.packbits(ones * 2 > m, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """(doc_id, fp): one pass over the texts, no shuffle; fp is the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, **others) -> DataFrame:
+    """(doc_id, fp, and the long columns ``others``): one pass over the texts, no shuffle; fp is the 64 bits as a signed
+    long."""
+    names = ["doc_id", "fp", *others]
+
     def run(batches):
         for b in batches:
             fps = np.array([shingle_bits(t.as_buffer().to_pybytes(), shingle_words)
                             for t in b.column("t").cast(pa.binary())], np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64)), *[b.column(c) for c in names[2:]]], names=names)
+
+    d = docs.select(F.col("doc_id").cast("long"), *[c.alias(n) for n, c in others.items()], text_of(docs).alias("t"))
+    return d.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    return docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("t")).mapInArrow(run, "doc_id long, fp long")
+
+def row_keys(docs: DataFrame) -> tuple:
+    i, t = docs["doc_id"].cast("long"), text_of(docs)
+    return F.xxhash64(i, t), F.xxhash64(F.lit(2), t, i)
 
 
 def ring(bits: int, max_distance: int) -> list[tuple[int, int, list[int]]]:
@@ -162,6 +171,16 @@ def near_links(fps: DataFrame, max_distance: int) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
+def with_components(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, component, component_id): for each fingerprint of ``rows`` its component, named by a fingerprint, and the
+    smallest doc_id in it."""
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    found = components(near_links(own.select("fp"), max_distance)).select(F.col("node").alias("fp"), "component")
+    own = own.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = own.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return own.join(least, "component").select("fp", "component", "component_id")
+
+
 def simhash_dedup(docs: DataFrame, shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -174,18 +193,25 @@ def simhash_dedup(docs: DataFrame, shingle_words: int = 4, max_distance: int = 4
     component's id, which ignores nulls. No rows give no rows; other columns are ignored.
     """
     rows = cut(fingerprints(docs, shingle_words))
-    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = components(near_links(own.select("fp"), max_distance)).select(F.col("node").alias("fp"), "component")
-    own = own.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = own.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_fp = own.join(least, "component").select("fp", "component_id")
+    by_fp = with_components(rows, max_distance)
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_near(docs: DataFrame, shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with all their columns."""
-    r = simhash_dedup(docs, shingle_words, max_distance)
-    kept = r.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__key")).distinct()
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return rows.join(kept, "__key", "left_semi").select(*[rows[c] for c in docs.columns])
+    """One row of ``docs`` for each component, with all its columns, whatever their names.
+
+    The row with the smallest doc_id stays (a null id is the greatest); of rows that share it in a component, or that
+    all lack an id, the one whose text hashes lowest. Rows are known by 128 bits of id and text, so a document that
+    shares its id with one of another component stays or goes with its own; of equal rows any one stays.
+    """
+    k1, k2 = row_keys(docs)
+    rows = cut(fingerprints(docs, shingle_words, k1=k1, k2=k2))
+    by_fp = with_components(rows, max_distance).select("fp", "component")
+    placed = rows.join(by_fp, "fp").groupBy("component", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), F.col("k1").alias("k1"), F.col("k2").alias("k2"), F.col("n").alias("n"))
+    kept = cut(placed.groupBy("component").agg(F.min(order).alias("best")).select("best.k1", "best.k2", "best.n"))
+    found = packed(docs, k1=k1, k2=k2).join(kept.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    if not kept.where("n > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
+        found = found.withColumn("place", first).where("place = 1")
+    return unpacked(found)

@@ -408,17 +408,82 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 9: 5} | {100 + i: 100 for i in range(41)}
 
 
-def test_pipeline(spark, docs, rows, none):
-    d, n = docs, []
-    for name, stage in corpus_pipeline.STAGES:
-        d = stage(spark, d, SF)
-        if name != "bpe":
-            assert d.columns == docs.columns
-        n.append(d.count())
-    assert n[0] == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t, *_ in rows)
-    assert n[1] == len({flat(t) for _, t, *_ in rows if re.search(r"[^\W\d_]", t or "")})
-    assert n[2] <= n[1] and n[4] == n[3]
+def near_groups(rows, distance=4):
+    """Rows by component of fingerprints that differ in few bits, all pairs compared."""
+    bits = [simhash.shingle_bits((t or "").encode(), 4) for _, t, *_ in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and bin(bits[i] ^ bits[j]).count("1") <= distance:
+                label = [label[i] if x == label[j] else x for x in label]
+    groups = collections.defaultdict(list)
+    for r, x in zip(rows, label):
+        groups[x].append(r)
+    return list(groups.values())
+
+
+def as_rows(df):
+    return sorted((tuple(r)[:5] for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()), key=repr)
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, rows, none):
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language", "exact_dedup", "simhash_dedup", "mix", "bpe"]
+    step = lambda name, got: spark.createDataFrame([(*r, "x", "y", "z", "n") for r in got], SCHEMA)
+    pred = {(r.doc_id, r.lang_pred) for r in language.identify(docs).collect()}
+    got = stages["language"](spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = as_rows(got)
+    assert sorted((i, t) for i, t, *_ in kept) == sorted((i, t) for i, t, *_ in rows if re.search(r"[^\W\d_]", t or ""))
+    assert {(i, lang) for i, _, lang, *_ in kept} <= pred
+    got = stages["exact_dedup"](spark, step("x", kept), SF)
+    want = {}
+    for r in sorted(kept, key=lambda r: r[0]):
+        want.setdefault(flat(r[1]), r)
+    assert got.columns == docs.columns and as_rows(got) == sorted(want.values(), key=repr)
+    kept = as_rows(got)
+    got = stages["simhash_dedup"](spark, step("x", kept), SF)
+    want = [min(g, key=lambda r: r[0]) for g in near_groups(kept)]
+    assert got.columns == docs.columns and as_rows(got) == sorted(want, key=repr)
+    kept = as_rows(got)
+    got = stages["mix"](spark, step("x", kept), SF)
+    taken = {r.doc_id: r.taken / r.size for r in mix.mix(step("x", kept)).where("size > 0").collect()}
+    want = [r for r in kept for _ in range(int(taken[r[0]] + 0.5))]
+    assert got.columns == docs.columns and as_rows(got) == sorted(want, key=repr)
+    last = stages["bpe"](spark, step("x", want), SF)
+    one = by_id(bpe.encode_decode(docs))
+    assert sorted((r.doc_id, r.ids_sha256) for r in last.collect()) == sorted((r[0], one[r[0]].ids_sha256) for r in want)
     e = none
     for _, stage in corpus_pipeline.STAGES:
         e = stage(spark, e, SF)
     assert e.count() == 0
+
+
+def test_run_is_its_stages(spark):
+    got = corpus_pipeline.run(spark, SF)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, d.collect()))
+
+
+def test_stages_with_repeated_and_missing_ids(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve " * 8
+    near, other = base + "thirteen", "quite another text of its own with words that nobody else has at all " * 6
+    rows = [(2, base, None), (5, base, None), (5, near, None), (None, other, None), (None, base + " ", None), (7, None, None), (8, "12 34", None),
+            (9, other + "x", None), (9, other + "x", None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, __key string, __sha string, key string, k1 long, row string, t string, place int, n int"
+    df = spark.createDataFrame([(i, t, lang, "s", 1, "a", "b", "c", 1, "d", "e", 2, 3) for i, t, lang in rows], names)
+    found = language.keep_identified(df)  # nothing to learn from: lettered texts stay
+    assert found.columns == df.columns and found.count() == 7
+    one = exact_dedup.keep_one(df)
+    assert one.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=repr) == sorted([(2, base), (5, near), (None, other), (7, None), (8, "12 34"), (9, other + "x")], key=repr)
+    kept = simhash.keep_one_of_near(df)
+    assert kept.columns == df.columns
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in near_groups([(i, t) for i, t, _ in rows])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert [r.doc_id for r in kept.collect()].count(2) == 1 and not [r for r in kept.collect() if r.doc_id == 5]
+    assert mix.mixed_documents(df).columns == df.columns
+    labelled = df.withColumn("lang", F.lit("xx"))
+    assert {r.lang for r in language.keep_identified(labelled).collect()} == {"xx"}
