@@ -6,6 +6,7 @@ it is read, so no text is shuffled. What several expressions use is made once pe
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,13 +36,6 @@ def with_phrases(docs: DataFrame, text_col: str = "text", out: str = "_phrases")
     return T.once(docs, out, rake_phrases(F.col(text_col)))
 
 
-def starts_of(values: str) -> Column:
-    """Places (from 0) in the sorted array column ``values`` at which another value begins."""
-    v = F.col(values)
-    starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
-    return F.when(F.size(v) > 0, starts).otherwise(F.array().cast("array<int>"))
-
-
 def with_keywords(docs: DataFrame, text_col: str = "text", k: int = 20, out: str = "keywords") -> DataFrame:
     """``docs`` and an array column of its best ``k`` phrase occurrences (phrase, score): RAKE score, that is degree /
     frequency summed over the phrase's words in order; ties by phrase descending; score rounded to 2.
@@ -54,14 +48,14 @@ def with_keywords(docs: DataFrame, text_col: str = "text", k: int = 20, out: str
         w.alias("w"), F.size(ws).alias("n"), pi.alias("pi"), wi.alias("wi")))))
     d = T.once(d, "_words", F.sort_array(words))
     d = T.once(d, "_w", F.col("_words.w"))
-    d = T.once(d, "_at", starts_of("_w"))
+    d = T.once(d, "_at", T.starts_of("_w"))
     length = lambda at, of: lambda i, j: F.coalesce(F.get(at, j + 1), F.size(of)) - i
     run = lambda i, j: F.slice("_words", i + 1, length("_at", "_w")(i, j))
     d = T.once(d, "_ratio", F.transform("_at", lambda i, j: F.aggregate(run(i, j), F.lit(0), lambda acc, x: acc + x["n"]) / length("_at", "_w")(i, j)))
     placed = F.transform("_at", lambda i, j: F.transform(run(i, j), lambda x: F.struct(x["pi"].alias("pi"), x["wi"].alias("wi"), F.get("_ratio", j).alias("r"))))
     d = T.once(d, "_placed", F.sort_array(F.flatten(placed)))
     d = T.once(d, "_pi", F.col("_placed.pi"))
-    d = T.once(d, "_from", starts_of("_pi"))
+    d = T.once(d, "_from", T.starts_of("_pi"))
     score = lambda i, j: F.aggregate(F.slice("_placed", i + 1, length("_from", "_pi")(i, j)), F.lit(0.0), lambda acc, x: acc + x["r"])
     scored = F.transform("_from", lambda i, j: F.struct(score(i, j).alias("s"), F.get("_phrases", j).alias("p")))
     best = F.slice(F.sort_array(scored, asc=False), 1, k)
@@ -76,8 +70,7 @@ def rake_keywords(docs: DataFrame, text_col: str = "text", k: int = 20) -> DataF
 
 
 def _alternation(words) -> str:
-    import re as _re
-    return r"\b(" + "|".join(_re.escape(w) for w in words) + r")\b"
+    return r"\b(" + "|".join(re.escape(w) for w in words) + r")\b"
 
 
 def is_noise(p: Column) -> Column:
@@ -97,26 +90,30 @@ def is_noise(p: Column) -> Column:
     )
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates") -> DataFrame:
-    """``docs`` and an array column (candidate, n): stripped phrases of length 3..29 that are not noise, with counts."""
+def _stripped() -> Column:
+    return F.filter(F.transform("_phrases", lambda p: T.py_strip(p)), lambda c: (F.length(c) > 2) & (F.length(c) < 30))
+
+
+def with_candidates(docs: DataFrame, text_col: str = "text", out: str = "candidates", least: int = 1) -> DataFrame:
+    """``docs`` and an array column (candidate, n): stripped phrases of length 3..29 that are not noise, with counts;
+    those that occur ``least`` times or more."""
     d = with_phrases(docs, text_col)
-    stripped = F.filter(F.transform("_phrases", lambda p: T.py_strip(p)), lambda c: (F.length(c) > 2) & (F.length(c) < 30))
-    d = T.once(d, "_c", F.sort_array(stripped))
-    d = T.once(d, "_at", starts_of("_c"))
+    d = T.once(d, "_c", F.sort_array(_stripped()))
+    d = T.once(d, "_at", T.starts_of("_c"))
     runs = F.transform("_at", lambda i, j: F.struct(F.get("_c", i).alias("candidate"),
                                                     (F.coalesce(F.get("_at", j + 1), F.size("_c")) - i).cast("long").alias("n")))
-    return d.withColumn(out, F.filter(runs, lambda x: ~is_noise(x["candidate"]))).drop("_phrases", "_c", "_at")
+    return d.withColumn(out, F.filter(F.filter(runs, lambda x: x["n"] >= least), lambda x: ~is_noise(x["candidate"]))).drop("_phrases", "_c", "_at")
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, text_col: str = "text", least: int = 1) -> DataFrame:
     """(doc_id, candidate, n), one row per candidate of ``with_candidates``."""
-    return with_candidates(docs.select("doc_id", text_col), text_col).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.candidate", "c.n")
+    return with_candidates(docs.select("doc_id", text_col), text_col, least=least).select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.candidate", "c.n")
 
 
 def repeated_phrases(docs: DataFrame, doc_terms: DataFrame, spark: SparkSession, text_col: str = "text") -> DataFrame:
     """Candidates seen more than once, normalised (map, else title case), minus names already
     extracted (case-insensitive) and minus weak terms; appended as technical skills."""
-    cand = candidates(docs, text_col).where((F.col("n") > 1) & ~F.col("candidate").isin(*L.WEAK_SKILLS))
+    cand = candidates(docs, text_col, least=2).where(~F.col("candidate").isin(*L.WEAK_SKILLS))
     norm_map = F.create_map(*[x for k, v in L.NORMALIZATION.items() for x in (F.lit(k), F.lit(v))])
     named = cand.withColumn("canonical", F.coalesce(F.element_at(norm_map, F.col("candidate")),
                                                     T.python_title(F.col("candidate"))))
@@ -125,14 +122,15 @@ def repeated_phrases(docs: DataFrame, doc_terms: DataFrame, spark: SparkSession,
     return out.select("doc_id", "candidate", "canonical")
 
 
-def weak_list(cands: Column) -> Column:
-    """Sorted title-cased candidates equal to or containing a filler term, from the array of ``with_candidates``."""
-    filler = F.array(*[F.lit(w) for w in L.WEAK_SKILLS])
-    hit = F.filter(cands, lambda c: F.exists(filler, lambda w: c["candidate"].contains(w)))
-    return F.array_sort(F.array_distinct(F.transform(hit, lambda c: T.python_title(c["candidate"]))))
+def with_weak_list(docs: DataFrame, text_col: str = "text", out: str = "weak_skills") -> DataFrame:
+    """``docs`` and an array column of its candidates that equal or contain a filler term, title-cased and sorted."""
+    filler = "|".join(re.escape(w) for w in L.WEAK_SKILLS)
+    d = with_phrases(docs, text_col)
+    hit = F.filter(F.array_distinct(F.filter(_stripped(), lambda c: c.rlike(filler))), lambda c: ~is_noise(c))
+    return d.withColumn(out, F.array_sort(F.array_distinct(F.transform(hit, lambda c: T.python_title(c))))).drop("_phrases")
 
 
 def weak_terms(docs: DataFrame, spark: SparkSession, text_col: str = "text") -> DataFrame:
     """(doc_id, weak): candidates equal to or containing a filler term, title-cased, distinct."""
-    d = with_candidates(docs.select("doc_id", text_col), text_col)
-    return d.select("doc_id", F.explode(weak_list(F.col("candidates"))).alias("weak"))
+    d = with_weak_list(docs.select("doc_id", text_col), text_col)
+    return d.select("doc_id", F.explode("weak_skills").alias("weak"))

@@ -180,19 +180,24 @@ IDF_ONE_SIDE = 1.4054651081081644  # ln(3/2) + 1: smooth idf with n = 2 document
 
 
 def tfidf_terms(df: DataFrame, id_col: str, spark: SparkSession, text_col: str = "text") -> DataFrame:
-    """(id, term, c): 1-3 gram counts after lower-casing and stopword removal (row-local grams,
-    partial aggregation before the shuffle)."""
-    from ..functions import lexicons as L2
-    stop = F.create_map(*[x for w in L2.english_stopwords() for x in (F.lit(w), F.lit(True))])
-    toks = df.select(F.col(id_col).alias("id"), F.filter(
-        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TFIDF_TOKEN), 0),
-        lambda t: F.element_at(stop, t).isNull()).alias("_t"))
+    """(id, term, c, n): 1-3 gram counts after lower-casing and stopword removal, with the sum of the id's squared counts
+    on each row; one row of ``df`` per id.
+
+    Local to the row: the grams are sorted and a run's length is its count, so nothing is shuffled to count them."""
+    toks = F.filter(F.regexp_extract_all(F.lower(T.col(text_col)), F.lit(TFIDF_TOKEN), 0), lambda t: ~t.isin(*L.english_stopwords()))
+    d = T.once(df.select(F.col(id_col).alias("id"), text_col), "_t", toks).drop(text_col)
     t = F.col("_t")
     grams = F.flatten(F.array(*[
         F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))),
                                            T._gram_fn(t, n))).otherwise(F.array().cast("array<string>"))
         for n in (1, 2, 3)]))
-    return toks.select("id", F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+    d = T.once(d, "_g", F.sort_array(grams)).drop("_t")
+    d = T.once(d, "_at", T.starts_of("_g"))
+    runs = F.transform("_at", lambda i, j: F.struct(F.get("_g", i).alias("term"), (F.coalesce(F.get("_at", j + 1), F.size("_g")) - i).cast("long").alias("c")))
+    d = T.once(d, "_runs", runs)
+    # before the rows are spread, or the sum would be made anew on each of them
+    d = T.once(d, "n", F.aggregate("_runs", F.lit(0).cast("long"), lambda acc, x: acc + x["c"] * x["c"]))
+    return d.select("id", "n", F.explode("_runs").alias("x")).select("id", "x.term", "x.c", "n")
 
 
 def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -200,11 +205,10 @@ def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs:
 
     A term of both sides has idf 1, a term of one side ``IDF_ONE_SIDE``. So with N the sum of a side's squared counts
     and S the part of it in shared terms, the squared norm is S + IDF_ONE_SIDE^2 * (N - S): a join on (target, term) of
-    the terms of the assigned documents, one aggregate per pair, and a join of one number per document and per target.
-    Counts stay integers until the end. A pair without a shared term has 0, one without a target null.
+    the terms of the assigned documents and one aggregate per pair; N comes with the terms. Counts stay integers until the end. A pair without a shared term has 0, one without a target null.
     """
-    d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"))
-    t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"))
+    d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"), F.col("n").alias("nd"))
+    t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"), F.col("n").alias("nt"))
     own = pairs.select("doc_id", "target_id").distinct()
     # only terms that some target has can be shared; most of a document's grams end here
     held = d.join(t.select("term").distinct(), "term", "left_semi")
@@ -212,10 +216,9 @@ def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs:
         F.sum(F.col("cd") * F.col("ct")).alias("dot"),
         F.sum(F.col("cd") * F.col("cd")).alias("sd"),
         F.sum(F.col("ct") * F.col("ct")).alias("st"),
+        F.max("nd").alias("nd"), F.max("nt").alias("nt"),
     )
-    all_d = d.groupBy("doc_id").agg(F.sum(F.col("cd") * F.col("cd")).alias("nd"))
-    all_t = t.groupBy("target_id").agg(F.sum(F.col("ct") * F.col("ct")).alias("nt"))
-    j = own.join(shared, ["doc_id", "target_id"], "left").join(all_d, "doc_id", "left").join(all_t, "target_id", "left")
+    j = own.join(shared, ["doc_id", "target_id"], "left")
     one_side = F.lit(IDF_ONE_SIDE * IDF_ONE_SIDE)
     norm_d = F.col("sd") + one_side * (F.col("nd") - F.col("sd"))
     norm_t = F.col("st") + one_side * (F.col("nt") - F.col("st"))

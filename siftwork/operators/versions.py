@@ -83,11 +83,21 @@ def version_compare(versions: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.unionByName(errors)
 
 
+#: Versions of a session whose running best is made together.
+STRETCH = 10_000
+
+
 def version_trend(versions: DataFrame) -> DataFrame:
-    """Change from the previous version and best score so far, per session."""
-    w = Window.partitionBy("session_id").orderBy("version_id")
-    return versions.select(
-        "session_id", "version_id", "score",
-        F.round(F.col("score") - F.lag("score").over(w), 1).alias("change"),
-        F.max("score").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("best_so_far"),
-    )
+    """Change from the previous version and best score so far, per session.
+
+    Ids are consecutive, so the previous version is found by an equi-join; the running best is made within stretches of
+    ids and raised by the best of the stretches before, so a session of any size lies in many tasks."""
+    v = versions.select("session_id", "version_id", "score", F.floor(F.col("version_id") / STRETCH).alias("_part"))
+    last = versions.select("session_id", (F.col("version_id") + 1).alias("version_id"), F.col("score").alias("_last"))
+    before = Window.partitionBy("session_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = v.groupBy("session_id", "_part").agg(F.max("score").alias("_best"))
+    parts = parts.select("session_id", "_part", F.max("_best").over(before).alias("_before"))
+    own = Window.partitionBy("session_id", "_part").orderBy("version_id").rowsBetween(Window.unboundedPreceding, 0)
+    j = v.withColumn("_own", F.max("score").over(own)).join(parts, ["session_id", "_part"]).join(last, ["session_id", "version_id"], "left")
+    return j.select("session_id", "version_id", "score", F.round(F.col("score") - F.col("_last"), 1).alias("change"),
+                    F.greatest("_own", "_before").alias("best_so_far"))

@@ -20,7 +20,7 @@ from ..operators import rewrite as R
 
 def doc_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = T.col(text_col)
-    d = KW.with_candidates(docs.select("doc_id", text_col), text_col, "_cands")
+    d = KW.with_weak_list(docs.select("doc_id", text_col), text_col)
     return d.select(
         "doc_id",
         *X.section_columns(t),
@@ -29,7 +29,7 @@ def doc_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *X.contact_columns(t),
         X.bullet_line_count(t, X.FEEDBACK_BULLET).alias("feedback_bullets"),
         X.bullets_array(t).alias("bullets"),
-        KW.weak_list(F.col("_cands")).alias("weak_skills"),
+        "weak_skills",
         F.when(F.length(t) > L.PREVIEW_CHARS, F.concat(F.substring(t, 1, L.PREVIEW_CHARS), F.lit("..."))).otherwise(t).alias("preview"),
     )
 
