@@ -200,16 +200,23 @@ def tfidf_terms(df: DataFrame, id_col: str, spark: SparkSession, text_col: str =
     return d.select("id", "n", F.explode("_runs").alias("x")).select("id", "x.term", "x.c", "n")
 
 
-def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every pair of the assignment: cosine of TF-IDF vectors fitted on the pair alone, over all terms of both.
+def _with_norm(terms: DataFrame) -> DataFrame:
+    """Terms as ``tfidf_terms`` gives them; the sum of squared counts is added if they lack it."""
+    if "n" in terms.columns:
+        return terms
+    return terms.join(terms.groupBy("id").agg(F.sum(F.col("c") * F.col("c")).alias("n")), "id")
+
+
+def tfidf_pair_similarity(doc_terms: DataFrame, target_terms: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Every pair of the assignment (without one: every pair that shares a term): cosine of TF-IDF vectors fitted on the pair alone, over all terms of both.
 
     A term of both sides has idf 1, a term of one side ``IDF_ONE_SIDE``. So with N the sum of a side's squared counts
     and S the part of it in shared terms, the squared norm is S + IDF_ONE_SIDE^2 * (N - S): a join on (target, term) of
     the terms of the assigned documents and one aggregate per pair; N comes with the terms. Counts stay integers until the end. A pair without a shared term has 0, one without a target null.
     """
-    d = doc_terms.select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"), F.col("n").alias("nd"))
-    t = target_terms.select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"), F.col("n").alias("nt"))
-    own = pairs.select("doc_id", "target_id").distinct()
+    d = _with_norm(doc_terms).select(F.col("id").alias("doc_id"), "term", F.col("c").alias("cd"), F.col("n").alias("nd"))
+    t = _with_norm(target_terms).select(F.col("id").alias("target_id"), "term", F.col("c").alias("ct"), F.col("n").alias("nt"))
+    own = (d.join(t, "term") if pairs is None else pairs).select("doc_id", "target_id").distinct()
     # only terms that some target has can be shared; most of a document's grams end here
     held = d.join(t.select("term").distinct(), "term", "left_semi")
     shared = held.join(own.where("target_id is not null"), "doc_id").join(t, ["target_id", "term"]).groupBy("doc_id", "target_id").agg(
