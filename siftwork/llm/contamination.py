@@ -105,7 +105,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = 10, anchors: i
     """
     spark = docs.sparkSession
     wins, owners = windows_of(items, window)
-    index, rare = postings(spark, docs, rarest(docs, wins, anchors), anchors)
+    index, rare = postings(spark, docs, cut(rarest(docs, wins, anchors)), anchors)
     seen = index.select(F.col("aid").alias("a1"), "k1", "k2", F.col("pos").alias("p1"), "n").join(rare, "a1")
     alone = seen.where("a2 is null").withColumn("p2", F.col("p1"))
     two = near(seen.where("a2 is not null"), index.join(rare.select(F.col("a2").alias("aid")).distinct(), "aid", "left_semi"), "a2", max(reach, window), "p2")
