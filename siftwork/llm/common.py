@@ -55,6 +55,14 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def forget_worker_caches() -> None:
+    """Frees what operators before have left in this Python worker, as workers are used again by later stages."""
+    home = sys.modules.get("_siftwork_worker")
+    for kept in list(vars(home).values()) if home else []:
+        if isinstance(kept, dict):
+            kept.clear()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges as (node, component), component the smallest node reachable.
 

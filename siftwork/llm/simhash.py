@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, packed, text_of, unpacked
+from .common import components, cut, forget_worker_caches, packed, text_of, unpacked
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 #: Rows of one candidate bucket that a task compares at once; larger buckets are dealt out as pairs of such blocks.
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, **others) -> DataFrame
     names = ["doc_id", "fp", *others]
 
     def run(batches):
+        forget_worker_caches()
         for b in batches:
             fps = np.array([shingle_bits(t.as_buffer().to_pybytes(), shingle_words)
                             for t in b.column("t").cast(pa.binary())], np.uint64)
@@ -155,6 +156,7 @@ def near_links(fps: DataFrame, max_distance: int) -> DataFrame:
         return pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     def run(batches):
+        forget_worker_caches()
         held = None
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
