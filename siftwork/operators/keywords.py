@@ -29,7 +29,8 @@ def rake_phrases(text: Column) -> Column:
     nor single punctuation characters (row-local)."""
     toks = F.regexp_extract_all(F.lower(T.col(text)), F.lit(WORDPUNCT), 0)
     marked = F.transform(toks, lambda t: F.when(t.isin(*sorted(set(rake_ignore()))), F.lit(SEP)).otherwise(t))
-    return F.filter(F.split(F.array_join(marked, " "), f"( ?{SEP} ?)+"), lambda p: p != "")
+    # a class, not a repeated group: Java matches a group by recursion, and a long run of ignored words ends its stack
+    return F.filter(F.split(F.array_join(marked, " "), f" ?{SEP}[ {SEP}]*"), lambda p: p != "")
 
 
 def with_phrases(docs: DataFrame, text_col: str = "text", out: str = "_phrases") -> DataFrame:
