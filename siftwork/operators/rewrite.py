@@ -33,12 +33,16 @@ def _upgrade_map() -> Column:
 
 def rewrite_line(b: Column) -> Column:
     """Weak prefix -> strong verb; first char upper; trailing dots dropped; hint if no digit."""
-    m = F.regexp_extract(b, WEAK_PREFIX, 1)
-    swapped = F.when(m != "", F.concat(F.element_at(_upgrade_map(), F.lower(m)), F.substring(b, F.length(m) + 1, 1 << 30))) \
-        .otherwise(b)
-    upper_first = F.concat(F.upper(F.substring(swapped, 1, 1)), F.substring(swapped, 2, 1 << 30))
-    trimmed = F.regexp_replace(upper_first, r"\.+\z", "")
-    return F.when(trimmed.rlike(r"\d"), trimmed).otherwise(F.concat(trimmed, F.lit(L.QUANT_HINT_SUFFIX)))
+    def swapped(b):
+        return T.let(F.regexp_extract(b, WEAK_PREFIX, 1), lambda m: F.when(
+            m != "", F.concat(F.element_at(_upgrade_map(), F.lower(m)), F.substring(b, F.length(m) + 1, 1 << 30))).otherwise(b))
+
+    def trimmed(s):
+        return F.regexp_replace(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30)), r"\.+\z", "")
+
+    def hinted(t):
+        return F.when(t.rlike(r"\d"), t).otherwise(F.concat(t, F.lit(L.QUANT_HINT_SUFFIX)))
+    return T.let(T.let(T.let(b, swapped), trimmed), hinted)
 
 
 def has_quantification(b: Column) -> Column:
@@ -140,9 +144,10 @@ def render_html_lines(text: Column, date_str: str, heading: str = "Optimized doc
     heading, footer and footer date are parameters (a rerun gives the same output)."""
     is_b = "^[-*•‣◦]"
 
-    def para(p):
-        lines = F.filter(F.transform(F.split(p, "\n"), lambda x: T.py_strip(x)), lambda x: x != "")
+    def stripped(p):
+        return F.filter(F.transform(F.split(p, "\n"), lambda x: T.py_strip(x)), lambda x: x != "")
 
+    def para(lines):
         def render(x, i):
             prev_b = F.when(i > 0, F.element_at(lines, i).rlike(is_b)).otherwise(F.lit(False))
             next_b = F.when(i + 1 < F.size(lines), F.element_at(lines, i + 2).rlike(is_b)).otherwise(F.lit(False))
@@ -154,7 +159,9 @@ def render_html_lines(text: Column, date_str: str, heading: str = "Optimized doc
                 .otherwise(F.concat(F.lit("<p>"), _escape(x), F.lit("</p>\n")))
         return F.array_join(F.transform(lines, render), "")
 
-    body = F.array_join(F.transform(F.split(T.col(text), "\n\n"), para), "")
+    # the lines of a paragraph are a lambda's variable: as an expression they would be made anew for each of its lines
+    paragraphs = F.transform(F.split(T.col(text), "\n\n"), stripped)
+    body = F.array_join(F.transform(paragraphs, para), "")
     foot = f'<div class="watermark">{_html.escape(footer.format(date=date_str))}</div>\n'
     return F.concat(F.lit(f"<h1>{_html.escape(heading)}</h1>\n"), body, F.lit(foot))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import lexicons as L
 from siftwork.operators import keywords as KW
 from siftwork.operators import match as M
+from siftwork.operators import rewrite as RW
 from siftwork.plans import catalog as CAT
 from siftwork.sources import corpus as C
 
@@ -58,3 +59,20 @@ def test_words_are_found_where_the_text_is(spark):
     words = spark.createDataFrame([(w,) for w in ("rust", "abc", "abc.net", "c++abc", "net", "abd", "abc.nets")], "word string")
     found = M.found_words(docs, words)
     assert sorted(found.collect()[0]._found) == ["abc", "abc.net", "c++abc", "net", "rust"]
+
+
+def times(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower().count(name)
+
+
+def test_lines_are_rewritten_and_rendered_once(spark):
+    text = "- helped a <team>\n* b\n\n\nplain & simple\n-c"
+    d = spark.createDataFrame([(1, text, "helped the team."), (2, None, None)], "doc_id long, text string, line string").cache()
+    html = d.select(RW.render_html_lines(F.col("text"), "2024-01-01").alias("html"))
+    want = ("<h1>Optimized document</h1>\n<ul>\n<li>helped a &lt;team&gt;</li>\n<li>b</li>\n</ul>\n<p>plain &amp; simple</p>\n"
+            "<ul>\n<li>c</li>\n</ul>\n<div class=\"watermark\">Optimized on 2024-01-01</div>\n")
+    assert html.collect()[0].html == want and times(html, "split(") <= 2
+    line = d.select(RW.rewrite_line(F.col("line")).alias("line"))
+    verb = next(v for w, v in L.VERB_UPGRADES if w == "helped")
+    assert [r.line for r in line.collect()] == [verb[:1].upper() + verb[1:].lower() + " the team" + L.QUANT_HINT_SUFFIX, None]
+    assert times(line, "regexp_extract(") == 1
