@@ -51,17 +51,38 @@ def owner_top_repos(repos: DataFrame, k: int = 5) -> DataFrame:
     return repos.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def tech_stack(repos: DataFrame, spark: SparkSession) -> DataFrame:
+def _with_row_techs(repos: DataFrame) -> DataFrame:
+    """``repos`` with ``_techs``, the technologies that a row names itself: its language, the skills of its topics (exact,
+    lower) and of the topics that stand in its lower description. No row is multiplied by the few fixed topics. Each
+    step is made once, and what is costly stands outside of lambdas, which are not compiled."""
+    d = T.once(repos, "_desc", F.lower(F.coalesce("description", F.lit(""))))
+    d = T.once(d, "_topics", F.transform("topics", F.lower))
+    skills = [F.when(F.col("_desc").contains(t) | F.array_contains("_topics", t), F.lit(skill)) for t, skill in L.TOPIC_SKILLS]
+    distinct = F.array_except(F.array("language", *skills), F.array(F.lit(None).cast("string")))
+    return T.once(d, "_techs", F.sort_array(distinct)).drop("_desc", "_topics")
+
+
+def tech_stack(repos: DataFrame, spark: SparkSession, of_rows: bool = False) -> DataFrame:
     """Per repository: language U mapped topics (exact) U mapped keywords found as a substring of
-    the lower description; sorted distinct."""
-    ts = dims.topic_skills(spark)
-    base = repos.select("owner", "name", "language", "topics", F.lower(F.coalesce("description", F.lit(""))).alias("_d"))
-    lang = base.select("owner", "name", F.col("language").alias("tech")).where(F.col("tech").isNotNull())
-    topic = base.select("owner", "name", F.explode("topics").alias("t")) \
-        .join(F.broadcast(ts), F.lower("t") == F.col("topic")).select("owner", "name", F.col("skill").alias("tech"))
-    desc = base.join(F.broadcast(ts), F.col("_d").contains(F.col("topic"))).select("owner", "name", F.col("skill").alias("tech"))
-    u = lang.unionByName(topic).unionByName(desc).distinct()
-    return u.groupBy("owner", "name").agg(F.array_sort(F.collect_list("tech")).alias("tech_stack"))
+    the lower description; sorted distinct. Repositories without any are left out.
+
+    With ``of_rows``: every row of ``repos`` with the ``tech_stack`` of its repository beside it, in one shuffle on
+    (owner, name); a row without owner or name has none, as it would find none by a join."""
+    if not of_rows:
+        techs = _with_row_techs(repos).where(F.size("_techs") > 0)
+        return techs.groupBy("owner", "name").agg(_union(F.collect_set("_techs")).alias("tech_stack"))
+    unkeyed = F.col("owner").isNull() | F.col("name").isNull()
+    rows = _with_row_techs(repos)
+    # rows without a key are dealt by what they hold, not all to one task
+    rows = rows.withColumn("_apart", F.when(unkeyed, F.xxhash64("owner", "name", "description", "stars", "forks")))
+    w = Window.partitionBy("owner", "name", "_apart")
+    rows = T.once(rows.withColumn("_sets", F.collect_set("_techs").over(w)), "_sets", F.col("_sets"))
+    stack = F.when(unkeyed, F.array().cast("array<string>")).when(F.size("_sets") == 1, F.get("_sets", F.lit(0))).otherwise(_union(F.col("_sets")))
+    return rows.withColumn("tech_stack", stack).drop("_techs", "_apart", "_sets")
+
+
+def _union(techs: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.flatten(techs)))
 
 
 def expand_skills(stacks: DataFrame, spark: SparkSession) -> DataFrame:
@@ -78,25 +99,27 @@ def _title_name(name: Column) -> Column:
     return T.python_title(F.translate(name, "-_", "  "))
 
 
-def repo_lines(repos: DataFrame, stacks: DataFrame) -> DataFrame:
-    """Up to three generated lines per repository from templates and conditions."""
+def repo_lines(repos: DataFrame, stacks: DataFrame | None = None) -> DataFrame:
+    """Up to three generated lines per repository from templates and conditions; without ``stacks``, ``repos`` holds
+    ``tech_stack`` itself."""
     t = L.REPO_LINE_TEMPLATES
-    j = repos.join(stacks, ["owner", "name"], "left")
-    name = _title_name(F.col("name"))
-    stack = F.coalesce(F.col("tech_stack"), F.array().cast("array<string>"))
+    j = repos if stacks is None else repos.join(stacks, ["owner", "name"], "left")
+    j = T.once(j, "_stack", F.coalesce(F.col("tech_stack"), F.array().cast("array<string>")))
+    j = T.once(j, "_name", _title_name(F.col("name")))
+    name, stack = F.col("_name"), F.col("_stack")
     tech = F.when(F.size(stack) > 0, F.array_join(F.slice(stack, 1, 4), ", ")).otherwise(F.lit(t["no_tech"]))
     desc = F.coalesce(F.col("description"), F.lit(""))
-    metrics = F.array_join(F.filter(F.array(
+    metrics = F.concat_ws(" and ",
         F.when(F.col("stars") > 0, F.concat(F.col("stars").cast("string"), F.lit(" GitHub stars"))),
-        F.when(F.col("forks") > 0, F.concat(F.col("forks").cast("string"), F.lit(" forks")))),
-        lambda x: x.isNotNull()), " and ")
-    lines = F.filter(F.array(
+        F.when(F.col("forks") > 0, F.concat(F.col("forks").cast("string"), F.lit(" forks"))))
+    lines = F.array(
         F.when(desc != "", T.filled(t["described"], name=name, description=F.regexp_replace(desc, r"\.+$", ""), tech=tech))
         .otherwise(T.filled(t["bare"], name=name, tech=tech)),
         F.when((F.col("stars") > 0) | (F.col("forks") > 0), T.filled(t["open"], name=name, metrics=metrics)),
-        F.when(F.size(stack) >= 3, T.filled(t["depth"], name=name, tech3=F.array_join(F.slice(stack, 1, 3), ", "))),
-    ), lambda x: x.isNotNull())
-    return j.select("owner", "name", F.slice(lines, 1, 3).alias("lines"))
+        F.when(F.size(stack) >= 3, T.filled(t["depth"], name=name, tech3=F.array_join(F.slice(stack, 1, 3), ", "))))
+    # the texts outside of the filter, whose inside is not compiled
+    j = T.once(j, "_lines", lines)
+    return j.select("owner", "name", F.slice(F.filter("_lines", lambda x: x.isNotNull()), 1, 3).alias("lines"))
 
 
 def owner_lines(repos: DataFrame) -> DataFrame:
