@@ -30,3 +30,43 @@ def test_stack_beside_rows_equals_the_joined_stack(spark):
     joined, beside = RE.repo_lines(r, stacks), RE.repo_lines(RE.tech_stack(r, spark, of_rows=True))
     assert sorted(map(repr, joined.collect())) == sorted(map(repr, beside.collect()))
     assert beside.count() == len(rows)
+
+
+def test_every_window_belongs_to_one_anchor():
+    import random
+
+    from siftwork.llm import substrings as S
+
+    rng = random.Random(5)
+    for n in (19, 20, 21, 60, 300):
+        buf = " ".join(rng.choice(["a", "b", "cc"]) for _ in range(n)).encode()  # many equal runs
+        starts, ends = S.word_places(buf)
+        pos, h, first, last = S.anchors(buf, starts, ends, 20)
+        g = S.run_hashes(buf, starts, ends, S.ANCHOR)
+        got = [p for p, a, b in zip(pos, first, last) for _ in range(a, b + 1)]
+        assert got == [min(range(s, s + 16), key=lambda p: (g[p], p)) for s in range(n - 19)]
+        assert list(h) == [g[p] for p in pos]
+
+
+def test_substrings_of_few_words(spark):
+    import hashlib
+    import random
+
+    from siftwork.llm import substrings as S
+
+    rng = random.Random(6)
+    texts = [[rng.choice("ab") for _ in range(rng.randint(0, 90))] for _ in range(12)]
+    texts = [x * 2 if i % 4 == 0 else x + texts[i // 2][5:40] for i, x in enumerate(texts)]
+    seen, want = set(), []
+    for i, w in enumerate(texts):
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            if tuple(w[s:s + 20]) in seen:
+                gone[s:s + 20] = [True] * 20
+            seen.add(tuple(w[s:s + 20]))
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = S.substring_dedup(docs)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    # the anchors are named once
+    assert _plan(got).split("Initial Plan")[0].count("name_anchors") == 1
