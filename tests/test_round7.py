@@ -70,3 +70,15 @@ def test_substrings_of_few_words(spark):
     assert sorted(tuple(r) for r in got.collect()) == want
     # the anchors are named once
     assert _plan(got).split("Initial Plan")[0].count("name_anchors") == 1
+
+
+def test_only_candidate_lines_are_written_down(spark, monkeypatch):
+    from siftwork.llm import lines
+
+    written, cut = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df: written.append(cut(df)) or written[-1])
+    far = ["a lonely line about the sea and ships", "zebras eat 47 pumpkins quickly", "no word recurs hereabouts"]
+    docs = spark.createDataFrame([(1, "\n".join(far)), (2, far[0]), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.removed) for r in lines.line_dedup_by_document(docs).collect()}
+    assert got == {1: (3, ""), 2: (1, "0"), 3: (0, "")}
+    assert written and all(df.isEmpty() for df in written)
