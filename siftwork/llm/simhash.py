@@ -102,7 +102,8 @@ def near_links(fps: DataFrame, max_distance: int) -> DataFrame:
     keys = fps.select("fp", F.posexplode(masks).alias("slot", "mask"))
     keys = keys.select("slot", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp")
     shared = keys.groupBy("slot", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keys.join(shared, ["slot", "bits"])
+    # Spark sizes the keys as if each fingerprint had one, so either side might be broadcast: both are sent by the shuffle
+    rows = keys.hint("merge").join(shared.hint("merge"), ["slot", "bits"])
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
