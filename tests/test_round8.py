@@ -38,3 +38,23 @@ def test_every_density_equals_the_joined_pairs(spark, monkeypatch):
     got = joined()
     monkeypatch.setattr(M, "FEW_TARGETS", 1)
     assert got == joined()
+
+
+def test_priority_skills_are_met_as_sets(spark):
+    gaps = spark.createDataFrame([(1, 5, ["b", "c", "a"]), (2, 5, []), (3, None, ["a"])], "doc_id long, target_id long, missing array<string>")
+    mentions = spark.createDataFrame([(5, [("c", 3), ("d", 2), ("a", 1), ("b", 1)])], "target_id long, ordered array<struct<skill:string,mentions:int>>")
+    p = M.priority_skills(gaps, mentions, 2)
+    assert {r.doc_id: r.priority_skills for r in p.collect()} == {1: ["c", "a"], 2: [], 3: []}
+    assert "array_intersect" in _plan(p)
+
+
+
+def test_coverage_meets_names_as_sets(spark):
+    docs = spark.createDataFrame([(1, "knows go and C++"), (2, None), (1, "x")], "doc_id long, text string")
+    dt = spark.createDataFrame([(1, "technical", "SQL")], "doc_id long, category string, canonical string")
+    tt = spark.createDataFrame([(5, "technical", c) for c in ("SQL", "Go", "C++", "GO", "Rust")], "target_id long, category string, canonical string")
+    pairs = spark.createDataFrame([(1, 5), (2, 5), (2, None)], "doc_id long, target_id long")
+    c = M.keyword_coverage(dt, tt, docs, pairs)
+    assert "array_contains" not in _plan(c)
+    got = {(r.doc_id, r.target_id): (r.matched, r.missing, round(r.keyword_coverage, 3)) for r in c.collect()}
+    assert got == {(1, 5): (["C++", "GO", "Go", "SQL"], ["Rust"], 0.5), (2, 5): ([], ["C++", "GO", "Go", "Rust", "SQL"], 0.0), (2, None): ([], [], 0.5)}
